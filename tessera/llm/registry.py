@@ -1,11 +1,12 @@
 """Queries of the text operators and their SQL, where SQL can express them."""
 
-from . import dedup_exact, encoding, packing, simhash
+from . import dedup_exact, encoding, packing, simhash, suffix
 
 QUERIES = {
     "op2_bpe": encoding.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
+    "op8_suffix_dedup": suffix.op8_suffix_dedup,
     "op10_exact_dedup": dedup_exact.op10_exact_dedup,
 }
 
