@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import dedup_exact, encoding, packing, simhash
+from tessera.llm import dedup_exact, encoding, language, packing, simhash, suffix
 from tessera.llm.common import stored, table
 
 
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told stay."""
+    return language.accepted(docs)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id stays."""
     return dedup_exact.keep_first(docs)
@@ -18,14 +24,21 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs)
 
 
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that a document with a smaller doc_id has are dropped from the texts; every document stays."""
+    return suffix.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
     return packing.pack(packing.pieces(docs, encoding.vocabulary()))
 
 
 STAGES = [
+    ("language ID", identified),
     ("exact dedup", exact),
     ("simhash near-dedup", near),
+    ("suffix-array dedup", unrepeated),
     ("best-fit packing", packed),
 ]
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts may hold, unless the user set a bound."""
+def prepare(spark: SparkSession) -> None:
+    """For operators that run Python: executors get this package, and Arrow batches of whole texts a bound.
+
+    The bound holds unless the user has set one.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, "10000") == "10000":
         spark.conf.set(key, str(ARROW_ROWS))
+    context = spark.sparkContext
+    if not getattr(context, "_tessera_shipped", False):
+        top = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp()) / "tessera.zip"  # read by the driver's file server alone
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(top.rglob("*.py")):
+                out.write(file, file.relative_to(top.parent))
+        context.addPyFile(str(archive))
+        context._tessera_shipped = True
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, partitions, shared_dir, stored, table, texts
+from .common import bucketed, partitions, stored, table, texts
 
 #: The white space that counts.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -84,21 +84,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that stay: of equal texts the row with the smallest doc_id, one row if that id repeats.
+    """Rows of ``docs`` that stay: of equal texts the row with the smallest doc_id, any one of them if that id repeats.
 
     Rows with a null id stay only if no other row has the text. All columns are returned unchanged, whatever their names.
     """
-    spark = docs.sparkSession
-    mark = f"_row_{uuid.uuid4().hex}"
-    digested = digests(docs)
-    index = DigestIndex(spark)
-    index.add(digested)
-    kept = index.entries().select(F.col("digest").alias(mark), F.col("keep_id").alias(mark + "k"))
-    normal = F.unhex(F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " ").cast("binary"), 256))
-    # (digest, id) of the rows that stay is unique on the right: a semi join, in which no key gathers many rows
-    here = docs.withColumn(mark, normal)
-    stays = here.join(kept.hint("merge"), (here[mark] == kept[mark]) & here["doc_id"].eqNullSafe(kept[mark + "k"]), "left_semi")
-    return stays.drop(mark).dropDuplicates(["doc_id", "text"])
+    index = DigestIndex(docs.sparkSession)
+    mark, own = (f"_{uuid.uuid4().hex}" for _ in "12")
+    last = F.lit((1 << 63) - 1)
+    index.add(digests(docs).withColumn("doc_id", F.coalesce("doc_id", last)))
+    kept = index.entries().select(F.col("digest").alias(mark + "k"), F.col("keep_id").alias(own + "k"))
+    normal = F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " ")
+    here = docs.withColumns({mark: F.unhex(F.sha2(normal.cast("binary"), 256)), own: F.coalesce("doc_id", last)})
+    # a digest and its smallest id name one row, so no key of this join gathers many rows
+    stays = here.join(kept.hint("merge"), (here[mark] == kept[mark + "k"]) & (here[own] == kept[own + "k"]), "left_semi")
+    return stays.dropDuplicates([mark, own]).drop(mark, own)
 
 
 ORACLE = r"""

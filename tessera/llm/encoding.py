@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe
-from .common import small_batches, table, texts
+from .common import prepare, table, texts
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -20,7 +20,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids array<int>`` of every whole text; null texts have no ids. Columns other than those two are left out."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.coder(path)
@@ -35,7 +35,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id, text`` of ``doc_id, ids``; null ids give an empty text, an id outside the vocabulary fails."""
-    small_batches(encoded.sparkSession)
+    prepare(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -53,7 +53,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     One row per input row, repeated rows too; a null or empty text has no tokens and the digests of nothing.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.coder(path)

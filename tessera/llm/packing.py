@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import partitions, small_batches, stored, table, texts
+from .common import partitions, prepare, stored, table, texts
 from .encoding import vocabulary
 
 CAPACITY = 2048
@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     The first piece takes what the others, all of full length, leave. A null or empty text is the end id alone; repeated
     rows are packed each.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,6 +122,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, salts: int | None = None) ->
     Ties in length go by salt, doc_id and piece. An empty table gives no rows.
     """
     spark = cut.sparkSession
+    prepare(spark)
     salts = salts or 4 * partitions(spark)
     cut = stored(cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts))), "pieces")
     parts = cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, stored, table, texts
+from .common import partitions, prepare, stored, table, texts
 from .graph import components
 
 SEED = 42
@@ -86,7 +86,7 @@ def majority(h: np.ndarray, longs: int = 1) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, words: int = 3, longs: int = 1) -> DataFrame:
     """``doc_id, w0 ... `` (signed longs that hold the fingerprint's bits) of every whole text; null counts as empty."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     names = [f"w{k}" for k in range(longs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,6 +131,7 @@ def _meet(rows: DataFrame, longs: int, distance: int, carry: bool) -> DataFrame:
     With ``carry``, a large bucket is compared in parts instead: one class of each tree meets the next part.
     """
     names = [f"w{k}" for k in range(longs)]
+    prepare(rows.sparkSession)
     n = partitions(rows.sparkSession)
     rows = rows.repartition(n, "mask", "key").sortWithinPartitions("mask", "key")
     schema = ", ".join(["u long", "v long", "mask long", *(f"{w} long" for w in names)])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, partitions, stored, table
+from .common import bucketed, partitions, prepare, stored, table
 
 LENGTH = 50
 ANCHOR = 25
@@ -387,6 +387,7 @@ def _finish(whole: bool):
 def _search(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The table of blocks (columns besides doc_id and text in ``rest``) and what is known of each."""
     spark = docs.sparkSession
+    prepare(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(4 * partitions(spark), -(-size // BLOCK))
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
