@@ -14,7 +14,7 @@ def write_tsv(df: DataFrame, path: str, single: bool = False) -> None:
 
 def bit_bytes(bits: DataFrame, n: int) -> DataFrame:
     """``locus, bytes``: ceil(n / 8) bytes a locus, the first individual in the lowest bit of the first byte."""
-    octet = lambda b: F.aggregate(F.filter("inds", lambda i: F.shiftright(i, 3) == b), F.lit(0), lambda acc, i: acc + F.shiftleft(F.lit(1), i % 8).cast("int"))
+    octet = lambda b: F.aggregate(F.filter("inds", lambda i: F.shiftright(i, 3) == b), F.lit(0), lambda acc, i: acc + F.call_function("shiftleft", F.lit(1), i % 8))
     digits = F.transform(F.sequence(F.lit(0), F.lit(-(-n // 8) - 1)), lambda b: F.lpad(F.hex(octet(b)), 2, "0"))
     return bits.select("locus", F.unhex(F.array_join(digits, "")).alias("bytes"))
 
