@@ -1,30 +1,19 @@
-"""What the text operators share: the shared folder, written tables, temporary names."""
+"""What the text operators share."""
 
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch handed to a Python worker; long texts make large rows.
-ARROW_ROWS = 256
+from ..session import partitions, shared_dir, ship, stored
 
+__all__ = ["bucketed", "partitions", "prepare", "shared_dir", "stored", "table", "texts"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the cluster names none (tests), a folder under the warehouse is set and used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Rows per Arrow batch handed to a Python worker; long texts make large rows.
+ARROW_ROWS = 256
 
 
 def prepare(spark: SparkSession) -> None:
@@ -35,40 +24,14 @@ def prepare(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, "10000") == "10000":
         spark.conf.set(key, str(ARROW_ROWS))
-    context = spark.sparkContext
-    if not getattr(context, "_tessera_shipped", False):
-        top = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp()) / "tessera.zip"  # read by the driver's file server alone
-        with zipfile.ZipFile(archive, "w") as out:
-            for file in sorted(top.rglob("*.py")):
-                out.write(file, file.relative_to(top.parent))
-        context.addPyFile(str(archive))
-        context._tessera_shipped = True
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session has ended: its shared folder is the cluster's to clear
-        pass
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at files that survive executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    ship(spark)
 
 
 def bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
     """Write ``df`` as a table bucketed and sorted by ``keys`` in the (shared) warehouse and read it back."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    (df.write.option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table))
+    df.write.option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
     atexit.register(_drop, spark, table)
     return spark.table(table)
 
@@ -85,9 +48,5 @@ def texts(df: DataFrame, *keep: str) -> DataFrame:
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

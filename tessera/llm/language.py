@@ -13,6 +13,7 @@ language.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -180,8 +181,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that have a language; all columns unchanged. Rows with a null doc_id go."""
-    rejected = identify(of_documents(docs)).filter("NOT kept").select(F.col("doc_id").alias("_rejected")).distinct()
+    """Rows of ``docs`` that have a language; all columns unchanged, whatever their names. A null doc_id is an id like others.
+
+    Rows are known again by doc_id and a hash of what the decision rests on, so that repeated ids do not share a fate.
+    """
+    mark = f"_{uuid.uuid4().hex}"
+    evidence = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text", "lang", "source")
+    rows = docs.withColumn(mark, evidence)
+    judged = rows.select(F.col(mark).alias("doc_id"), "text", "lang", "source")
+    rejected = identify(of_documents(judged)).filter("NOT kept").select(F.col("doc_id").alias(mark + "r")).distinct()
     rejected = stored(rejected, "rejected")
-    here = docs.filter("doc_id IS NOT NULL")
-    return here.join(rejected, here["doc_id"] == rejected["_rejected"], "left_anti")
+    return rows.join(rejected, rows[mark] == rejected[mark + "r"], "left_anti").drop(mark)

@@ -124,6 +124,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, salts: int | None = None) ->
     spark = cut.sparkSession
     prepare(spark)
     salts = salts or 4 * partitions(spark)
+    cut = cut.select("doc_id", "piece", "start", "length", "ids_crc32")
     cut = stored(cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts))), "pieces")
     parts = cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)

@@ -11,12 +11,13 @@ agree. The free bits shrink from round to round; twelve free bits hold no more t
 
 Likeness (``wide``): shingle sets of Jaccard similarity s differ in a share p = acos(2s / (1 + s)) / pi of the bits. A
 fingerprint of 640 bits in 40 blocks of 16 shares a block with chance 1 - (1 - (1 - p) ** 16) ** 40, over 0.95 at s = 0.8
-and 0.99 at 0.85; the first 256 bits are then compared. Several hundred bits are needed since 64 cannot tell 0.8.
+and 0.99 at 0.85; the first 512 bits are then compared. Several hundred bits are needed since 64 cannot tell 0.8.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -84,8 +85,11 @@ def majority(h: np.ndarray, longs: int = 1) -> np.ndarray:
     return np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)
 
 
-def fingerprints(docs: DataFrame, words: int = 3, longs: int = 1) -> DataFrame:
-    """``doc_id, w0 ... `` (signed longs that hold the fingerprint's bits) of every whole text; null counts as empty."""
+def fingerprints(docs: DataFrame, words: int = 3, longs: int = 1, *keep: str) -> DataFrame:
+    """``doc_id, w0 ...`` (signed longs that hold the fingerprint's bits) of every whole text, and BIGINT columns ``keep``.
+
+    Null texts count as empty; ids are passed through.
+    """
     prepare(docs.sparkSession)
     names = [f"w{k}" for k in range(longs)]
 
@@ -93,9 +97,10 @@ def fingerprints(docs: DataFrame, words: int = 3, longs: int = 1) -> DataFrame:
         for batch in batches:
             found = [majority(shingle_hashes(t, words), longs) for t in batch.column("text").to_pylist()]
             prints = np.array(found, np.uint64).reshape(-1, longs).view("i8")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, prints.T.copy())], ["doc_id", *names])
+            own = [batch.column(c) for c in ("doc_id", *keep)]
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, prints.T.copy())], ["doc_id", *keep, *names])
 
-    return texts(docs).mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
+    return texts(docs, *keep).mapInArrow(run, ", ".join(f"{n} long" for n in ("doc_id", *keep, *names)))
 
 
 def _masks(blocks: list[tuple[int, int]], agree: int) -> list[int]:
@@ -230,15 +235,17 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int = 40, width: int = 16, check: int = 4) -> DataFrame:
-    """``doc_id, component_id`` by likeness: fingerprints of ``blocks * width`` bits, compared in the first ``64 * check``.
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int = 40, width: int = 16, check: int = 8) -> DataFrame:
+    """``doc_id, component_id`` by likeness (and ``mark``, a BIGINT, if ``docs`` has one), for each row of ``doc_id, text``.
 
-    Expects one row a doc_id. Texts without words do not link here: they share no shingle. A bucket above ``BUCKET``
-    classes is compared in parts (see ``_meet``); the other blocks find again what one bucket's parts may miss.
+    Fingerprints of ``blocks * width`` bits are compared in the first ``64 * check``. Texts without words do not link
+    here: they share no shingle. A bucket above ``BUCKET`` classes is compared in parts (see ``_meet``); the other blocks
+    find again what one bucket's parts may miss.
     """
+    keep = ["mark"] if "mark" in docs.columns else []
     longs = blocks * width // 64
     names, carried = [f"w{k}" for k in range(longs)], [f"w{k}" for k in range(check)]
-    prints = stored(fingerprints(docs, words, longs), "wide")
+    prints = stored(fingerprints(docs, words, longs, *keep), "wide")
     classes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("node")), "classes")
     per = 64 // width
     key = [F.shiftrightunsigned(f"w{b // per}", width * (b % per)).bitwiseAND((1 << width) - 1) for b in range(blocks)]
@@ -253,14 +260,19 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks
     found = components(links)
     named = stored(classes.join(found, "node", "left").select(*names, F.coalesce("component_id", "node").alias("component_id")), "named")
     on = [prints[n] == named[n] for n in names]
-    return prints.join(named.hint("merge"), on).select("doc_id", "component_id")
+    return prints.join(named.hint("merge"), on).select("doc_id", "component_id", *keep)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that stay: of each group of near copies the one with the smallest doc_id; all columns unchanged."""
-    groups = near_groups(docs)
-    dropped = stored(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")), "dropped")
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    """Rows of ``docs`` that stay: of each group of near copies those with the smallest doc_id; all columns unchanged.
+
+    Rows with a null doc_id have no rank and stay. Of rows with one doc_id, each is judged by its own text.
+    """
+    mark = f"_{uuid.uuid4().hex}"
+    rows = docs.withColumn(mark, F.xxhash64("doc_id", "text"))
+    groups = near_groups(rows.filter("doc_id IS NOT NULL").select("doc_id", "text", F.col(mark).alias("mark")))
+    dropped = stored(groups.filter("doc_id <> component_id").select(F.col("mark").alias(mark + "d")).distinct(), "dropped")
+    return rows.join(dropped, rows[mark] == dropped[mark + "d"], "left_anti").drop(mark)
 
 
 __all__ = ["fingerprints", "link", "near_groups", "one_of_each", "op3_simhash"]

@@ -1,0 +1,169 @@
+import functools
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tessera.llm import bpe, encoding, packing, rollup
+
+PATH = encoding.vocabulary()
+
+
+@functools.cache
+def loaded():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATH)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return loaded()
+
+
+def ids(data):
+    return np.frombuffer(data, "<u4").tolist()
+
+
+def same(text, library):
+    wanted = library.encode(text, add_special_tokens=False).ids
+    coder = bpe.coder(PATH)
+    assert ids(coder.encode_all(text)) == wanted
+    assert packing.token_ids(text, PATH).tolist() == wanted
+    assert "".join(coder.decode(coder.encode(text))) == library.decode(wanted, skip_special_tokens=False)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(codec="utf-8"), max_size=200))
+def test_any_text(text):
+    same(text, loaded())
+
+
+@pytest.mark.parametrize("alphabet", ["abcde", "thein ", " \n\t\r\x0b\xa0x", "aA1!¿ 中\U0001f600՘'s", "=-_ ", "ab", "é²½ª "])
+def test_runs(alphabet, library):
+    r = random.Random(len(alphabet))
+    for n in (0, 1, 2, 47, 48, 49, 600, 9000):
+        for _ in range(4):
+            same("".join(r.choice(alphabet) for _ in range(n)), library)
+
+
+def test_long_pieces_and_windows(library):
+    r = random.Random(2)
+    for text in ("a" * 300_000, " " * 300_000 + "x", "x'll " * 70_000, "na" * 150_000, "".join(r.choice("etaoin") for _ in range(200_000))):
+        same(text, library)
+    same("<|endoftext|>a<|endoftext|><|endoftext|> b<|endoftext", library)
+
+
+def test_what_is_emitted_is_final(library):
+    """Ids that were emitted from a part of a piece are the first ids of the whole piece."""
+    coder, r = bpe.coder(PATH), random.Random(4)
+    for alphabet in ("ab", "etaoinsh", "=-", "abcdefghijklmnopqrstuvwxyz"):
+        data = "".join(r.choice(alphabet) for _ in range(5000)).encode()
+        whole = coder._merge(data)
+        for step in (7, 301, 1000):
+            out = [i for part in coder.stream(data[k : k + step] for k in range(0, len(data), step)) for i in part]
+            assert out == whole
+
+
+def test_lookahead_follows_the_merges():
+    assert bpe.lookahead([(b"a", b"b")]) == 1 + 2
+    # bc, then ab, then ca: what happens to the last pair of "cabc" is felt two merges to the left
+    assert bpe.lookahead([(b"b", b"c"), (b"a", b"b"), (b"c", b"a")]) == 3 + 2
+    assert bpe.coder(PATH).lookahead < 1000
+
+
+def test_memory_stays_bounded():
+    coder = bpe.coder(PATH)
+    kept = []
+    original = coder._merge
+
+    def watch(data):
+        kept.append(len(data))
+        return original(data)
+
+    coder._merge = watch
+    try:
+        coder.piece_ids(b"ab" * 500_000)
+    finally:
+        del coder._merge
+    assert max(kept) < 4 * max(bpe.CHUNK, 4 * coder.lookahead)
+
+
+def test_decoder_state_machine(library):
+    coder = bpe.coder(PATH)
+    r = random.Random(8)
+    for _ in range(200):
+        some = [r.randrange(50257) for _ in range(r.randint(0, 40))]
+        data = np.array(some, "<u4").tobytes()
+        cut = 4 * r.randint(0, len(some))
+        assert "".join(coder.decode([data[:cut], data[cut:]])) == library.decode(some, skip_special_tokens=False)
+
+
+def brute(text, library):
+    e = library.encode(text or "", add_special_tokens=False).ids
+    text_ = library.decode(e, skip_special_tokens=False)
+    return len(e), hashlib.sha256(np.array(e, "<u4").tobytes()).hexdigest(), hashlib.sha256(text_.encode()).hexdigest()
+
+
+def test_query(spark, sf, rows_of, library):
+    got = {r.doc_id: tuple(r)[1:] for r in encoding.op2_bpe(spark, sf).collect()}
+    assert got == {i: brute(t, library) for i, t in rows_of("documents", ["doc_id", "text"])}
+
+
+def test_odd_rows(odd, odd_rows, none, library):
+    got = sorted((tuple(r) for r in encoding.digests(odd, PATH).collect()), key=str)
+    assert got == sorted(((r[0], *brute(r[1], library)) for r in odd_rows), key=str)
+    back = encoding.decode(encoding.encode(odd, PATH), PATH).collect()
+    assert sorted(r.text for r in back) == sorted(r[1] or "" for r in odd_rows)
+    assert not encoding.digests(none, PATH).collect() and not encoding.decode(encoding.encode(none, PATH), PATH).collect()
+
+
+def brute_totals(rows, library, extra):
+    out = {}
+    for _, text, lang, source in rows:
+        x = out.setdefault((source, lang), [0, 0])
+        x[0] += 1
+        x[1] += len(library.encode(text or "", add_special_tokens=False).ids) + extra
+    return sorted(((*k, *v) for k, v in out.items()), key=str)
+
+
+def test_token_counts_query(spark, sf, rows_of, library):
+    got = sorted(((r.source, r.lang, r.n_docs, r.n_tokens) for r in rollup.op1_token_counts(spark, sf).collect()), key=str)
+    assert got == brute_totals(rows_of("documents", ["doc_id", "text", "lang", "source"]), library, 1)
+
+
+def test_rollup_deltas(spark, tmp_path):
+    r = rollup.Rollup(spark, f"file://{tmp_path}/r")
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, tokenizer string, source string, lang string, n_tokens long, op string")
+    totals = lambda: {(x.source, x.lang, x.tokenizer): (x.n_docs, x.n_tokens) for x in r.totals().collect()}
+    assert totals() == {}
+    one = make([(1, "v1", "a", "en", 10, "insert"), (2, "v1", "a", "en", 5, "insert"), (3, "v1", None, None, 7, "insert"), (1, "v2", "a", "en", 9, "insert"), (None, "v1", "a", "en", 9, "insert")])
+    assert r.apply("one", one)
+    first = {("a", "en", "v1"): (2, 15), (None, None, "v1"): (1, 7), ("a", "en", "v2"): (1, 9)}
+    assert totals() == first
+    assert not r.apply("one", one) and totals() == first  # delivered again
+    assert r.apply("two", make([(1, "v1", "b", "en", 12, "revise"), (2, "v1", None, None, None, "delete"), (9, "v1", None, None, None, "delete")]))
+    assert totals() == {("b", "en", "v1"): (1, 12), (None, None, "v1"): (1, 7), ("a", "en", "v2"): (1, 9)}
+    assert r.apply("three", make([(2, "v1", "a", "en", 6, "insert"), (2, "v1", "a", "en", 6, "insert")]))
+    assert totals()[("a", "en", "v1")] == (1, 6)
+    assert r.apply("none", make([])) and [b for _, b in r.batches()] == ["one", "two", "three", "none"]
+    assert {(x.doc_id, x.tokenizer): x.n_tokens for x in r.ledger().collect()} == {(1, "v1"): 12, (2, "v1"): 6, (3, "v1"): 7, (1, "v2"): 9}
+
+
+def test_a_crash_before_the_commit_leaves_no_trace(spark, tmp_path):
+    r = rollup.Rollup(spark, f"file://{tmp_path}/r")
+    bad = spark.createDataFrame([(1, "v", "a", "en", 1, "insert")], "doc_id long, tokenizer string, source string, lang string, n_tokens long, op string")
+    from pyspark.sql import functions as F
+
+    with pytest.raises(Exception, match="boom"):
+        r.apply("x", bad.withColumn("n_tokens", F.raise_error(F.lit("boom")).cast("long")))
+    assert r.batches() == [] and r.apply("x", bad) and r.totals().first().n_tokens == 1
+
+
+def test_counts_of_odd_rows(odd, odd_rows, none, library):
+    got = sorted(((r.doc_id, r.n_tokens) for r in rollup.counts(odd, PATH, "v").collect()), key=str)
+    assert got == sorted(((r[0], len(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in odd_rows), key=str)
+    assert not rollup.counts(none, PATH, "v").collect()
