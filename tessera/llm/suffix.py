@@ -21,6 +21,7 @@ bytes lose nothing. Rows with one doc_id never remove each other's bytes; null i
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,13 @@ from .common import bucketed, partitions, prepare, stored, table
 
 LENGTH = 50
 ANCHOR = 25
-#: Bytes of text that one block should hold, and that are hashed at a time.
+#: Bytes of text that one block holds at least, how many more a shard covers, and bytes that are hashed at a time.
 BLOCK = 4 << 20
+SHARD = 2
 STEP = 1 << 18
+#: Every block sends a record to every shard. Blocks grow with the root of the text times this, so that the number of
+#: records grows in proportion to the text: blocks hold 8 MB at 100 GB of text and 255 MB at 100 TB.
+SPARSE = 650
 LAST = np.iinfo(np.int64).max
 
 _SLOT = np.uint64(24)
@@ -389,15 +394,16 @@ def _search(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     prepare(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(4 * partitions(spark), -(-size // BLOCK))
+    block = max(BLOCK, math.isqrt(SPARSE * size))
+    n = max(8, -(-size // block))
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*others) if others else F.lit(None).cast("string")
     blocks = docs.select(
         F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest")
     )
-    blocks = bucketed(blocks, "blocks", max(partitions(spark), n // 4), "block")
+    blocks = bucketed(blocks, "blocks", min(n, max(partitions(spark), n // 4)), "block")
     lean = blocks.select("block", "doc_id", "text")
-    shards = 4 * partitions(spark)
+    shards = max(8, n // SHARD)
     named = lean.groupBy("block").applyInArrow(_name(shards), _NAMED)
     told = named.groupBy("shard").applyInArrow(_tell, _TOLD)
     known = lean.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_sort_out(shards), _SORTED)
@@ -417,8 +423,7 @@ def removals(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with those bytes dropped from ``text`` (what is left of a cut character goes too); other columns unchanged."""
     blocks, known = _search(docs)
-    rest = next(f for f in blocks.schema if f.name == "rest").dataType
-    schema = f"doc_id long, text string, rest {rest.simpleString()}"
+    schema = blocks.select("doc_id", "text", "rest").schema
     done = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_finish(whole=True), schema)
     return done.select(*[F.col(f"`{c}`") if c in ("doc_id", "text") else F.col(f"rest.`{c}`") for c in docs.columns])
 
