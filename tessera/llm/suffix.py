@@ -132,7 +132,7 @@ class Block:
 
 def _planes(*columns: np.ndarray) -> bytes:
     """Columns byte by byte of their numbers: the shuffle's compression finds the bytes that hardly change."""
-    return b"".join(c.astype(c.dtype.newbyteorder("<")).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+    return b"".join(c.astype(c.dtype.newbyteorder("<")).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
 
 
 def _columns(body: bytes, n: int, *kinds: str) -> list[np.ndarray]:
