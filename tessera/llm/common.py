@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import partitions, shared_dir, ship, stored
 
-__all__ = ["bucketed", "partitions", "prepare", "shared_dir", "stored", "table", "texts"]
+__all__ = ["bucketed", "partitions", "prepare", "shared_dir", "stored", "table", "texts", "tidy"]
 
 #: Rows per Arrow batch handed to a Python worker; long texts make large rows.
 ARROW_ROWS = 256
@@ -27,6 +29,14 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
 
 
+def tidy() -> None:
+    """Give memory that a Python worker has freed back to the machine, where the C library can: workers live on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
     """Write ``df`` as a table bucketed and sorted by ``keys`` in the (shared) warehouse and read it back."""
     spark = df.sparkSession

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, stored, table
+from .common import prepare, stored, table, tidy
 
 #: Labelled rows that the text models are fitted on, about: the fit's bound. All else covers all rows.
 SAMPLE = 4000
@@ -98,6 +98,7 @@ def scores(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
             own = [batch.column(c) for c in ("doc_id", "declared", "suffix", "host")]
             own += [pa.array(letters, pa.bool_()), pa.array(even, pa.bool_()), pa.array(ll, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(own, ["doc_id", "declared", "suffix", "host", "letters", "even", "ll"])
+        tidy()
 
     schema = "doc_id long, declared string, suffix string, host string, letters boolean, even boolean, ll array<double>"
     return docs.select("doc_id", "declared", "suffix", "host", "text").mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import partitions, prepare, stored, table, texts
+from .common import partitions, prepare, stored, table, texts, tidy
 from .encoding import vocabulary
 
 CAPACITY = 2048
@@ -66,6 +66,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        tidy()
 
     return texts(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -19,15 +19,16 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, stored, table, texts
+from .common import partitions, prepare, stored, table, texts, tidy
 from .graph import components
 
 SEED = 42
@@ -99,6 +100,7 @@ def fingerprints(docs: DataFrame, words: int = 3, longs: int = 1, *keep: str) ->
             prints = np.array(found, np.uint64).reshape(-1, longs).view("i8")
             own = [batch.column(c) for c in ("doc_id", *keep)]
             yield pa.RecordBatch.from_arrays([*own, *map(pa.array, prints.T.copy())], ["doc_id", *keep, *names])
+        tidy()
 
     return texts(docs, *keep).mapInArrow(run, ", ".join(f"{n} long" for n in ("doc_id", *keep, *names)))
 
@@ -130,7 +132,7 @@ def _forest(nodes: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[tu
                 nodes, prints = nodes[~near], prints[~near]
 
 
-def _meet(rows: DataFrame, longs: int, distance: int, carry: bool) -> DataFrame:
+def _meet(rows: DataFrame, longs: int, distance: int, carry: bool, limit: int = BUCKET) -> DataFrame:
     """Rows ``mask, key, node, w0 ...`` meet on mask and key: ``u, v`` are links; rows with null ``v`` are of large buckets.
 
     With ``carry``, a large bucket is compared in parts instead: one class of each tree meets the next part.
@@ -174,17 +176,18 @@ def _meet(rows: DataFrame, longs: int, distance: int, carry: bool) -> DataFrame:
                     key, large, nodes, prints = (mask[a], keys[a]), False, of[a:b], values[a:b]
                 else:
                     nodes, prints = np.append(nodes, of[a:b]), np.append(prints, values[a:b], axis=0)
-                if len(nodes) > BUCKET and carry:
+                if len(nodes) > limit and carry:
                     more, tops = links(nodes, prints)
                     found += more
                     nodes, prints = nodes[tops], prints[tops]
-                elif len(nodes) > BUCKET or large:
+                elif len(nodes) > limit or large:
                     yield out(nodes, None, int(mask[a]), prints)
                     large, nodes, prints = True, nodes[:0], prints[:0]
             yield from flush()
         if len(nodes) > 1:
             found += _forest(nodes, prints, distance)
         yield from flush()
+        tidy()
 
     return rows.mapInArrow(run, schema)
 
@@ -194,12 +197,12 @@ def _keyed(classes: DataFrame, masks: list[int]) -> DataFrame:
     return classes.select("node", "w0", mask).withColumn("key", F.col("w0").bitwiseAND(F.col("mask")))
 
 
-def exact_links(classes: DataFrame, distance: int = 3) -> DataFrame:
+def exact_links(classes: DataFrame, distance: int = 3, limit: int = BUCKET) -> DataFrame:
     """``u, v``: links that connect the classes ``node, w0`` (distinct fingerprints) as all pairs within ``distance`` would."""
-    if not 0 < distance <= 3:
-        raise ValueError("five blocks hold distances of one to three bits")
+    if not 0 < distance <= 3 or limit < 64:
+        raise ValueError("five blocks hold distances of one to three bits, and buckets must hold six free bits")
     masks = _masks(BLOCKS, 2)
-    met = stored(_meet(_keyed(classes, masks), 1, distance, carry=False), "met")
+    met = stored(_meet(_keyed(classes, masks), 1, distance, carry=False, limit=limit), "met")
     out = met.filter("v IS NOT NULL").select("u", "v")
     while left := [r[0] & FULL for r in met.filter("v IS NULL").select("mask").distinct().collect()]:  # ten times four a round
         rest = met.filter("v IS NULL").select(F.col("u").alias("node"), "w0", F.col("mask").alias("was"))
@@ -207,7 +210,7 @@ def exact_links(classes: DataFrame, distance: int = 3) -> DataFrame:
         rows = parts[0]
         for part in parts[1:]:
             rows = rows.union(part)
-        met = stored(_meet(rows, 1, distance, carry=False), "met")
+        met = stored(_meet(rows, 1, distance, carry=False, limit=limit), "met")
         out = out.union(met.filter("v IS NOT NULL").select("u", "v"))
     return out
 
@@ -235,7 +238,7 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int = 40, width: int = 16, check: int = 8) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int = 40, width: int = 16, check: int = 8, limit: int = BUCKET) -> DataFrame:
     """``doc_id, component_id`` by likeness (and ``mark``, a BIGINT, if ``docs`` has one), for each row of ``doc_id, text``.
 
     Fingerprints of ``blocks * width`` bits are compared in the first ``64 * check``. Texts without words do not link
@@ -249,18 +252,17 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks
     classes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("node")), "classes")
     per = 64 // width
     key = [F.shiftrightunsigned(f"w{b // per}", width * (b % per)).bitwiseAND((1 << width) - 1) for b in range(blocks)]
-    some = F.lit(False)
-    for n in names:
-        some = some | (F.col(n) != 0)
+    some = reduce(Column.__or__, (F.col(n) != 0 for n in names))
     rows = classes.filter(some & F.col("node").isNotNull()).select(
         "node", *carried, F.explode(F.array(*[F.struct(F.lit(b).cast("long").alias("mask"), k.alias("key")) for b, k in enumerate(key)])).alias("k")
     )
     rows = rows.select("k.mask", "k.key", "node", *carried)
-    links = _meet(rows, check, round(64 * check * differing(similarity)), carry=True).select("u", "v")
+    links = _meet(rows, check, round(64 * check * differing(similarity)), carry=True, limit=limit).select("u", "v")
     found = components(links)
     named = stored(classes.join(found, "node", "left").select(*names, F.coalesce("component_id", "node").alias("component_id")), "named")
     on = [prints[n] == named[n] for n in names]
-    return prints.join(named.hint("merge"), on).select("doc_id", "component_id", *keep)
+    some = reduce(Column.__or__, (prints[n] != 0 for n in names))
+    return prints.join(named.hint("merge"), on).select("doc_id", F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *keep)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

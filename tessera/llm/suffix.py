@@ -21,14 +21,16 @@ bytes lose nothing. Rows with one doc_id never remove each other's bytes; null i
 from __future__ import annotations
 
 import hashlib
+import inspect
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, partitions, prepare, stored, table
+from .common import bucketed, partitions, prepare, stored, table, tidy
 
 LENGTH = 50
 ANCHOR = 25
@@ -389,6 +391,24 @@ def _finish(whole: bool):
     return run
 
 
+def _tidied(run: Callable) -> Callable:
+    """``run`` with the memory of its arrays given back behind it. It takes as many tables as ``run``."""
+
+    def one(rows: pa.Table) -> pa.Table:
+        try:
+            return run(rows)
+        finally:
+            tidy()
+
+    def two(rows: pa.Table, more: pa.Table) -> pa.Table:
+        try:
+            return run(rows, more)
+        finally:
+            tidy()
+
+    return one if len(inspect.signature(run).parameters) == 1 else two
+
+
 def _search(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The table of blocks (columns besides doc_id and text in ``rest``) and what is known of each."""
     spark = docs.sparkSession
@@ -404,11 +424,11 @@ def _search(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks = bucketed(blocks, "blocks", min(n, max(partitions(spark), n // 4)), "block")
     lean = blocks.select("block", "doc_id", "text")
     shards = max(8, n // SHARD)
-    named = lean.groupBy("block").applyInArrow(_name(shards), _NAMED)
-    told = named.groupBy("shard").applyInArrow(_tell, _TOLD)
-    known = lean.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_sort_out(shards), _SORTED)
+    named = lean.groupBy("block").applyInArrow(_tidied(_name(shards)), _NAMED)
+    told = named.groupBy("shard").applyInArrow(_tidied(_tell), _TOLD)
+    known = lean.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_tidied(_sort_out(shards)), _SORTED)
     known = stored(known, "known")
-    answers = known.filter("shard >= 0").groupBy("shard").applyInArrow(_compare, _ANSWER)
+    answers = known.filter("shard >= 0").groupBy("shard").applyInArrow(_tidied(_compare), _ANSWER)
     return blocks, known.filter("shard = -1").union(answers)
 
 
@@ -417,17 +437,18 @@ def removals(docs: DataFrame) -> DataFrame:
     blocks, known = _search(docs)
     lean = blocks.select("block", "doc_id", "text")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return lean.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_finish(whole=False), schema)
+    return lean.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_tidied(_finish(whole=False)), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with those bytes dropped from ``text`` (what is left of a cut character goes too); other columns unchanged."""
     blocks, known = _search(docs)
     schema = blocks.select("doc_id", "text", "rest").schema
-    done = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_finish(whole=True), schema)
+    done = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_tidied(_finish(whole=True)), schema)
     return done.select(*[F.col(f"`{c}`") if c in ("doc_id", "text") else F.col(f"rest.`{c}`") for c in docs.columns])
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removals(table(spark, sf_dir, "documents"))
 
+
