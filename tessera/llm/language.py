@@ -34,11 +34,18 @@ LEAST = 0.5
 SMOOTH = 20.0
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[0x20, 0x0A, *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
+
+
 def _slots(text: str) -> np.ndarray:
-    b = np.frombuffer(text.lower().encode(), np.uint8).astype(np.uint32)
-    if len(b) < 3:
+    """Slots of the trigrams that consist of letters and spaces: numbers and signs are of no language."""
+    raw = np.frombuffer(text.lower().encode(), np.uint8)
+    if len(raw) < 3:
         return np.empty(0, np.uint32)
-    return ((b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    b, own = raw.astype(np.uint32), _LETTER[raw]
+    slots = ((b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    return slots[own[:-2] & own[1:-1] & own[2:]]
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
