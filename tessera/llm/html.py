@@ -4,7 +4,7 @@ A page is read once, tag by tag. Text outside what is never article (menus, site
 scripts, styles, and containers named as adverts, notices, comments and the like) falls into blocks. Pass one decides
 blocks by length, link density and stop-word density; blocks in an ``article`` or ``main`` element are text unless they
 are little but links. Pass two gives the label of the nearest decided neighbours to short blocks that pass one left
-open: text if both sides are text, or if the nearer one is; open ends count as not text.
+open: of two that differ, that of the nearer one, and if both are as near, not text; a heading goes with what follows.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NEVER = frozenset("head nav footer aside form script style noscript template iframe object svg math canvas select button textarea dialog menu audio video map title".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 ARTICLE = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Names of containers that hold no article text.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
@@ -31,6 +32,8 @@ NAMES = frozenset(
     "notice notices notification overlay pager pagination popup privacy promo promotion recommended related reply respond search "
     "share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
+#: Of these names, those that mean little in the middle of a longer name.
+WEAK = frozenset("banner form header legal login recommended reply respond search share skip social teaser widget widgets".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search status".split())
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -51,9 +54,9 @@ STOP_LOW, STOP_HIGH = 0.30, 0.32
 
 def _named(name: str, in_article: bool) -> bool:
     parts = [p for p in re.split(r"[^a-z0-9]+", name.lower()) if p]
-    if not parts or parts[0] in ("has", "with", "no", "is", "not", "without"):
+    if not parts or not {"has", "with", "no", "not", "without"}.isdisjoint(parts):
         return False
-    hits = {"".join(parts), parts[0], parts[-1]} & NAMES
+    hits = NAMES & {"".join(parts), parts[0], parts[-1], *(p for p in parts if p not in WEAK)}
     return bool(hits - {"header"} if in_article else hits)
 
 
@@ -75,8 +78,8 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> Iterator[tuple[str, int, bool]]:
-    """Text, characters of it in links, and whether in an article, of each block with text outside dropped containers."""
+def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
+    """Text, characters of it in links, whether in an article, and whether a heading, of blocks outside dropped containers."""
     stack: list[str] = []
     drop_at = None  # depth of the outermost dropped container
     inside = links = linked = 0
@@ -90,13 +93,13 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool]]:
         text.append(plain)
         return len(plain.strip()) if links else 0
 
-    def block() -> Iterator[tuple[str, int, bool]]:
+    def block() -> Iterator[tuple[str, int, bool, bool]]:
         nonlocal linked
         if text:
             joined = " ".join("".join(text).split())
             text.clear()
             if joined:
-                yield joined, linked, inside > 0
+                yield joined, linked, inside > 0, any(t in HEADINGS for t in stack)
         linked = 0
 
     while at < len(page):
@@ -165,9 +168,13 @@ def first_pass(text: str, linked: int, in_article: bool) -> bool | None:
     return None if stop >= STOP_LOW or len(text) >= LONG and stop > STOP_LOW / 2 else False
 
 
-def second_pass(labels: list[bool | None]) -> list[bool]:
-    """Open blocks take the label of their nearest decided neighbours; of two that differ, the nearer one's, text if level."""
+def second_pass(labels: list[bool | None], headings: list[bool] | None = None) -> list[bool]:
+    """Open blocks take the label of their nearest decided neighbours; of two that differ, the nearer one's, not text if level.
+
+    Open headings take the label of what follows. Where nothing is decided, open blocks are not text.
+    """
     n = len(labels)
+    headings = headings or [False] * n
     before, after = [(None, n + 1)] * n, [(None, n + 1)] * n
     for order, side in ((range(n), before), (range(n - 1, -1, -1), after)):
         last = (None, n + 1)
@@ -178,7 +185,7 @@ def second_pass(labels: list[bool | None]) -> list[bool]:
     for i, label in enumerate(labels):
         if label is None:
             (a, da), (b, db) = before[i], after[i]
-            label = bool(a) if da < db else bool(b) if db < da else bool(a or b)
+            label = bool(b) if headings[i] else bool(a) if da < db else bool(b) if db < da else bool(a and b)
         out.append(label)
     return out
 
@@ -188,7 +195,7 @@ def main_text(page: str | None) -> str:
     found = list(blocks(page or ""))
     if any(b[2] for b in found):
         found = [b for b in found if b[2]]
-    labels = second_pass([first_pass(*b) for b in found])
+    labels = second_pass([first_pass(*b[:3]) for b in found], [b[3] for b in found])
     return " ".join(b[0] for b, kept in zip(found, labels, strict=True) if kept)
 
 

@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op8_suffix_dedup": suffix.ORACLE,
     "op9_sharding": sharding.ORACLE,
     "op10_exact_dedup": dedup_exact.ORACLE,
 }

@@ -452,3 +452,19 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removals(table(spark, sf_dir, "documents"))
 
 
+
+#: All windows as hexadecimal strings; hits less than a window apart are one run.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, {2 * LENGTH}) AS s FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - {LENGTH - 1})) AS p FROM d)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+hit AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM w JOIN f USING (s) WHERE m < doc_id),
+run AS (SELECT doc_id, p, count(*) FILTER (gap IS NULL OR gap > {LENGTH}) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM hit),
+span AS (SELECT doc_id, min(p) AS a, max(p) + {LENGTH} AS b FROM run GROUP BY doc_id, r),
+cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM span),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS head, max(b) AS tail, sum(b - a) AS removed, count(*) AS n
+  FROM cut JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE head || substr(h, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -1,17 +1,18 @@
+import os
 import random
+import sys
 
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from texts import words  # noqa: E402
+
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators might use for columns of their own.
 CLASHING = "digest keep_id group_size kept mark node key w0 mask block rest part tie lent salt rank before length piece n ids letters ll said number x _dropped _rejected".split()
 
 
-def words(r, n, stop="the of and to in that is was with for"):
-    own = "".join(r.choice("bcdfghklmnprst") + r.choice("aeiou") for _ in range(3))
-    return " ".join(r.choice(stop.split()) if r.random() < 0.3 else own[: r.randint(2, 6)] + "".join(r.choice("aeioubdgklmnrst") for _ in range(r.randint(2, 7))) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def odd_rows():
     """Nulls, empty and very long texts, ties, repeated rows, and copies."""

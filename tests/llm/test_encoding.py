@@ -57,6 +57,16 @@ def test_long_pieces_and_windows(library):
     same("<|endoftext|>a<|endoftext|><|endoftext|> b<|endoftext", library)
 
 
+@pytest.mark.parametrize("window", [4, 7, 64])
+def test_windows_do_not_show(monkeypatch, library, window):
+    monkeypatch.setattr(bpe, "WINDOW", window)
+    r = random.Random(window)
+    for alphabet in ("a  \n'", "'relv d", "a1! \t", "é中x '"):
+        for _ in range(150):
+            text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 200)))
+            assert ids(bpe.coder(PATH).encode_all(text)) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_what_is_emitted_is_final(library):
     """Ids that were emitted from a part of a piece are the first ids of the whole piece."""
     coder, r = bpe.coder(PATH), random.Random(4)
