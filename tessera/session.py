@@ -45,12 +45,24 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: What ``stored`` has written and nothing has removed yet.
+_written: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all that ``stored`` has written, for long sessions; results that still read it must be written out before."""
+    while _written:
+        remove(spark, _written.pop())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at files that survive executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(remove, spark, path)
+    if not _written:
+        atexit.register(clean, spark)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
