@@ -134,7 +134,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, salts: int | None = None) ->
     counts = {r.length: r.n for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows, _ = plan(counts, capacity)
     here = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = cut.withColumn("rank", F.row_number().over(here)).join(parts.select("length", "salt", "before"), ["length", "salt"])
+    ranked = cut.withColumn("rank", F.row_number().over(here)).join(parts.select("length", "salt", "before").hint("merge"), ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("rank") - 1 + F.col("before"))
     span = max([1, *counts.values()]) + 1
     keys = rows[:, 0] * span + rows[:, 1]
