@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import partitions, shared_dir, ship, stored
 
-__all__ = ["bucketed", "partitions", "prepare", "shared_dir", "stored", "table", "texts", "tidy"]
+__all__ = ["bucketed", "drop", "partitions", "prepare", "shared_dir", "stored", "table", "texts", "tidy"]
 
 #: Rows per Arrow batch handed to a Python worker; long texts make large rows.
 ARROW_ROWS = 256
@@ -42,11 +42,11 @@ def bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
-    atexit.register(_drop, spark, table)
+    atexit.register(drop, spark, table)
     return spark.table(table)
 
 
-def _drop(spark: SparkSession, table: str) -> None:
+def drop(spark: SparkSession, table: str) -> None:
     try:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     except Exception:  # noqa: BLE001  the session has ended

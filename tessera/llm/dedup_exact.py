@@ -8,13 +8,15 @@ sort-merge anti-join on the index and appended. No Python runs on the executors.
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, partitions, stored, table, texts
+from ..session import remove
+from .common import drop, partitions, shared_dir, stored, table, texts
 
 #: The white space that counts.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -27,32 +29,64 @@ def digests(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 class DigestIndex:
-    """Digests seen so far; ``add`` returns nothing, ``entries`` and ``resolve`` read the tables.
+    """Digests seen so far, under ``root`` in a shared file system: opened again, it goes on where it ended.
 
     Batches come in any number and size. The row that stays of a group is the smallest doc_id of the first batch that
-    held the digest; within one batch, ties and repeated rows fall to the smallest doc_id. Null ids sort last.
+    held the digest; within one batch, ties and repeated rows fall to the smallest doc_id. Null ids sort last. A batch is
+    committed by one rename; writers take turns. Without ``root`` the index ends with the session.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark = spark
-        self.buckets = buckets or partitions(spark)
-        self.parts: list[DataFrame] = []
-        self.counts: list[DataFrame] = []
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None):
+        self.spark, self.buckets = spark, buckets or partitions(spark)
+        self.root = (root or f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}").rstrip("/")
+        if root is None:
+            atexit.register(remove, spark, self.root)
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(self.root))
+        self._tables: dict[str, str] = {}
+
+    def batches(self) -> list[str]:
+        """Folders of the committed batches, in their order; each name ends with the number of buckets."""
+        return sorted(n for s in self._fs.listStatus(self._path(self.root)) if (n := s.getPath().getName()).startswith("p"))
+
+    def part(self, name: str) -> DataFrame:
+        """``digest, keep_id`` of the digests that a batch brought, as the bucketed and sorted table that it is."""
+        if name not in self._tables:
+            table = self._tables[name] = f"digest_index_{uuid.uuid4().hex}"
+            self.spark.sql(
+                f"CREATE TABLE {table} (digest BINARY, keep_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) "
+                f"INTO {int(name.rpartition('-b')[2])} BUCKETS LOCATION '{self.root}/{name}/new'"
+            )
+            atexit.register(drop, self.spark, table)
+        return self.spark.table(self._tables[name])
+
+    def parts(self) -> list[DataFrame]:
+        return [self.part(name) for name in self.batches()]
 
     def add(self, digested: DataFrame) -> None:
         """Take the batch ``doc_id, digest``: append unseen digests, count all of them."""
-        batch = stored(digested.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "digests")
-        self.counts.append(batch)
-        new = batch.select("digest", "keep_id")
-        for part in self.parts:
+        old, made, table = self.batches(), f"{self.root}/.tmp-{uuid.uuid4().hex}", f"digest_batch_{uuid.uuid4().hex}"
+        counts = digested.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        counts.write.option("compression", "zstd").parquet(f"{made}/counts")
+        new = self._counts(f"{made}/counts").select("digest", "keep_id")
+        for part in self.parts():
             new = new.join(part.hint("merge"), "digest", "left_anti")
-        self.parts.append(bucketed(new, "digest_index", self.buckets, "digest"))
+        new.write.option("path", f"{made}/new").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(table)
+        self.spark.sql(f"DROP TABLE {table}")  # the files stay
+        final = self._path(f"{self.root}/p{len(old):08d}-b{self.buckets:05d}")
+        if self._fs.exists(final) or not self._fs.rename(self._path(made), final):
+            raise RuntimeError("another batch was committed meanwhile")
+
+    def _counts(self, *paths: str) -> DataFrame:
+        return self.spark.read.schema("digest binary, keep_id long, n long").parquet(*paths)
 
     def entries(self) -> DataFrame:
         """``digest, keep_id, group_size`` of all digests: one row each."""
-        kept = reduce(DataFrame.union, self.parts)
-        counts = reduce(DataFrame.union, self.counts)
-        if len(self.counts) > 1:
+        names = self.batches()
+        kept = reduce(DataFrame.union, self.parts())
+        counts = self._counts(*(f"{self.root}/{n}/counts" for n in names))
+        if len(names) > 1:
             counts = counts.groupBy("digest").agg(F.sum("n").alias("n"))
         return kept.join(counts.select("digest", F.col("n").alias("group_size")), "digest")
 

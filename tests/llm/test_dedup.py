@@ -52,16 +52,21 @@ def test_exact_odd_rows(spark, odd, odd_rows, none):
     assert dedup_exact.keep_first(none).count() == 0
 
 
-def test_index_persists_over_batches(spark):
+def test_index_persists_over_batches(spark, tmp_path):
     make = lambda rows: dedup_exact.digests(spark.createDataFrame(rows, "doc_id long, text string"))
-    index = dedup_exact.DigestIndex(spark, buckets=4)
+    index = dedup_exact.DigestIndex(spark, f"file://{tmp_path}/index", buckets=4)
     index.add(make([(5, "a"), (6, "b"), (7, "a")]))
+    index = dedup_exact.DigestIndex(spark, f"file://{tmp_path}/index", buckets=6)  # another session's
     index.add(make([(1, "a"), (2, "c"), (3, "c")]))
     index.add(make([]))
     got = {(r.keep_id, r.group_size) for r in index.entries().collect()}
     assert got == {(5, 3), (6, 1), (2, 2)}  # the first batch that held a text names the row that stays
-    assert sum(p.count() for p in index.parts) == 3
-    assert "SortMergeJoin" in index.parts[0].join(index.parts[1].hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
+    first, second, third = index.parts()
+    assert (first.count(), second.count(), third.count()) == (2, 1, 0)
+    plan = first.join(first.hint("merge").withColumnRenamed("keep_id", "k"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan  # the buckets are used
+    (tmp_path / "index" / ".tmp-crashed").mkdir()
+    assert len(index.batches()) == 3
 
 
 # -- SimHash ------------------------------------------------------------------------------------------------------
