@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,10 +147,13 @@ def with_edits(docs: DataFrame) -> DataFrame:
     lowest = F.lit(-(1 << 63)).cast("long")
     rows = texts(docs).withColumn("key", F.coalesce("doc_id", lowest))
     bounds = sorted(set(rows.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 100 * n)).first()[0] or []))
-    place = F.lit(0)
-    if bounds:  # the number of bounds below the key
-        place = F.array_size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("key")))
-    rows = rows.withColumn("part", place).withColumn("tie", F.xxhash64("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    if bounds:  # a binary search; doubles keep the order of keys, and equal keys fall into one range
+        splits = [-math.inf, *sorted(set(map(float, bounds))), math.inf]
+        rows = Bucketizer(splits=splits, inputCol="at", outputCol="part").transform(rows.withColumn("at", F.col("key").cast("double"))).drop("at")
+    else:
+        rows = rows.withColumn("part", F.lit(0))
+    rows = rows.withColumn("part", F.col("part").cast("int"))
     tops = rows.groupBy("part").agg(F.max(F.struct("key", "tie")).alias("top")).orderBy("part").collect()
     follows = {t.part: tops[k - 1].top for k, t in enumerate(tops)}  # the range below; below the lowest, the highest
     also = [(part, top.key, top.tie) for part, top in follows.items()]
