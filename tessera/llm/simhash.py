@@ -192,25 +192,22 @@ def _meet(rows: DataFrame, longs: int, distance: int, carry: bool, limit: int =
     return rows.mapInArrow(run, schema)
 
 
-def _keyed(classes: DataFrame, masks: list[int]) -> DataFrame:
-    mask = F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")
-    return classes.select("node", "w0", mask).withColumn("key", F.col("w0").bitwiseAND(F.col("mask")))
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.select("node", "w0", "mask").withColumn("key", F.col("w0").bitwiseAND(F.col("mask")))
 
 
 def exact_links(classes: DataFrame, distance: int = 3, limit: int = BUCKET) -> DataFrame:
     """``u, v``: links that connect the classes ``node, w0`` (distinct fingerprints) as all pairs within ``distance`` would."""
     if not 0 < distance <= 3 or limit < 64:
         raise ValueError("five blocks hold distances of one to three bits, and buckets must hold six free bits")
-    masks = _masks(BLOCKS, 2)
-    met = stored(_meet(_keyed(classes, masks), 1, distance, carry=False, limit=limit), "met")
+    first = F.explode(F.array(*[F.lit(_signed(m)) for m in _masks(BLOCKS, 2)])).alias("mask")
+    met = stored(_meet(_keyed(classes.select("node", "w0", first)), 1, distance, carry=False, limit=limit), "met")
     out = met.filter("v IS NOT NULL").select("u", "v")
-    while left := [r[0] & FULL for r in met.filter("v IS NULL").select("mask").distinct().collect()]:  # ten times four a round
-        rest = met.filter("v IS NULL").select(F.col("u").alias("node"), "w0", F.col("mask").alias("was"))
-        parts = [_keyed(rest.filter(F.col("was") == _signed(m)), _finer(m)) for m in left]
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.union(part)
-        met = stored(_meet(rows, 1, distance, carry=False, limit=limit), "met")
+    # masks of buckets that were too large: at most ten in the first round, and four of each in the next
+    while left := [r[0] for r in met.filter("v IS NULL").select("mask").distinct().collect()]:
+        finer = classes.sparkSession.createDataFrame([(m, _signed(x)) for m in left for x in _finer(m & FULL)], "was long, mask long")
+        rest = met.filter("v IS NULL").select(F.col("u").alias("node"), "w0", F.col("mask").alias("was")).join(F.broadcast(finer), "was")
+        met = stored(_meet(_keyed(rest), 1, distance, carry=False, limit=limit), "met")
         out = out.union(met.filter("v IS NOT NULL").select("u", "v"))
     return out
 
