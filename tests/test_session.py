@@ -21,3 +21,14 @@ def test_shared_folder_comes_from_the_session(spark):
     session.ship(spark)
     session.ship(spark)
     assert session.partitions(spark) == 8
+
+
+def test_without_a_shared_folder_the_warehouse_serves():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.sql.warehouse.dir": "file:/w/"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    assert session.shared_dir(Session()) == "file:/w/_shared"
