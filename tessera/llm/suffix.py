@@ -6,7 +6,8 @@
    smallest doc_id.
 2. *Whole stretches.* Shards by anchor hash tell each block which of its stretches a smaller doc_id holds. What is left
    are the first holders of a stretch whose anchor also has other stretches: ends of copied passages and edits.
-3. *Windows.* Only these stretches are sent as bytes, to the shard of their anchor. There, batches get suffix arrays
+3. *Windows.* Only these stretches are sent as bytes, to the shard of their anchor; those of an anchor that has very many
+   different stretches are sent window by window, to shards by the windows' hashes. There, batches get suffix arrays
    (sorted suffixes of LENGTH bytes), are merge-scanned against the levels of a logarithmic index family, and levels of
    equal size merge. Each window learns whether a smaller doc_id has it.
 4. Blocks mark the bytes and drop them.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import inspect
 import math
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -38,6 +40,8 @@ ANCHOR = 25
 BLOCK = 4 << 20
 SHARD = 2
 STEP = 1 << 18
+#: Stretches of one anchor above which their windows are dealt out.
+MANY = 2048
 #: Every block sends a record to every shard. Blocks grow with the root of the text times this, so that the number of
 #: records grows in proportion to the text: blocks hold 8 MB at 100 GB of text and 255 MB at 100 TB.
 SPARSE = 650
@@ -195,7 +199,8 @@ _TOLD = "block long, n int, body binary"
 
 
 def _tell(rows: pa.Table) -> pa.Table:
-    """Step 2 in a shard: for each block, stretches that a smaller doc_id holds (kind 0) and those whose windows differ (1)."""
+    """Step 2 in a shard: for each block, stretches that a smaller doc_id holds (kind 0) and those whose windows are to be
+    compared (1; 2 if their anchor has many)."""
     parts = []
     for block, n, wide, body in zip(*(rows.column(c).to_pylist() for c in ("block", "n", "wide", "body")), strict=True):
         high, low, own, doc = _columns(body, n, "<u4", "<u2", "<u4", "<i8" if wide else "<u4")
@@ -206,15 +211,16 @@ def _tell(rows: pa.Table) -> pa.Table:
     first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
     change = np.ones(len(anchor), bool)
     change[1:] = anchor[1:] != anchor[:-1]
-    several = np.add.reduceat(new.astype(np.int64), np.flatnonzero(change))[np.cumsum(change) - 1] > 1
-    held, differs = first < doc, new & several
+    contents = np.add.reduceat(new.astype(np.int64), np.flatnonzero(change))[np.cumsum(change) - 1]
+    held, differs = first < doc, new & (contents > 1)
+    kind = differs.astype(np.uint8) + (differs & (contents > MANY))
     out = []
     said = np.flatnonzero(held | differs)
     said = said[np.argsort(block[said], kind="stable")]
     cuts = np.append(np.flatnonzero(np.append(True, block[said][1:] != block[said][:-1])) if len(said) else [], len(said)).astype(int)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         part = said[a:b]
-        out.append((int(block[part[0]]), b - a, _planes(*_halves(anchor[part]), own[part], np.where(held[part], first[part], 0), differs[part].astype(np.uint8))))
+        out.append((int(block[part[0]]), b - a, _planes(*_halves(anchor[part]), own[part], np.where(held[part], first[part], 0), kind[part])))
     return _table(out, _TOLD)
 
 
@@ -242,16 +248,22 @@ def _sort_out(shards: int):
         known = differs == 0
         least[pos[known]] = t_doc[known]
         ask = np.full(len(least), -1, np.int64)
-        asked = pos[differs == 1]
+        asked, many = pos[~known], differs[~known] > 1
         ask[asked] = np.arange(len(asked))
         covered = least[group] < doc
         left = ~covered & (ask[group] >= 0)
         out = [(-1, number, int(covered.sum()), int(left.sum()), _planes(lo[covered], hi[covered], lo[left], hi[left], ask[group][left]))]
-        one = np.full(len(asked), -1, np.int64)
+        one = np.full(len(asked), -1, np.int64)  # a place of each stretch to be compared
         one[ask[group][left]] = np.flatnonzero(left)
         data = block.buf.tobytes()
         for q, s in enumerate(one.tolist()):
-            out.append((int(anchor[s] % np.uint64(shards)), number, q, int(doc[s]), int(anchor[s]).to_bytes(6, "big") + data[lo[s] : hi[s] + LENGTH]))
+            stretch = data[lo[s] : hi[s] + LENGTH]
+            if not many[q]:
+                out.append((int(anchor[s] % np.uint64(shards)), number, q, int(doc[s]), b"\0" + stretch))
+                continue
+            for k in range(len(stretch) - LENGTH + 1):
+                window = stretch[k : k + LENGTH]
+                out.append((zlib.crc32(window) % shards, number, q, int(doc[s]), bytes([k]) + window))
         return _table(out, _SORTED)
 
     return run
@@ -321,19 +333,22 @@ _ANSWER = "shard long, block long, q int, doc long, body binary"
 
 
 def _compare(rows: pa.Table) -> pa.Table:
-    """Step 3 in a shard: a bit for each window of each stretch, set if a smaller doc_id has the window."""
+    """Step 3 in a shard: a bit for each window of each stretch, set if a smaller doc_id has the window.
+
+    The first byte of a row's bytes is the number of its first window in the stretch.
+    """
     block, q, doc, body = (rows.column(c).to_pylist() for c in ("block", "q", "doc", "body"))
     order = sorted(range(len(doc)), key=doc.__getitem__)
     family, out = Family(), []
     batches = [order[k : k + BATCH] for k in range(0, len(order), BATCH)]
     for batch in batches:  # in order of doc_id: what a batch must know is in it or in the levels
-        suffixes, many = windows([body[i][6:] for i in batch])
+        suffixes, many = windows([body[i][1:] for i in batch])
         docs = np.repeat(np.array([doc[i] for i in batch], np.int64), many)
         family.add(suffixes, docs)
         seen = (family.least(suffixes) < docs).astype(np.uint64)
         ends = np.cumsum(many)
         bits = np.add.reduceat(seen << (np.arange(len(seen)) - np.repeat(ends - many, many)).astype(np.uint64), ends - many)
-        out += [(i, int(b)) for i, b in zip(batch, bits, strict=True) if b]
+        out += [(i, int(b) << body[i][0]) for i, b in zip(batch, bits, strict=True) if b]
     by: dict[int, list[tuple[int, int]]] = {}
     for i, b in out:
         by.setdefault(block[i], []).append((q[i], b))
@@ -360,7 +375,7 @@ def _mark(rows: pa.Table, known: pa.Table) -> tuple[Block, np.ndarray]:
     if masks:
         q, bits = (np.concatenate(x) for x in zip(*masks, strict=True))
         of = np.zeros(max(q.max(), asked[2].max()) + 1, np.uint64)
-        of[q] = bits
+        np.bitwise_or.at(of, q, bits)
         for k in range(LENGTH - ANCHOR + 1):
             at = asked[0][of[asked[2]] >> np.uint64(k) & np.uint64(1) == 1] + k
             np.add.at(edge, at, 1)

@@ -16,6 +16,15 @@ from texts import words
 SPACE = re.compile("[\x20\x09-\x0d]+")
 
 
+def shingled(text, n=5):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
 # -- exact --------------------------------------------------------------------------------------------------------
 
 
@@ -259,6 +268,18 @@ def test_suffix_odd_rows(odd, odd_rows, none):
     assert not suffix.removals(none).collect() and not suffix.without_repeats(none).collect()
 
 
+def test_suffix_one_anchor_with_many_surroundings(spark):
+    """A passage between ever new words: more different stretches of one anchor than are compared in one shard."""
+    r = random.Random(21)
+    passage = words(r, 6)[:34]
+    rows = [(k, f"{words(r, 3)[-9:]}{k % 7}{passage}{k % 11}{words(r, 3)[:9]}") for k in range(3 * suffix.MANY // 2)]
+    assert len({t for _, t in rows}) > suffix.MANY
+    rows += [(1000 + k, "x" * (k % 40) + rows[k][1] + "y" * (k % 30)) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(x) for x in suffix.removals(docs).collect()), key=str)
+    assert got == brute_suffix(rows) and sum(x[2] for x in got) > 1000
+
+
 def test_suffix_few_letters(spark):
     """Strings with many repeats, zero bytes, periods, and texts around the window's length and the hashing step."""
     r = random.Random(12)
