@@ -17,8 +17,9 @@ and 0.99 at 0.85; the first 512 bits are then compared. Several hundred bits are
 from __future__ import annotations
 
 import math
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -132,26 +133,23 @@ def _forest(nodes: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[tu
                 nodes, prints = nodes[~near], prints[~near]
 
 
-def _meet(rows: DataFrame, longs: int, distance: int, carry: bool, limit: int = BUCKET) -> DataFrame:
+def _meet(rows: DataFrame, longs: int, distance: int, limit: int | None = BUCKET, forest: Callable = _forest) -> DataFrame:
     """Rows ``mask, key, node, w0 ...`` meet on mask and key: ``u, v`` are links; rows with null ``v`` are of large buckets.
 
-    With ``carry``, a large bucket is compared in parts instead: one class of each tree meets the next part.
+    Without a ``limit`` no bucket is large.
     """
     names = [f"w{k}" for k in range(longs)]
     prepare(rows.sparkSession)
     n = partitions(rows.sparkSession)
+    limit = limit or sys.maxsize
     rows = rows.repartition(n, "mask", "key").sortWithinPartitions("mask", "key")
-    schema = ", ".join(["u long", "v long", "mask long", *(f"{w} long" for w in names)])
+    schema = ", ".join(["u long", "v long", "mask long", "key long", *(f"{w} long" for w in names)])
 
-    def links(nodes: np.ndarray, prints: np.ndarray) -> tuple[list, np.ndarray]:
-        found = list(_forest(nodes, prints, distance))
-        return found, ~np.isin(nodes, np.concatenate([v for _, v in found])) if found else np.ones(len(nodes), bool)
-
-    def out(u: np.ndarray, v: np.ndarray | None, mask: int = 0, prints: np.ndarray | None = None) -> pa.RecordBatch:
+    def out(u: np.ndarray, v: np.ndarray | None, mask: int = 0, key: int = 0, prints: np.ndarray | None = None) -> pa.RecordBatch:
         empty = pa.nulls(len(u), pa.int64())
-        own = [pa.array(u), empty if v is None else pa.array(v), pa.array(np.full(len(u), mask, "i8"))]
+        own = [pa.array(u), empty if v is None else pa.array(v), *(pa.array(np.full(len(u), x, "i8")) for x in (mask, key))]
         own += [empty] * longs if prints is None else [pa.array(p) for p in prints.view("i8").T.copy()]
-        return pa.RecordBatch.from_arrays(own, ["u", "v", "mask", *names])
+        return pa.RecordBatch.from_arrays(own, ["u", "v", "mask", "key", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, large = None, False
@@ -172,26 +170,42 @@ def _meet(rows: DataFrame, longs: int, distance: int, carry: bool, limit: int =
                     continue
                 if key != (mask[a], keys[a]):
                     if len(nodes) > 1:
-                        found += _forest(nodes, prints, distance)
+                        found += forest(nodes, prints, distance)
                     key, large, nodes, prints = (mask[a], keys[a]), False, of[a:b], values[a:b]
                 else:
                     nodes, prints = np.append(nodes, of[a:b]), np.append(prints, values[a:b], axis=0)
-                if len(nodes) > limit and carry:
-                    more, tops = links(nodes, prints)
-                    found += more
-                    nodes, prints = nodes[tops], prints[tops]
-                elif len(nodes) > limit or large:
-                    yield out(nodes, None, int(mask[a]), prints)
+                if len(nodes) > limit or large:
+                    yield out(nodes, None, int(mask[a]), int(keys[a]), prints)
                     large, nodes, prints = True, nodes[:0], prints[:0]
             yield from flush()
         if len(nodes) > 1:
-            found += _forest(nodes, prints, distance)
+            found += forest(nodes, prints, distance)
         yield from flush()
         tidy()
 
     return rows.mapInArrow(run, schema)
 
 
+def bucket_links(rows: DataFrame, longs: int, distance: int, limit: int = BUCKET, forest: Callable = _forest) -> DataFrame:
+    """``u, v``: links that connect the classes of each bucket of ``mask, key, node, w0 ...`` as all its pairs would.
+
+    A bucket above ``limit`` classes is dealt into parts, and every two parts meet in a cell of about ``limit`` classes:
+    each class goes to as many cells as there are other parts, which is what all by all costs. Keys have 16 bits at most.
+    """
+    names = [f"w{k}" for k in range(longs)]
+    met = stored(_meet(rows, longs, distance, limit, forest), "met")
+    out = met.filter("v IS NOT NULL").select("u", "v")
+    large = met.filter("v IS NULL").select("mask", "key", F.col("u").alias("node"), *names)
+    if large.isEmpty():
+        return out
+    sizes = large.groupBy("mask", "key").agg(F.ceil(F.count(F.lit(1)) / max(1, limit // 2)).cast("long").alias("parts"))
+    dealt = large.join(F.broadcast(sizes), ["mask", "key"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("part <> other")
+    cell = F.greatest("part", "other") * F.col("parts") + F.least("part", "other")
+    cells = dealt.select("mask", F.shiftleft(cell, 16).bitwiseOR(F.col("key")).alias("key"), "node", *names)
+    return out.union(_meet(cells, longs, distance, None, forest).select("u", "v"))
+
+
 def _keyed(rows: DataFrame) -> DataFrame:
     return rows.select("node", "w0", "mask").withColumn("key", F.col("w0").bitwiseAND(F.col("mask")))
 
@@ -201,13 +215,13 @@ def exact_links(classes: DataFrame, distance: int = 3, limit: int = BUCKET) -> D
     if not 0 < distance <= 3 or limit < 64:
         raise ValueError("five blocks hold distances of one to three bits, and buckets must hold six free bits")
     first = F.explode(F.array(*[F.lit(_signed(m)) for m in _masks(BLOCKS, 2)])).alias("mask")
-    met = stored(_meet(_keyed(classes.select("node", "w0", first)), 1, distance, carry=False, limit=limit), "met")
+    met = stored(_meet(_keyed(classes.select("node", "w0", first)), 1, distance, limit), "met")
     out = met.filter("v IS NOT NULL").select("u", "v")
     # masks of buckets that were too large: at most ten in the first round, and four of each in the next
     while left := [r[0] for r in met.filter("v IS NULL").select("mask").distinct().collect()]:
         finer = classes.sparkSession.createDataFrame([(m, _signed(x)) for m in left for x in _finer(m & FULL)], "was long, mask long")
         rest = met.filter("v IS NULL").select(F.col("u").alias("node"), "w0", F.col("mask").alias("was")).join(F.broadcast(finer), "was")
-        met = stored(_meet(_keyed(rest), 1, distance, carry=False, limit=limit), "met")
+        met = stored(_meet(_keyed(rest), 1, distance, limit), "met")
         out = out.union(met.filter("v IS NOT NULL").select("u", "v"))
     return out
 
@@ -239,8 +253,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks
     """``doc_id, component_id`` by likeness (and ``mark``, a BIGINT, if ``docs`` has one), for each row of ``doc_id, text``.
 
     Fingerprints of ``blocks * width`` bits are compared in the first ``64 * check``. Texts without words do not link
-    here: they share no shingle. A bucket above ``BUCKET`` classes is compared in parts (see ``_meet``); the other blocks
-    find again what one bucket's parts may miss.
+    here: they share no shingle. A bucket above ``limit`` classes is compared part against part (see ``bucket_links``).
     """
     keep = ["mark"] if "mark" in docs.columns else []
     longs = blocks * width // 64
@@ -254,8 +267,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks
         "node", *carried, F.explode(F.array(*[F.struct(F.lit(b).cast("long").alias("mask"), k.alias("key")) for b, k in enumerate(key)])).alias("k")
     )
     rows = rows.select("k.mask", "k.key", "node", *carried)
-    links = _meet(rows, check, round(64 * check * differing(similarity)), carry=True, limit=limit).select("u", "v")
-    found = components(links)
+    found = components(bucket_links(rows, check, round(64 * check * differing(similarity)), limit))
     named = stored(classes.join(found, "node", "left").select(*names, F.coalesce("component_id", "node").alias("component_id")), "named")
     on = [prints[n] == named[n] for n in names]
     some = reduce(Column.__or__, (prints[n] != 0 for n in names))

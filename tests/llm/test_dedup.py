@@ -219,6 +219,21 @@ def test_near_copies_in_large_buckets(spark):
     assert {x.component_id for x in simhash.near_groups(docs, limit=16).collect()} == {0}
 
 
+@pytest.mark.parametrize("limit", [8, 64, 4096])
+def test_a_chain_longer_than_a_bucket_is_one_group(spark, limit):
+    """Successive versions in one bucket, each 20 bits from the one before: only near neighbours are within the distance."""
+    r = np.random.default_rng(limit)
+    bits, rows = r.integers(0, 2, 512, np.uint8), []
+    for k in range(200):
+        bits[r.choice(512, 20, replace=False)] ^= 1
+        rows.append((0, 7, k, *np.packbits(bits, bitorder="little").view("i8").tolist()))
+    r.shuffle(rows)
+    names = [f"w{k}" for k in range(8)]
+    docs = spark.createDataFrame([tuple(map(int, x)) for x in rows], ", ".join(f"{c} long" for c in ("mask", "key", "node", *names)))
+    links = [(x.u, x.v) for x in simhash.bucket_links(docs, 8, 30, limit).collect()]
+    assert brute_components(range(200), links) == dict.fromkeys(range(200), 0)
+
+
 def test_near_odd_rows(odd, odd_rows, none):
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns
