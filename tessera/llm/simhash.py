@@ -11,7 +11,8 @@ agree. The free bits shrink from round to round; twelve free bits hold no more t
 
 Likeness (``wide``): shingle sets of Jaccard similarity s differ in a share p = acos(2s / (1 + s)) / pi of the bits. A
 fingerprint of 640 bits in 40 blocks of 16 shares a block with chance 1 - (1 - (1 - p) ** 16) ** 40, over 0.95 at s = 0.8
-and 0.99 at 0.85; the first 512 bits are then compared. Several hundred bits are needed since 64 cannot tell 0.8.
+and 0.99 at 0.85; the first 512 bits are then compared, and pairs that may have the similarity are judged by their
+shingle sets. Several hundred bits are needed since 64 cannot tell 0.8.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import math
 import sys
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -35,6 +36,8 @@ from .graph import components
 SEED = 42
 #: Classes of one bucket that are compared in one task.
 BUCKET = 4096
+#: Standard deviations above the mean distance of a similarity up to which a pair is a candidate.
+DEVIATIONS = 3
 #: Blocks of a 64-bit fingerprint, as (first bit, bits).
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 FULL = (1 << 64) - 1
@@ -87,18 +90,24 @@ def majority(h: np.ndarray, longs: int = 1) -> np.ndarray:
     return np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)
 
 
-def fingerprints(docs: DataFrame, words: int = 3, longs: int = 1, *keep: str) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, longs: int = 1, *keep: str, distinct: bool = False) -> DataFrame:
     """``doc_id, w0 ...`` (signed longs that hold the fingerprint's bits) of every whole text, and BIGINT columns ``keep``.
 
-    Null texts count as empty; ids are passed through.
+    Null texts count as empty; ids are passed through. With ``distinct``, a shingle counts once in a text, and another
+    long behind the fingerprint's is a hash of the text's shingle set.
     """
     prepare(docs.sparkSession)
-    names = [f"w{k}" for k in range(longs)]
+    names = [f"w{k}" for k in range(longs + distinct)]
+
+    def bits(text: str) -> np.ndarray:
+        if not distinct:
+            return majority(shingle_hashes(text, words), longs)
+        own = np.unique(shingle_hashes(text, words))
+        return np.append(majority(own, longs), np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [majority(shingle_hashes(t, words), longs) for t in batch.column("text").to_pylist()]
-            prints = np.array(found, np.uint64).reshape(-1, longs).view("i8")
+            prints = np.array([bits(t) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1, len(names)).view("i8")
             own = [batch.column(c) for c in ("doc_id", *keep)]
             yield pa.RecordBatch.from_arrays([*own, *map(pa.array, prints.T.copy())], ["doc_id", *keep, *names])
         tidy()
@@ -133,6 +142,46 @@ def _forest(nodes: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[tu
                 nodes, prints = nodes[~near], prints[~near]
 
 
+def _nearest(nodes: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of a least spanning forest of the pairs within ``distance``: each tree grows by its nearest class."""
+    n = len(nodes)
+    if n <= 64:
+        near = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2, dtype=np.int64) <= distance
+        if near.sum() == n:
+            return
+        some = near.sum(1) > 1
+        nodes, prints = nodes[some], prints[some]
+        n = len(nodes)
+    nodes, prints = nodes.copy(), prints.copy()
+    least, of = np.full(n, np.iinfo("i8").max), np.zeros(n, "i8")
+    u, v = [], []
+    while n > 1:
+        n -= 1
+        node, own = int(nodes[n]), prints[n].copy()
+        now = np.bitwise_count(prints[:n] ^ own).sum(1, dtype=np.int64)
+        closer = now < least[:n]
+        least[:n][closer], of[:n][closer] = now[closer], node
+        k = int(least[:n].argmin())
+        if least[k] <= distance:
+            u.append(of[k])
+            v.append(nodes[k])
+        # the chosen class is the next to go, from the end
+        for x in (nodes, prints, least, of):
+            x[[k, n - 1]] = x[[n - 1, k]]
+    if u:
+        yield np.array(u, "i8"), np.array(v, "i8")
+
+
+def _across(nodes: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within ``distance`` whose last longs differ; these are not part of the fingerprint."""
+    label, prints = prints[:, -1], prints[:, :-1]
+    for k in range(len(nodes) - 1):
+        other = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
+        near = other[np.bitwise_count(prints[other] ^ prints[k]).sum(1, dtype=np.int64) <= distance]
+        if len(near):
+            yield np.full(len(near), nodes[k]), nodes[near]
+
+
 def _meet(rows: DataFrame, longs: int, distance: int, limit: int | None = BUCKET, forest: Callable = _forest) -> DataFrame:
     """Rows ``mask, key, node, w0 ...`` meet on mask and key: ``u, v`` are links; rows with null ``v`` are of large buckets.
 
@@ -249,28 +298,79 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Rows of ``u, v`` (doc_ids) whose texts' shingle sets have the Jaccard similarity or more.
+
+    Where an id has several texts, it is enough that two of them do.
+    """
+    prepare(docs.sparkSession)
+    wanted = pairs.select("u").union(pairs.select("v")).distinct()
+    own = stored(texts(docs).join(wanted, F.col("doc_id") == F.col("u"), "left_semi").distinct(), "texts")
+    sides = [own.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")).hint("merge") for c in ("u", "v")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(64)
+        def shingles(text: str) -> np.ndarray:
+            return np.unique(shingle_hashes(text, words))
+
+        for batch in batches:
+            kept = []
+            for one, two in zip(batch.column("tu").to_pylist(), batch.column("tv").to_pylist(), strict=True):
+                a, b = shingles(one), shingles(two)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                kept.append(both > 0 and both / (len(a) + len(b) - both) >= similarity)
+            yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+    # an id with very many pairs: both sides are dealt by exchanges that AQE may split
+    return pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long").distinct()
+
+
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int = 40, width: int = 16, check: int = 8, limit: int = BUCKET) -> DataFrame:
     """``doc_id, component_id`` by likeness (and ``mark``, a BIGINT, if ``docs`` has one), for each row of ``doc_id, text``.
 
-    Fingerprints of ``blocks * width`` bits are compared in the first ``64 * check``. Texts without words do not link
-    here: they share no shingle. A bucket above ``limit`` classes is compared part against part (see ``bucket_links``).
+    Fingerprints of ``blocks * width`` bits, of distinct shingles, are compared in the first ``64 * check``. Pairs up to
+    ``DEVIATIONS`` above the mean distance of the similarity are candidates; only those whose shingle sets have the
+    similarity link. First the least spanning forests of the buckets are judged. Where one of their links fails, another
+    pair may do: in such groups all candidates between parts that are not linked yet are judged as well.
+
+    Texts without words do not link here: they share no shingle. A bucket above ``limit`` classes is compared part
+    against part (see ``bucket_links``).
     """
     keep = ["mark"] if "mark" in docs.columns else []
     longs = blocks * width // 64
-    names, carried = [f"w{k}" for k in range(longs)], [f"w{k}" for k in range(check)]
-    prints = stored(fingerprints(docs, words, longs, *keep), "wide")
+    names, carried = [f"w{k}" for k in range(longs + 1)], [f"w{k}" for k in range(check)]
+    prints = stored(fingerprints(docs, words, longs, *keep, distinct=True), "wide")
     classes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("node")), "classes")
     per = 64 // width
     key = [F.shiftrightunsigned(f"w{b // per}", width * (b % per)).bitwiseAND((1 << width) - 1) for b in range(blocks)]
-    some = reduce(Column.__or__, (F.col(n) != 0 for n in names))
-    rows = classes.filter(some & F.col("node").isNotNull()).select(
-        "node", *carried, F.explode(F.array(*[F.struct(F.lit(b).cast("long").alias("mask"), k.alias("key")) for b, k in enumerate(key)])).alias("k")
-    )
-    rows = rows.select("k.mask", "k.key", "node", *carried)
-    found = components(bucket_links(rows, check, round(64 * check * differing(similarity)), limit))
+    worded = reduce(Column.__or__, (F.col(n) != 0 for n in names[:-1]))
+    share = differing(similarity)
+    distance = round(64 * check * share + DEVIATIONS * math.sqrt(64 * check * share * (1 - share)))
+
+    def in_blocks(rows: DataFrame, *more: str) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(b).cast("long").alias("mask"), k.alias("key")) for b, k in enumerate(key)]))
+        return rows.select("node", *carried, *more, each.alias("k")).select("k.mask", "k.key", "node", *carried, *more)
+
+    def ordered(links: DataFrame) -> DataFrame:
+        return links.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+    rows = classes.filter(worded & F.col("node").isNotNull())
+    tried = stored(ordered(bucket_links(in_blocks(rows), check, distance, limit, _nearest)), "tried")
+    links = stored(alike(tried, docs, words, similarity), "alike")
+    failed = stored(tried.join(links, ["u", "v"], "left_anti"), "failed")
+    if not failed.isEmpty():
+        part = components(links).select("node", F.col("component_id").alias("part"))
+        loose = stored(components(tried), "loose")
+        doubt = failed.select(F.col("u").alias("node")).join(loose, "node").select("component_id").distinct()
+        some = loose.join(doubt, "component_id", "left_semi").select("node").join(part, "node", "left")
+        some = some.select("node", F.coalesce("part", "node").alias(f"w{check}x"))
+        split = in_blocks(rows.join(some, "node"), f"w{check}x").select("mask", "key", "node", *carried, F.col(f"w{check}x").alias(f"w{check}"))
+        more = ordered(bucket_links(split, check + 1, distance, limit, _across)).join(tried, ["u", "v"], "left_anti")
+        links = links.union(alike(stored(more, "more"), docs, words, similarity))
+    found = components(links)
     named = stored(classes.join(found, "node", "left").select(*names, F.coalesce("component_id", "node").alias("component_id")), "named")
     on = [prints[n] == named[n] for n in names]
-    some = reduce(Column.__or__, (prints[n] != 0 for n in names))
+    some = reduce(Column.__or__, (prints[n] != 0 for n in names[:-1]))
     return prints.join(named.hint("merge"), on).select("doc_id", F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *keep)
 
 

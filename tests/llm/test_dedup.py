@@ -234,6 +234,33 @@ def test_a_chain_longer_than_a_bucket_is_one_group(spark, limit):
     assert brute_components(range(200), links) == dict.fromkeys(range(200), 0)
 
 
+def test_a_repeated_line_does_not_make_copies(spark):
+    r = random.Random(4)
+    line = words(r, 11)
+    rows = [(k, " ".join([line] * 60 + [words(r, 205)])) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert max(jaccard(shingled(a), shingled(b)) for (_, a), (_, b) in combinations(rows, 2)) < 0.1
+    assert simhash.one_of_each(docs).count() == 4
+    copy = spark.createDataFrame([(9, rows[0][1] + f" {line}" * 300)], "doc_id long, text string")  # the line more often: hardly another set
+    assert {x.doc_id for x in simhash.one_of_each(docs.union(copy)).collect()} == {0, 1, 2, 3}
+
+
+def test_near_groups_are_judged_by_their_sets(spark):
+    """Pairs just over and just under the similarity, whatever their fingerprints."""
+    r = random.Random(8)
+    rows, groups = [], {}
+    for k in range(150):
+        base = [f"v{r.random()}" for _ in range(300)]
+        other = [f"v{r.random()}" for _ in range(r.randint(16, 130))]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: len(base) - len(other) // 2] + other[: len(other) // 2]))]
+        groups[k] = jaccard(shingled(rows[-1][1]), shingled(rows[-2][1]))
+    found = {x.doc_id: x.component_id for x in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = {k for k in groups if found[2 * k + 1] == 2 * k}
+    assert not {k for k in linked if groups[k] < 0.8}
+    over = {k for k in groups if groups[k] >= 0.8}
+    assert len(over - linked) <= 0.05 * len(over) and len(over) < 140
+
+
 def test_near_odd_rows(odd, odd_rows, none):
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns
