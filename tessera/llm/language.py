@@ -1,14 +1,14 @@
 """Language ID by Bayesian evidence fusion.
 
-Evidence for each document: its text (byte trigrams, one model a language, fitted on a bounded sample of labelled
-rows), the declared markup language, the address suffix, and its host. Priors of hosts come from the corpus itself: the
+Evidence for each document: its text (byte trigrams, one model for each label, fitted on a bounded number of
+its rows), the declared markup language, the address suffix, and its host. Priors of hosts come from the corpus itself: the
 text posteriors of all documents are summed by host, a host's sums are smoothed by its suffix's, those by all
 documents'. Logarithms of likelihoods and priors add up.
 
 Text likelihoods of long texts would drown all else and are not independent from byte to byte: the mean over the text
 counts as ``WEIGHT`` trigrams, fewer if the text has fewer. A text without letters has no language and is rejected, and
 so is one whose best language stays under ``LEAST`` or that a model of evenly spread bytes explains better than every
-language.
+language. The latter says nothing of a text whose declared language has no model.
 """
 
 from __future__ import annotations
@@ -18,15 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, stored, table, tidy
 
-#: Labelled rows that the text models are fitted on, about: the fit's bound. All else covers all rows.
-SAMPLE = 4000
-#: Languages at most; rarer labels of the sample are not modelled.
-MOST = 64
+#: Rows of a label that its text model is fitted on, about; of a label with fewer, all. All else covers all rows.
+SAMPLE = 1000
+#: Labels whose counts (512 KB each) a task holds before it hands them on.
+HELD = 64
 SLOTS = 1 << 16
 WEIGHT = 64
 LEAST = 0.5
@@ -49,24 +49,33 @@ def _slots(text: str) -> np.ndarray:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities of trigram slots, from about ``sample`` labelled rows picked by hash of doc_id.
+    """Languages and their log probabilities of trigram slots: all labels, each from about ``sample`` rows picked by hash of doc_id.
 
-    Counts are summed on the executors; the driver gets one row a language. Without labelled rows there is no language.
+    Counts are summed on the executors; the driver gets one row a label. A label none of whose rows has a trigram of
+    letters has no model. The model takes 256 KB a language.
     """
     prepare(docs.sparkSession)
     labelled = docs.filter("declared IS NOT NULL AND text IS NOT NULL AND declared <> ''")
-    total = labelled.count()
-    picked = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(min(1.0, sample / max(1, total)) * (1 << 30)) + 1)
+    share = F.least(F.lit(1.0), sample / F.count(F.lit(1))) * (1 << 30)
+    shares = F.broadcast(labelled.groupBy("declared").agg(share.cast("long").alias("below")))  # one row a label
+    picked = labelled.select("doc_id", "declared", "text").join(shares, "declared")
+    picked = picked.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) <= F.col("below"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, own in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([own.astype("<i8").tobytes()])], ["declared", "body"])
+            sums.clear()
+
         for batch in batches:
             for lang, text in zip(batch.column("declared").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = sums.setdefault(lang, np.zeros(SLOTS, np.int64)) if len(sums) < 8 * MOST or lang in sums else None
-                if own is not None:
-                    own += np.bincount(_slots(text), minlength=SLOTS)
-        for lang, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([own.astype("<i8").tobytes()])], ["declared", "body"])
+                if lang not in sums and len(sums) == HELD:
+                    yield from flush()
+                own = sums.setdefault(lang, np.zeros(SLOTS, np.int64))
+                own += np.bincount(_slots(text), minlength=SLOTS)
+        yield from flush()
 
     def add(rows: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(b, "<i8") for b in rows.column("body").to_pylist())
@@ -75,19 +84,20 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     kind = "declared string, body binary"
     found = picked.select("declared", "text").mapInArrow(count, kind).groupBy("declared").applyInArrow(add, kind)
     sums = {r.declared: np.frombuffer(r.body, "<i8") for r in found.collect()}
-    langs = sorted(sorted(sums, key=lambda x: -sums[x].sum())[:MOST])
+    langs = sorted(x for x in sums if sums[x].any())
     counts = np.array([sums[x] for x in langs], float).reshape(len(langs), SLOTS) + 0.05
     return langs, np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32)
 
 
 def scores(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
-    """``doc_id, declared, suffix, host, letters, even`` and ``ll``: the tempered log likelihood of the whole text by language.
+    """``doc_id, declared, suffix, host, letters, even``, ``ll``: the tempered log likelihood of the whole text by language,
+    and ``post``: the posterior of the text alone, zeros if it has no letters.
 
     ``even`` tells that evenly spread bytes explain the text better than any language.
     """
     prepare(docs.sparkSession)
     n = len(langs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST * SLOTS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     flat = -np.log(256.0) * 3 + np.log(256.0)  # a byte after two known ones
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,24 +108,24 @@ def scores(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
                 slots = _slots(text)
                 mean = np.zeros(n)
                 if len(slots) and n:
-                    mean = sum(shared.value[slots[k : k + 65536]].sum(0, dtype=float) for k in range(0, len(slots), 65536)) / len(slots)
+                    step = max(256, 65536 * 4 // n)
+                    mean = sum(shared.value[slots[k : k + step]].sum(0, dtype=float) for k in range(0, len(slots), step)) / len(slots)
                 letters.append(any(map(str.isalpha, text)))
                 even.append(bool(n and len(slots) and mean.max() < flat))
                 ll.append(mean * min(WEIGHT, len(slots)))
+            post = _normal(np.array(ll).reshape(-1, n)) * np.array(letters)[:, None]
             own = [batch.column(c) for c in ("doc_id", "declared", "suffix", "host")]
-            own += [pa.array(letters, pa.bool_()), pa.array(even, pa.bool_()), pa.array(ll, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(own, ["doc_id", "declared", "suffix", "host", "letters", "even", "ll"])
+            own += [pa.array(letters, pa.bool_()), pa.array(even, pa.bool_()), *(pa.array(list(x), pa.list_(pa.float64())) for x in (ll, post))]
+            yield pa.RecordBatch.from_arrays(own, ["doc_id", "declared", "suffix", "host", "letters", "even", "ll", "post"])
         tidy()
 
-    schema = "doc_id long, declared string, suffix string, host string, letters boolean, even boolean, ll array<double>"
+    schema = "doc_id long, declared string, suffix string, host string, letters boolean, even boolean, ll array<double>, post array<double>"
     return docs.select("doc_id", "declared", "suffix", "host", "text").mapInArrow(run, schema)
 
 
-def _normal(logs: list[Column]) -> list[Column]:
-    most = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    parts = [F.exp(x - most) for x in logs]
-    total = sum(parts[1:], parts[0])
-    return [p / total for p in parts]
+def _normal(logs: np.ndarray) -> np.ndarray:
+    parts = np.exp(logs - logs.max(1, keepdims=True)) if len(logs) else logs
+    return parts / parts.sum(1, keepdims=True)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -127,48 +137,47 @@ def identify(docs: DataFrame) -> DataFrame:
     if not langs:
         return docs.select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
     n = len(langs)
-    scored = scores(docs, langs, model)
-    post = _normal([F.col("ll")[k] for k in range(n)])
-    known = F.when(F.col("declared").isin(langs), F.col("declared"))
-    scored = stored(scored.select("*", known.alias("said"), *[F.when(F.col("letters"), p).otherwise(0.0).alias(f"p{k}") for k, p in enumerate(post)]), "scores")
-    p = [f"p{k}" for k in range(n)]
-    sums = [F.sum(x).alias(x) for x in p]
+    scored = stored(scores(docs, langs, model), "scores")
+    sums = F.array(*[F.coalesce(F.sum(F.col("post")[k]), F.lit(0.0)) for k in range(n)])
     # bounded: one row in all, and one for each language that may be declared
-    whole = scored.agg(*[F.coalesce(s, F.lit(0.0)).alias(x) for s, x in zip(sums, p, strict=True)]).first()
-    base = [(whole[x] + 1.0) / (sum(whole) + n) for x in p]
-    said = {r.said: r for r in scored.groupBy("said").agg(*sums).collect() if r.said is not None}
-    heard = {d: [((said[d][x] if d in said else 0.0) + 0.5) / (sum(r[x] for r in said.values()) + 0.5 * n) for x in p] for d in langs}
-
-    def table_of(key: str, above: list[Column], source: DataFrame) -> list[Column]:
-        total = sum((F.col(x) for x in p[1:]), F.col(p[0]))
-        return [((F.col(x) + SMOOTH * a) / (total + SMOOTH)).alias(f"{key}{k}") for k, (x, a) in enumerate(zip(p, above, strict=True))]
-
-    suffixes = scored.filter("suffix IS NOT NULL").groupBy("suffix").agg(*sums)
-    suffixes = suffixes.select(F.col("suffix").alias("s_suffix"), *table_of("s", [F.lit(b) for b in base], suffixes))
-    hosts = scored.filter("host IS NOT NULL").groupBy("host", "suffix").agg(*sums)
-    hosts = hosts.join(suffixes, hosts["suffix"] == F.col("s_suffix"), "left")
-    above = [F.coalesce(F.col(f"s{k}"), F.lit(b)) for k, b in enumerate(base)]
-    hosts = stored(hosts.select(F.col("host").alias("h_host"), F.col("suffix").alias("h_suffix"), *table_of("h", above, hosts)), "hosts")
-    suffixes = stored(suffixes, "suffixes")
+    whole = np.array(scored.agg(sums.alias("p")).first().p)
+    base = (whole + 1.0) / (whole.sum() + n)
+    place = {x: k for k, x in enumerate(langs)}
+    said = np.zeros((n, n))
+    for r in scored.filter("declared IS NOT NULL").groupBy("declared").agg(sums.alias("p")).collect():
+        if r.declared in place:
+            said[place[r.declared]] = r.p
+    heard = np.vstack([np.log((said + 0.5) / (said.sum(0) + 0.5 * n)), np.zeros(n)])  # the last row: nothing said
+    suffixes = scored.filter("suffix IS NOT NULL").groupBy(F.col("suffix").alias("s_suffix")).agg(sums.alias("s"))
+    hosts = scored.filter("host IS NOT NULL").groupBy(F.col("host").alias("h_host"), F.col("suffix").alias("h_suffix")).agg(sums.alias("h"))
+    suffixes, hosts = stored(suffixes, "suffixes"), stored(hosts, "hosts")
     # a host or suffix with very many rows: both sides are dealt by exchanges that AQE may split
     found = scored.join(hosts.hint("merge"), (scored["host"] == hosts["h_host"]) & scored["suffix"].eqNullSafe(hosts["h_suffix"]), "left")
     found = found.join(suffixes.hint("merge"), found["suffix"] == suffixes["s_suffix"], "left")
-    logs = []
-    for k in range(n):
-        prior = F.log(F.coalesce(F.col(f"h{k}"), F.col(f"s{k}"), F.lit(base[k])))
-        declared = F.lit(0.0)
-        for d in langs:
-            declared = F.when(F.col("said") == d, float(np.log(heard[d][k]))).otherwise(declared)
-        logs.append(F.col("ll")[k] + prior + declared)
-    final = _normal(logs)
-    best = F.greatest(*[F.struct(f.alias("p"), F.lit(x).alias("lang")) for f, x in zip(final, langs, strict=True)]) if n > 1 else F.struct(final[0].alias("p"), F.lit(langs[0]).alias("lang"))
-    out = found.select("doc_id", "letters", "even", best.alias("best"))
-    return out.select(
-        "doc_id",
-        F.when(F.col("letters"), F.col("best.lang")).alias("lang"),
-        F.when(F.col("letters"), F.col("best.p")).otherwise(0.0).alias("confidence"),
-        (F.col("letters") & ~F.col("even") & (F.col("best.p") >= LEAST)).alias("kept"),
-    )
+
+    def smoothed(lists: pa.ListArray, above: np.ndarray) -> np.ndarray:
+        """Priors of rows with sums; of those without, what lies above."""
+        out, has = above.copy(), lists.is_valid().to_numpy(zero_copy_only=False)
+        own = lists.drop_null().flatten().to_numpy().reshape(-1, n)
+        out[has] = (own + SMOOTH * above[has]) / (own.sum(1, keepdims=True) + SMOOTH)
+        return out
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ll = batch.column("ll").flatten().to_numpy().reshape(-1, n)
+            prior = smoothed(batch.column("h"), smoothed(batch.column("s"), np.tile(base, (len(ll), 1))))
+            declared = batch.column("declared").to_pylist()
+            final = _normal(ll + np.log(prior) + heard[[place.get(d, n) for d in declared]])
+            best = n - 1 - final[:, ::-1].argmax(1)  # of equals, the last
+            p = final[np.arange(len(ll)), best]
+            letters, even = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("letters", "even"))
+            even = even & np.array([not d or d in place for d in declared], bool)
+            own = [batch.column("doc_id"), pa.array([langs[k] if is_text else None for k, is_text in zip(best, letters, strict=True)], pa.string())]
+            own += [pa.array(np.where(letters, p, 0.0)), pa.array(letters & ~even & (p >= LEAST))]
+            yield pa.RecordBatch.from_arrays(own, ["doc_id", "lang", "confidence", "kept"])
+
+    found = found.select("doc_id", "declared", "letters", "even", "ll", "h", "s")
+    return found.mapInArrow(fuse, "doc_id long, lang string, confidence double, kept boolean")
 
 
 def of_documents(docs: DataFrame) -> DataFrame:

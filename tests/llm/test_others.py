@@ -201,6 +201,20 @@ def test_language_evidence_adds_up(spark):
     assert [(got[k].lang, got[k].kept) for k in (903, 904, 905)] == [(None, False)] * 3
 
 
+def test_rare_and_many_languages_have_models(spark):
+    """A language of 3 rows among 6000, in a script of its own, and 80 labels in all."""
+    r = random.Random(3)
+    say = lambda first, n: " ".join("".join(chr(first + r.randrange(20)) for _ in range(r.randint(2, 6))) for _ in range(n))
+    rows = [(k, say(0x61, 30), "en", None, f"h{k % 3}") for k in range(5500)]
+    rows += [(6000 + k, say(0x10D0, 30), "ka", None, "h0") for k in range(3)]
+    rows += [(7000 + k, say(0x4E00 + 40 * (k % 78), 30), f"x{k % 78:02}", None, "h0") for k in range(156)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, declared string, suffix string, host string")
+    langs, model = language.fit(docs)
+    assert len(langs) == 80 and model.shape[1] == 80
+    got = {x.doc_id: x for x in language.identify(docs).collect()}
+    assert not [(d, got[k]) for k, _, d, _, _ in rows if not got[k].kept or got[k].lang != d]
+
+
 def test_language_odd_rows(odd, odd_rows, none):
     got = language.identify(language.of_documents(odd)).collect()
     assert len(got) == len(odd_rows)
