@@ -2,9 +2,10 @@
 
 A page is read once, tag by tag. Text outside what is never article (menus, site headers and footers, asides, forms,
 scripts, styles, and containers named as adverts, notices, comments and the like) falls into blocks. Pass one decides
-blocks by length, link density and stop-word density; blocks in an ``article`` or ``main`` element are text unless they
-are little but links. Pass two gives the label of the nearest decided neighbours to short blocks that pass one left
-open: of two that differ, that of the nearer one, and if both are as near, not text; a heading goes with what follows.
+blocks by length, link density and stop-word density: links can make a block false, stop words only true. Pass two gives
+the label of the nearest decided neighbours to blocks that pass one left open: of two that differ, that of the nearer
+one, and if both are as near, not text; a paragraph is text if either is; a heading goes with what follows. An ``article`` or ``main`` element allows more
+links and decides where nothing else does; blocks outside are judged as if it were not there.
 """
 
 from __future__ import annotations
@@ -153,28 +154,27 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
 
 
 def first_pass(text: str, linked: int, in_article: bool) -> bool | None:
-    """Whether a block is text; None if open."""
+    """Whether a block is text; None if open. In an article, more links are let pass, and few make no block false."""
     density = linked / max(1, len(text))
-    if in_article:
-        return density < ARTICLE_LINKS
     if density > LINKS:
-        return False
+        return None if in_article and density < ARTICLE_LINKS else False
     if "©" in text or len(text) < SHORT:
-        return False if density else None
+        return False if density and not in_article else None
     words = _WORD.findall(text.lower())
     stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stop >= STOP_HIGH:
         return True
-    return None if stop >= STOP_LOW or len(text) >= LONG and stop > STOP_LOW / 2 else False
+    return None if in_article or stop >= STOP_LOW or len(text) >= LONG and stop > STOP_LOW / 2 else False
 
 
-def second_pass(labels: list[bool | None], headings: list[bool] | None = None) -> list[bool]:
+def second_pass(labels: list[bool | None], headings: list[bool] | None = None, full: list[bool] | None = None) -> list[bool]:
     """Open blocks take the label of their nearest decided neighbours; of two that differ, the nearer one's, not text if level.
 
-    Open headings take the label of what follows. Where nothing is decided, open blocks are not text.
+    Open headings take the label of what follows; ``full`` blocks (paragraphs rather than labels) are text if either
+    neighbour is. Where nothing is decided, open blocks are not text.
     """
     n = len(labels)
-    headings = headings or [False] * n
+    headings, full = headings or [False] * n, full or [False] * n
     before, after = [(None, n + 1)] * n, [(None, n + 1)] * n
     for order, side in ((range(n), before), (range(n - 1, -1, -1), after)):
         last = (None, n + 1)
@@ -185,18 +185,31 @@ def second_pass(labels: list[bool | None], headings: list[bool] | None = None) -
     for i, label in enumerate(labels):
         if label is None:
             (a, da), (b, db) = before[i], after[i]
-            label = bool(b) if headings[i] else bool(a) if da < db else bool(b) if db < da else bool(a and b)
+            label = bool(b) if headings[i] else bool(a or b) if full[i] else bool(a) if da < db else bool(b) if db < da else bool(a and b)
         out.append(label)
     return out
 
 
 def main_text(page: str | None) -> str:
-    """The article's blocks joined by one space; empty if there are none. Where an article is marked, the rest is not text."""
+    """The article's blocks joined by one space; empty if there are none.
+
+    Blocks in and outside marked articles are judged in the same way, but each by neighbours of their own kind. Where
+    stop words tell no text (the page's language may be none of the listed ones), open blocks with few links are text:
+    all those in an article, outside those of ``SHORT`` characters, or of ``LONG`` if an article is marked as well.
+    """
     found = list(blocks(page or ""))
-    if any(b[2] for b in found):
-        found = [b for b in found if b[2]]
-    labels = second_pass([first_pass(*b[:3]) for b in found], [b[3] for b in found])
-    return " ".join(b[0] for b, kept in zip(found, labels, strict=True) if kept)
+    marked = any(b[2] for b in found)
+    kept = [False] * len(found)
+    for inside in (True, False):
+        at = [k for k, b in enumerate(found) if b[2] == inside]
+        labels = [first_pass(*found[k][:3]) for k in at]
+        if True not in labels:
+            least = 0 if inside else LONG if marked else SHORT
+            labels = [True if x is None and len(found[k][0]) >= least and (inside or "©" not in found[k][0]) else x for k, x in zip(at, labels, strict=True)]
+        full = [len(found[k][0]) >= SHORT and "©" not in found[k][0] for k in at]
+        for k, x in zip(at, second_pass(labels, [found[k][3] for k in at], full), strict=True):
+            kept[k] = x
+    return " ".join(b[0] for b, own in zip(found, kept, strict=True) if own)
 
 
 def extract(pages: DataFrame) -> DataFrame:

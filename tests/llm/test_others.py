@@ -266,6 +266,14 @@ def test_html_without_an_article():
     assert html.second_pass([False, None, True], [False, True, False]) == [False, True, True]
 
 
+def test_html_teaser_articles_do_not_hide_the_body():
+    long = "This is the text of the story and it was told by the man who had been there for all of the days. " * 3
+    body = f"<div>{long}</div><div>It was short.</div><div>{long}</div>"
+    for card in ("<article><h2>Other news</h2><p>Some words.</p></article>", "<main><p>Loading</p></main>"):
+        text = html.main_text(f"<body><div><a href=a>Home</a></div>{body}{card}</body>")
+        assert " ".join(f"{long}It was short. {long}".split()) in text
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<b", ">", "<", "</", "<!--", "-->", "<script>", "</script>", '<a href="', '"', "text ", "&amp", "&#x41;", "<article>", "</article>", "<div class=ad>", "</div>", "'", "<br/>", "<!x"])))
 def test_html_of_any_soup(parts):
