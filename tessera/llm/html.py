@@ -50,7 +50,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 SHORT, LONG = 70, 200
 LINKS, ARTICLE_LINKS = 0.33, 0.8
-STOP_LOW, STOP_HIGH = 0.30, 0.32
+STOP_HIGH = 0.32
 
 
 def _named(name: str, in_article: bool) -> bool:
@@ -161,10 +161,7 @@ def first_pass(text: str, linked: int, in_article: bool) -> bool | None:
     if "©" in text or len(text) < SHORT:
         return False if density and not in_article else None
     words = _WORD.findall(text.lower())
-    stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stop >= STOP_HIGH:
-        return True
-    return None if in_article or stop >= STOP_LOW or len(text) >= LONG and stop > STOP_LOW / 2 else False
+    return True if sum(w in STOP_WORDS for w in words) >= STOP_HIGH * max(1, len(words)) else None
 
 
 def second_pass(labels: list[bool | None], headings: list[bool] | None = None, full: list[bool] | None = None) -> list[bool]:

@@ -274,6 +274,19 @@ def test_html_teaser_articles_do_not_hide_the_body():
         assert " ".join(f"{long}It was short. {long}".split()) in text
 
 
+def test_html_without_listed_stop_words():
+    """Paragraphs of few or none of the listed words stay, with the article tag or without."""
+    r = random.Random(5)
+    say = lambda n: " ".join("".join(r.choice("aäikloptuvy") for _ in range(r.randint(3, 9))) for _ in range(n))
+    for mixed in (False, True):
+        own = [say(12), say(60), say(25), say(90)]
+        if mixed:
+            own[1:1] = ["This is the text of the story and it was told by the man who had been there for all of the days."]
+        inner = "".join(f"<p>{p}</p>" for p in own)
+        for page in (f"<article>{inner}</article>", f"<div><a href=a>Etusivu</a></div><div>{inner}</div><div><a href=b>Lue muuta</a></div>"):
+            assert html.main_text(page) == " ".join(own), page
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<b", ">", "<", "</", "<!--", "-->", "<script>", "</script>", '<a href="', '"', "text ", "&amp", "&#x41;", "<article>", "</article>", "<div class=ad>", "</div>", "'", "<br/>", "<!x"])))
 def test_html_of_any_soup(parts):
