@@ -50,3 +50,20 @@ def rows_of(spark, sf):
         return [tuple(r) for r in spark.read.parquet(f"{sf}/{name}.parquet").select(*columns).collect()]
 
     return get
+
+
+@pytest.fixture
+def second_writer():
+    """Let another writer commit just before the next commit of ``commits``."""
+
+    def between(commits, other):
+        own = commits.commit
+
+        def commit(*args):
+            commits.commit = own
+            other()
+            return own(*args)
+
+        commits.commit = commit
+
+    return between

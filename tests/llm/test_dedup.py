@@ -74,8 +74,36 @@ def test_index_persists_over_batches(spark, tmp_path):
     assert (first.count(), second.count(), third.count()) == (2, 1, 0)
     plan = first.join(first.hint("merge").withColumnRenamed("keep_id", "k"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan  # the buckets are used
-    (tmp_path / "index" / ".tmp-crashed").mkdir()
-    assert len(index.batches()) == 3
+    (tmp_path / "index" / "commits" / ".tmp-crashed").write_text("{")
+    assert len(index.levels()) == 3
+
+
+def test_index_merges_levels(spark, tmp_path):
+    """Many batches: few levels, one file a bucket, and a look-up that joins as often as there are levels."""
+    index = dedup_exact.DigestIndex(spark, f"file://{tmp_path}/index", buckets=4)
+    first, size = {}, {}
+    for k in range(9):
+        rows = [(100 * k + i, f"t{(7 * k + i * i) % 40}") for i in range(12)]
+        for i, t in rows:
+            first.setdefault(t, i)
+            size[t] = size.get(t, 0) + 1
+        index.add(dedup_exact.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+        assert len(index.levels()) <= 3
+    assert sorted((r.keep_id, r.group_size) for r in index.entries().collect()) == sorted((first[t], size[t]) for t in first)
+    for level in index.levels():
+        files = [f for f in (tmp_path / "index" / "levels" / level["new"].rpartition("/")[2]).iterdir() if f.name.startswith("part")]
+        assert len(files) <= level["buckets"]
+    plan = dedup_exact.DigestIndex(spark, index.root).entries()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
+def test_two_writers_of_an_index(spark, tmp_path, second_writer):
+    make = lambda rows: dedup_exact.digests(spark.createDataFrame(rows, "doc_id long, text string"))
+    a, b = (dedup_exact.DigestIndex(spark, f"file://{tmp_path}/index", buckets=2) for _ in "12")
+    a.add(make([(1, "a")]))
+    second_writer(a.commits, lambda: b.add(make([(2, "b"), (3, "c")])))
+    a.add(make([(4, "b"), (5, "d")]))
+    assert sorted((r.keep_id, r.group_size) for r in b.entries().collect()) == [(1, 1), (2, 2), (3, 1), (5, 1)]
 
 
 # -- SimHash ------------------------------------------------------------------------------------------------------

@@ -152,15 +152,57 @@ def test_rollup_deltas(spark, tmp_path):
     assert totals() == {}
     one = make([(1, "v1", "a", "en", 10, "insert"), (2, "v1", "a", "en", 5, "insert"), (3, "v1", None, None, 7, "insert"), (1, "v2", "a", "en", 9, "insert"), (None, "v1", "a", "en", 9, "insert")])
     assert r.apply("one", one)
-    first = {("a", "en", "v1"): (2, 15), (None, None, "v1"): (1, 7), ("a", "en", "v2"): (1, 9)}
+    first = {("a", "en", "v1"): (3, 24), (None, None, "v1"): (1, 7), ("a", "en", "v2"): (1, 9)}
     assert totals() == first
     assert not r.apply("one", one) and totals() == first  # delivered again
     assert r.apply("two", make([(1, "v1", "b", "en", 12, "revise"), (2, "v1", None, None, None, "delete"), (9, "v1", None, None, None, "delete")]))
-    assert totals() == {("b", "en", "v1"): (1, 12), (None, None, "v1"): (1, 7), ("a", "en", "v2"): (1, 9)}
+    assert totals() == {("a", "en", "v1"): (1, 9), ("b", "en", "v1"): (1, 12), (None, None, "v1"): (1, 7), ("a", "en", "v2"): (1, 9)}
     assert r.apply("three", make([(2, "v1", "a", "en", 6, "insert"), (2, "v1", "a", "en", 6, "insert")]))
-    assert totals()[("a", "en", "v1")] == (1, 6)
-    assert r.apply("none", make([])) and [b for _, b in r.batches()] == ["one", "two", "three", "none"]
-    assert {(x.doc_id, x.tokenizer): x.n_tokens for x in r.ledger().collect()} == {(1, "v1"): 12, (2, "v1"): 6, (3, "v1"): 7, (1, "v2"): 9}
+    assert totals()[("a", "en", "v1")] == (3, 21)  # repeated rows count each
+    assert r.apply("none", make([])) and r.batches() == ["one", "two", "three", "none"]
+    assert {(x.doc_id, x.tokenizer): (x.n_docs, x.n_tokens) for x in r.ledger().collect()} == {(1, "v1"): (1, 12), (2, "v1"): (2, 12), (3, "v1"): (1, 7), (1, "v2"): (1, 9), (None, "v1"): (1, 9)}
+    before = totals()
+    r.compact()
+    assert totals() == before and len(r.commits.latest()[1]["ledger"]) == 1
+    assert r.apply("four", make([(2, "v1", "a", "en", 1, "revise"), (None, "v1", None, None, None, "delete"), (3, "v1", None, None, 1, "odd"), (3, None, "a", "en", 1, "insert")]))
+    assert totals() == {("a", "en", "v1"): (1, 1), ("b", "en", "v1"): (1, 12), (None, None, "v1"): (1, 7), ("a", "en", "v2"): (1, 9)}
+
+
+def test_rollup_order_within_a_batch(spark, tmp_path):
+    r = rollup.Rollup(spark, f"file://{tmp_path}/r")
+    rows = [(1, 5, "insert", 1), (1, 6, "revise", 2), (1, 7, "insert", 3), (2, 5, "insert", 2), (2, None, "delete", 1), (3, 5, "insert", 1), (3, None, "delete", 2)]
+    rows += [(4, 8, "revise", 1), (4, None, "delete", 1), (4, 1, "insert", 1)]
+    make = spark.createDataFrame([(a, "v", "s", "en", n, op, q) for a, n, op, q in rows], "doc_id long, tokenizer string, source string, lang string, n_tokens long, op string, seq long")
+    r.apply("x", make)
+    assert {x.doc_id: (x.n_docs, x.n_tokens) for x in r.ledger().collect()} == {1: (2, 13), 2: (1, 5), 4: (2, 9)}
+
+
+def test_rollup_totals_of_odd_rows_are_a_plain_group_by(spark, odd, odd_rows, tmp_path, library):
+    from pyspark.sql import functions as F
+
+    r, wanted = rollup.Rollup(spark, f"file://{tmp_path}/r"), {}
+    r.apply("all", rollup.counts(odd, PATH, "v").withColumn("op", F.lit("insert")))
+    for row in odd_rows:
+        n, t = wanted.get(row[3:1:-1], (0, 0))
+        wanted[row[3:1:-1]] = (n + 1, t + len(library.encode(row[1] or "", add_special_tokens=False).ids))
+    assert {(x.source, x.lang): (x.n_docs, x.n_tokens) for x in r.totals().collect()} == wanted
+
+
+def test_rollup_merges_parts_and_keeps_what_counts(spark, tmp_path):
+    """Many batches: totals after each equal a model's; parts stay few."""
+    import random
+
+    q, state = random.Random(5), {}
+    r = rollup.Rollup(spark, f"file://{tmp_path}/r")
+    for k in range(9):
+        rows = [(q.randrange(6), "v", q.choice("ab"), "en", q.randrange(9), q.choice(["insert", "insert", "revise", "delete"]), j) for j in range(5)]
+        for i, _, s, _, n, op, _ in rows:
+            state[i] = [*(state.get(i, []) if op == "insert" else []), *([(s, n)] if op != "delete" else [])]
+        r.apply(str(k), spark.createDataFrame(rows, "doc_id long, tokenizer string, source string, lang string, n_tokens long, op string, seq long"))
+        r.compact()
+        assert len(r.commits.latest()[1]["ledger"]) <= 3 and len(r.commits.latest()[1]["deltas"]) <= 3
+    wanted = {s: (sum(x == s for v in state.values() for x, _ in v), sum(n for v in state.values() for x, n in v if x == s)) for s in "ab"}
+    assert {x.source: (x.n_docs, x.n_tokens) for x in r.totals().collect()} == {s: v for s, v in wanted.items() if v != (0, 0)}
 
 
 def test_a_crash_before_the_commit_leaves_no_trace(spark, tmp_path):
@@ -173,6 +215,19 @@ def test_a_crash_before_the_commit_leaves_no_trace(spark, tmp_path):
     assert r.batches() == [] and r.apply("x", bad) and r.totals().first().n_tokens == 1
 
 
+def test_two_writers_of_a_rollup(spark, tmp_path, second_writer):
+    root, kind = f"file://{tmp_path}/r", "doc_id long, tokenizer string, source string, lang string, n_tokens long, op string"
+    a, b = rollup.Rollup(spark, root), rollup.Rollup(spark, root)
+    make = lambda n, op: spark.createDataFrame([(1, "v", "a", "en", n, op)], kind)
+    assert a.apply("one", make(5, "insert"))
+    second_writer(a.commits, lambda: b.apply("two", make(7, "revise")))
+    assert a.apply("three", make(9, "revise"))  # its deltas are taken from what "two" left
+    assert a.batches() == ["one", "two", "three"] and a.totals().first().n_tokens == 9 and b.ledger().count() == 1
+    second_writer(a.commits, lambda: b.apply("four", make(2, "insert")))
+    assert not a.apply("four", make(2, "insert"))  # the same batch by both: once
+    assert a.totals().first()[:] == ("a", "en", "v", 2, 11) and len(a.batches()) == 4
+
+
 def test_counts_of_odd_rows(odd, odd_rows, none, library):
     got = sorted(((r.doc_id, r.n_tokens) for r in rollup.counts(odd, PATH, "v").collect()), key=str)
     assert got == sorted(((r[0], len(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in odd_rows), key=str)

@@ -331,20 +331,38 @@ def test_shards_are_merged_by_size(spark, tmp_path):
     assert s.read().count() == 410 and len(list((tmp_path / "t" / "runs").iterdir())) == len(s.manifest()["runs"])
 
 
-def test_a_version_is_committed_once(spark, tmp_path):
+def test_two_writers_of_shards(spark, tmp_path, second_writer):
     a = sharding.Shards(spark, f"file://{tmp_path}/t")
     b = sharding.Shards(spark, f"file://{tmp_path}/t")
     a.append(spark.range(5))
     behind = b.manifest()
-    a.append(spark.range(5))
-    with pytest.raises(RuntimeError, match="committed meanwhile"):
-        b._commit(behind | {"version": behind["version"] + 1})
-    with pytest.raises(ValueError, match="columns"):
-        a.append(spark.range(5).toDF("other"))
-    assert a.read().count() == 10
+    second_writer(a.commits, lambda: b.append(spark.range(5, 7)))
+    a.append(spark.range(7, 10))
+    assert not b._commit(behind, behind["schema"], [])  # taken
+    assert sorted(r.id for r in a.read().collect()) == list(range(10)) and a.versions() == [1, 2, 3]
+    a.append(spark.range(1))
+    second_writer(a.commits, lambda: b.append(spark.range(1)))
+    a.compact()  # an arrival came between: the merge still holds
+    assert a.read().count() == 12 and len(a.manifest()["runs"]) == 2
+    for _ in range(3):
+        a.append(spark.range(1))
+    second_writer(a.commits, b.compact)
+    a.compact()  # merged by both: one of them counts
+    assert a.read().count() == 15
     stray = tmp_path / "t" / "manifests" / ".tmp-x"
     stray.write_text(json.dumps({"broken": 1}))
-    assert b.read().count() == 10
+    assert b.read().count() == 15
+
+
+def test_arrivals_have_the_tables_columns(spark, tmp_path):
+    s = sharding.Shards(spark, f"file://{tmp_path}/t")
+    s.append(spark.range(5))
+    for other in (spark.range(5).toDF("other"), spark.range(5).select(F.col("id").cast("string")), spark.range(5).withColumn("more", F.lit(1))):
+        with pytest.raises(ValueError, match="columns"):
+            s.append(other)
+    assert s.read().count() == 5 and s.versions() == [1]
+    s.append(spark.createDataFrame([(None,)], "id long"))  # nullable or not is no difference
+    assert s.read().count() == 6
 
 
 def test_sharding_odd_rows(spark, odd, odd_rows, none, tmp_path):
