@@ -1,6 +1,7 @@
 """Byte-level BPE as a bounded-lookahead streaming transducer, and the decoder as a byte-to-text state machine.
 
-Encoding works left to right with constant memory beside the text:
+Every text, however short, runs through one ``Transducer`` in chunks of ``CHUNK`` characters. It works left to right with
+constant memory beside the text:
 
 * Pieces of text between the pre-tokenizer's cuts are independent, so a piece is finished once the cut behind it is known.
 * Within a piece, what arrives later can change only tokens near the end. How near follows from the merge list: a
@@ -8,6 +9,8 @@ Encoding works left to right with constant memory beside the text:
   such chain, in bytes, plus the longest token is the *sufficient lookahead* (``lookahead``). A token that ends at
   least that far before the end of what has been read is stable and is emitted; only the rest is kept.
 
+Behind it, ids of finished pieces are remembered in a memo of bounded bytes.
+
 Null texts count as empty; an empty text has no ids. Special tokens are found in the text first, as the tokenizers
 library does. Nothing here learns a vocabulary; files are read from a path.
 """
@@ -19,9 +22,10 @@ import functools
 import heapq
 import json
 import re
+import sys
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import regex
@@ -34,14 +38,12 @@ LATIN = (
     r"| ?[^A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe\t-\r \x85\xa0]+"
     r"|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+"
 )
-#: Pieces of text kept in the memo of one worker, at most.
-MEMO = 600_000
+#: Bytes that the memo of one worker takes, at most.
+MEMO = 96 << 20
 #: Above every merge's rank.
 NEVER = 1 << 62
-#: Bytes of a piece read before stable tokens are emitted.
-CHUNK = 4096
-#: Characters of a text that are cut into pieces at a time.
-WINDOW = 1 << 18
+#: Characters that the transducer reads at a time.
+CHUNK = 1 << 14
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -81,20 +83,50 @@ def _unassigned(char: str) -> bool:
 
 
 class _Memo(dict):
-    """Ids, as little-endian bytes, of pieces seen before; emptied when full, so that memory stays bounded."""
+    """Ids, as little-endian bytes, of pieces seen before; emptied when ``MEMO`` bytes are full."""
 
     def __init__(self, coder: Coder):
-        self.coder = coder
+        self.coder, self.bytes = coder, 0
 
     def __missing__(self, piece: str) -> bytes:
-        out = self.coder.piece_ids(piece.encode())
+        out = array("I", self.coder._merge(piece.encode())).tobytes()
         if len(piece) <= 64:
-            if len(self) >= MEMO:
+            self.bytes += sys.getsizeof(piece) + sys.getsizeof(out) + 104  # and a place in the table
+            if self.bytes > MEMO:
                 self.clear()
+                self.bytes = 0
             self[piece] = out
         return out
 
 
+class Transducer:
+    """Text in by chunks, ids out as soon as they are final. ``cut`` gives the pieces of a text that is taken as complete.
+
+    The state is ``kept``, the text whose ids are not final yet: the last pieces, as far as later characters can change
+    them, or of a piece that goes on, about twice the lookahead. Cutting ``kept`` and what follows gives the same pieces
+    as the whole text: kept text begins at a cut or inside a run of one class that is longer than any fixed piece.
+    """
+
+    def __init__(self, coder: Coder, cut: Callable[[str], list[str]]):
+        self.coder, self.cut, self.kept = coder, cut, ""
+
+    def feed(self, chunk: str) -> bytes:
+        pieces, tail = self.cut(self.kept + chunk), []
+        # the last piece may go on; one of up to two characters before it may be the start of a contraction
+        while pieces and sum(map(len, tail)) < 3:
+            tail.append(pieces.pop())
+        out = [*map(self.coder.memo.__getitem__, pieces)]
+        self.kept = "".join(reversed(tail))
+        if len(tail) == 1:
+            stable, self.kept = self.coder.stable(self.kept)
+            out.append(stable)
+        return b"".join(out)
+
+    def finish(self) -> bytes:
+        kept, self.kept = self.kept, ""
+        return b"".join([*map(self.coder.memo.__getitem__, self.cut(kept))])
+
+
 class Coder:
     """Encoder and decoder of one byte-level BPE file in the tokenizers library's JSON format."""
 
@@ -162,71 +194,41 @@ class Coder:
                 heapq.heappush(heap, (r, h, ids[h], ids[i]))
         return [i for i in ids if i is not None]
 
-    def stream(self, chunks: Iterator[bytes]) -> Iterator[list[int]]:
-        """Ids of one piece that arrives in chunks; each list is final when it is yielded."""
-        kept = b""
-        for chunk in chunks:
-            kept += chunk
-            if len(kept) <= 2 * self.lookahead:
-                continue
-            stable, end = [], 0
-            for i in self._merge(kept):
-                if end + len(self.tokens[i]) > len(kept) - self.lookahead:
-                    break
-                end += len(self.tokens[i])
-                stable.append(i)
-            kept = kept[end:]
-            yield stable
-        yield self._merge(kept)
-
-    def piece_ids(self, piece: bytes) -> bytes:
-        if len(piece) <= CHUNK:
-            return array("I", self._merge(piece)).tobytes()
-        step = max(CHUNK, 4 * self.lookahead)
-        parts = (piece[k : k + step] for k in range(0, len(piece), step))
-        return b"".join(np.array(ids, "<u4").tobytes() for ids in self.stream(parts))
-
-    def _windows(self, text: str, pattern: re.Pattern) -> Iterator[list[str]]:
-        """The text's pieces, window by window; a piece that later characters could change waits for them."""
-        if len(text) <= WINDOW:
-            yield pattern.findall(text)
-            return
-        start = 0
-        while start < len(text):
-            end = start + WINDOW
-            pieces = pattern.findall(text[start:end])
-            if end < len(text):
-                # the last piece may go on; one of up to two characters before it may be the start of a contraction
-                held = 0
-                while pieces and held < 3:
-                    held += len(pieces.pop())
-                if not pieces:  # one piece fills the window: find its end
-                    found = pattern.match(text, start)
-                    yield [found[0]]
-                    start = found.end()
-                    continue
-                end -= held
-            yield pieces
-            start = end
+    def stable(self, piece: str) -> tuple[bytes, str]:
+        """Ids of an open piece that nothing behind it can change, and the text that is left; none of a short one."""
+        data = piece.encode()
+        if len(data) <= 2 * self.lookahead:
+            return b"", piece
+        ids, end, n, at = self._merge(data), 0, 0, 0
+        for k, i in enumerate(ids):
+            at += len(self.tokens[i])
+            if at > len(data) - self.lookahead:
+                break
+            if data[at] & 0xC0 != 0x80:  # a character ends here
+                n, end = k + 1, at
+        return array("I", ids[:n]).tobytes(), data[end:].decode()
+
+    def _cutter(self, text: str) -> Callable[[str], list[str]]:
+        """How texts of these characters are cut: by the plainest pattern that gives the library's pieces."""
+        if text.isascii():
+            return self.latin.findall
+        try:
+            text.encode("latin-1")
+            return self.latin.findall
+        except UnicodeEncodeError:
+            if not any(map(_unassigned, set(text))):
+                return self.pattern.findall
+        from tokenizers import Tokenizer
+
+        self._library = self._library or Tokenizer.from_file(self.path)
+        chars, split = byte_alphabet(), self._library.pre_tokenizer.pre_tokenize_str
+        return lambda t: [bytes(chars[c] for c in piece).decode() for piece, _ in split(t)]
 
     def _plain(self, text: str) -> Iterator[bytes]:
-        pattern, signs = self.latin, ()
-        if not text.isascii():
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                pattern, signs = self.pattern, set(text)
-        if any(map(_unassigned, signs)):
-            from tokenizers import Tokenizer
-
-            self._library = self._library or Tokenizer.from_file(self.path)
-            chars = byte_alphabet()
-            for piece, _ in self._library.pre_tokenizer.pre_tokenize_str(text):
-                yield self.piece_ids(bytes(chars[c] for c in piece))
-            return
-        memo = self.memo
-        for pieces in self._windows(text, pattern):
-            yield b"".join([memo[p] for p in pieces])
+        machine = Transducer(self, self._cutter(text))
+        for k in range(0, len(text), CHUNK):
+            yield machine.feed(text[k : k + CHUNK])
+        yield machine.finish()
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids of a whole text as little-endian unsigned 32-bit integers, in parts as they become final."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +26,6 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.coder(path)
         for batch in batches:
-            import numpy as np
-
             ids = [np.frombuffer(coder.encode_all(t), "<u4").astype("i4") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -38,8 +37,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     prepare(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         coder = bpe.coder(path)
         for batch in batches:
             out = ["".join(coder.decode([np.array(ids or [], "<u4").tobytes()])) for ids in batch.column("ids").to_pylist()]
@@ -83,4 +80,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row of ``documents``; see ``digests``.
+
+    Whole texts of any length run through the transducer and back. A null or empty text has no ids; repeated rows and
+    null ids are returned as they come; an empty table gives no rows; other columns are not read.
+    """
     return digests(table(spark, sf_dir, "documents"), vocabulary())

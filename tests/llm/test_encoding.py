@@ -59,7 +59,7 @@ def test_long_pieces_and_windows(library):
 
 @pytest.mark.parametrize("window", [4, 7, 64])
 def test_windows_do_not_show(monkeypatch, library, window):
-    monkeypatch.setattr(bpe, "WINDOW", window)
+    monkeypatch.setattr(bpe, "CHUNK", window)
     r = random.Random(window)
     for alphabet in ("a  \n'", "'relv d", "a1! \t", "é中x '"):
         for _ in range(150):
@@ -68,14 +68,35 @@ def test_windows_do_not_show(monkeypatch, library, window):
 
 
 def test_what_is_emitted_is_final(library):
-    """Ids that were emitted from a part of a piece are the first ids of the whole piece."""
+    """Ids that were emitted from a part of a text are the first ids of the whole text, in whatever chunks it comes."""
     coder, r = bpe.coder(PATH), random.Random(4)
-    for alphabet in ("ab", "etaoinsh", "=-", "abcdefghijklmnopqrstuvwxyz"):
-        data = "".join(r.choice(alphabet) for _ in range(5000)).encode()
-        whole = coder._merge(data)
+    for alphabet in ("ab", "etaoinsh", "=-", "!'", " \t", " ", "é中", "abcdefghijklmnopqrstuvwxyz", "ab '!s"):
+        text = "".join(r.choice(alphabet) for _ in range(5000)) + "'s x"
+        whole = library.encode(text, add_special_tokens=False).ids
         for step in (7, 301, 1000):
-            out = [i for part in coder.stream(data[k : k + step] for k in range(0, len(data), step)) for i in part]
-            assert out == whole
+            machine, out = bpe.Transducer(coder, coder._cutter(text)), []
+            for k in range(0, len(text), step):
+                out += ids(machine.feed(text[k : k + step]))
+                assert out == whole[: len(out)] and len(machine.kept) <= 2 * coder.lookahead + step
+            assert out + ids(machine.finish()) == whole
+
+
+def test_every_text_runs_through_the_transducer(spark, monkeypatch):
+    fed = []
+    own = bpe.Transducer.feed
+    monkeypatch.setattr(bpe.Transducer, "feed", lambda self, chunk: fed.append(len(chunk)) or own(self, chunk))
+    for text in ("one", "two words", "é中\U000e0fff", "x" * 40_000):
+        fed.clear()
+        bpe.coder(PATH).encode_all(text)
+        assert sum(fed) == len(text) and max(fed) <= bpe.CHUNK
+
+
+def test_the_memo_is_bounded_by_bytes(monkeypatch, library):
+    monkeypatch.setattr(bpe, "MEMO", 20_000)
+    coder = bpe.Coder(PATH)
+    text = " ".join(f"w{k}x" for k in range(2000))
+    assert ids(coder.encode_all(text)) == library.encode(text, add_special_tokens=False).ids
+    assert coder.memo.bytes <= 20_000 and len(coder.memo) < 200
 
 
 def test_lookahead_follows_the_merges():
@@ -96,10 +117,10 @@ def test_memory_stays_bounded():
 
     coder._merge = watch
     try:
-        coder.piece_ids(b"ab" * 500_000)
+        coder.encode_all("ab" * 500_000)
     finally:
         del coder._merge
-    assert max(kept) < 4 * max(bpe.CHUNK, 4 * coder.lookahead)
+    assert max(kept) <= bpe.CHUNK + 2 * coder.lookahead
 
 
 def test_decoder_state_machine(library):
