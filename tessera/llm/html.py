@@ -4,7 +4,7 @@ A page is read once, tag by tag. Text outside what is never article (menus, site
 scripts, styles, and containers named as adverts, notices, comments and the like) falls into blocks. Pass one decides
 blocks by length, link density and stop-word density: links can make a block false, stop words only true. Pass two gives
 the label of the nearest decided neighbours to blocks that pass one left open: of two that differ, that of the nearer
-one, and if both are as near, not text; a paragraph is text if either is; a heading goes with what follows. An ``article`` or ``main`` element allows more
+one, and if both are as near, text in an ``article`` or ``main`` and not text elsewhere; a paragraph is text if either is; a heading goes with what follows. An ``article`` or ``main`` element allows more
 links and decides where nothing else does; blocks outside are judged as if it were not there.
 """
 
@@ -33,8 +33,12 @@ NAMES = frozenset(
     "notice notices notification overlay pager pagination popup privacy promo promotion recommended related reply respond search "
     "share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
-#: Of these names, those that mean little in the middle of a longer name.
-WEAK = frozenset("banner form header legal login recommended reply respond search share skip social teaser widget widgets".split())
+#: Words that tell where or how a container stands. Any other word in a name says that it is about something.
+FRAME = frozenset(
+    "area articles bar block body bottom box btn button buttons card cards center col collapse column container content count desktop fixed follow "
+    "global grid group head hidden icon icons inner item items js latest layout left line link links list main media message mobile module more news "
+    "outer page panel posts primary right row secondary section side site slot sticky stories text theme title tools top unit wrap wrapper zone".split()
+)
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search status".split())
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -46,6 +50,7 @@ STOP_WORDS = frozenset(
 
 _TAG = re.compile(r"<!--|<[!?]|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|</?([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.I)
+_PART = re.compile(r"[^\W\d_]?[^\W\d_A-Z]+|[A-Z]+|\d+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 SHORT, LONG = 70, 200
@@ -54,11 +59,23 @@ STOP_HIGH = 0.32
 
 
 def _named(name: str, in_article: bool) -> bool:
-    parts = [p for p in re.split(r"[^a-z0-9]+", name.lower()) if p]
+    """Whether a class or id names a container of no article text: its words are of ``NAMES``, but for words of ``FRAME``
+    and fewer others than hits, so that "share-buttons" does and "share-price" or "ad-free" do not."""
+    parts = [p.lower() for p in _PART.findall(name)]
     if not parts or not {"has", "with", "no", "not", "without"}.isdisjoint(parts):
         return False
-    hits = NAMES & {"".join(parts), parts[0], parts[-1], *(p for p in parts if p not in WEAK)}
-    return bool(hits - {"header"} if in_article else hits)
+    names = NAMES - {"header"} if in_article else NAMES
+    hits = sum(p in names for p in parts)
+    others = sum(p not in names and p not in FRAME and len(p) > 2 and not p.isdigit() for p in parts)
+    return "".join(parts) in names or hits > others
+
+
+def _closed(attributes: str) -> bool:
+    """Whether a tag closes itself: its last slash is not the end of an unquoted value."""
+    if not attributes.endswith("/"):
+        return False
+    last = attributes.split()[-1]
+    return "=" not in last or last[-2:-1] in ("'", '"')
 
 
 def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
@@ -134,7 +151,7 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
                     if top == tag:
                         break
             continue
-        if tag in VOID or attributes.endswith("/"):
+        if tag in VOID or _closed(attributes):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -164,8 +181,8 @@ def first_pass(text: str, linked: int, in_article: bool) -> bool | None:
     return True if sum(w in STOP_WORDS for w in words) >= STOP_HIGH * max(1, len(words)) else None
 
 
-def second_pass(labels: list[bool | None], headings: list[bool] | None = None, full: list[bool] | None = None) -> list[bool]:
-    """Open blocks take the label of their nearest decided neighbours; of two that differ, the nearer one's, not text if level.
+def second_pass(labels: list[bool | None], headings: list[bool] | None = None, full: list[bool] | None = None, level: bool = False) -> list[bool]:
+    """Open blocks take the label of their nearest decided neighbours; of two that differ, the nearer one's, ``level`` if both are as near.
 
     Open headings take the label of what follows; ``full`` blocks (paragraphs rather than labels) are text if either
     neighbour is. Where nothing is decided, open blocks are not text.
@@ -182,7 +199,7 @@ def second_pass(labels: list[bool | None], headings: list[bool] | None = None, f
     for i, label in enumerate(labels):
         if label is None:
             (a, da), (b, db) = before[i], after[i]
-            label = bool(b) if headings[i] else bool(a or b) if full[i] else bool(a) if da < db else bool(b) if db < da else bool(a and b)
+            label = bool(b) if headings[i] else bool(a or b) if full[i] else bool(a) if da < db else bool(b) if db < da else bool(a or b) if level else bool(a and b)
         out.append(label)
     return out
 
@@ -204,7 +221,7 @@ def main_text(page: str | None) -> str:
             least = 0 if inside else LONG if marked else SHORT
             labels = [True if x is None and len(found[k][0]) >= least and (inside or "©" not in found[k][0]) else x for k, x in zip(at, labels, strict=True)]
         full = [len(found[k][0]) >= SHORT and "©" not in found[k][0] for k in at]
-        for k, x in zip(at, second_pass(labels, [found[k][3] for k in at], full), strict=True):
+        for k, x in zip(at, second_pass(labels, [found[k][3] for k in at], full, level=inside), strict=True):
             kept[k] = x
     return " ".join(b[0] for b, own in zip(found, kept, strict=True) if own)
 
@@ -223,4 +240,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_id, url, text, n_chars`` of every row of ``pages``, from the whole html.
+
+    A null or empty page has an empty text, markup that never ends is read as far as it goes, repeated rows and null ids
+    are returned as they come, an empty table gives no rows, other columns are not read.
+    """
     return extract(table(spark, sf_dir, "pages"))

@@ -258,6 +258,32 @@ def test_html_rules():
     assert html.main_text(PAGE) == "A title First & bold text goes on. Second one <3 point See the link for more words."
 
 
+def test_html_names_about_something_stay():
+    """Names that hold a listed word but are about something, and unquoted values that end with a slash."""
+    for tag in ('p id="share-price"', 'p class="related-work"', 'section id="form-and-function"', 'div class="ad-free"', 'p class="footer_ratio x"', "div data-u=/x/"):
+        assert html.main_text(f"<article><p>One.</p><{tag}>Two.</{tag.split()[0]}><p>Three.</p></article>") == "One. Two. Three."
+    for tag in ("div class=ad data-u=/x/", "div id='share-buttons'", 'div class="relatedPosts"', 'div class="ad-728x90"', "section id=comments-12", 'div class="cookie-policy-banner"', "div class='x site-footer'"):
+        assert html.main_text(f"<article><p>One.</p><{tag}>BUY NOW</{tag.split()[0]}><p>Three.</p></article>") == "One. Three.", tag
+    many = " ".join(f"<a href=/x{k}/>word {k}</a>" for k in range(9))
+    assert html.main_text(f"<article><p>One.</p><p>{many}</p></article>") == "One."  # all links
+    assert html.main_text("<article><p>One.<a name='x'/> Two.</p><div hidden/><p>Three.<br/>Four.</p></article>") == "One. Two. Three. Four."
+    seen = [html._closed(x) for x in ("", "/", " /", " a=/x/", " a='x'/", ' a="x"/', " hidden/", " a=x /")]
+    assert seen == [False, True, True, False, True, True, True, True]
+
+
+def test_both_passes_decide_in_articles():
+    long = "This is the text of the story and it was told by the man who had been there for all of the days. " * 3
+    calls = []
+    own = html.first_pass
+    html.first_pass = lambda *a: calls.append(a) or own(*a)
+    try:
+        page = f"<article><p>{long}</p><p>Short one.</p><ul><li><a href=a>Next</a></li><li><a href=b>Last</a></li></ul></article><p>{long}</p>"
+        assert html.main_text(page) == " ".join(f"{long} Short one. {long}".split())
+    finally:
+        html.first_pass = own
+    assert len(calls) == 5
+
+
 def test_html_without_an_article():
     long = "This is the text of the story and it was told by the man who had been there for all of the days. " * 3
     page = f"<body><div><a href=a>Home</a> <a href=b>News</a></div><div>Menu</div><p>{long}</p><p>Short one.</p><p>{long}</p><div><a href=c>Next page</a></div><div>Top</div></body>"
