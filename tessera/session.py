@@ -6,15 +6,25 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where none is named, one in the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where none is named, one in the warehouse.
+
+    A warehouse on a machine's own disk is refused on a cluster: other machines would not see what is written there.
+    """
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    where = spark._jvm.org.apache.hadoop.fs.Path(warehouse).getFileSystem(spark._jsc.hadoopConfiguration())
+    if where.getUri().getScheme() == "file" and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{warehouse}/_shared"
 
 
 def ship(spark: SparkSession) -> None:
@@ -49,11 +59,27 @@ def clean(spark: SparkSession) -> None:
         remove(spark, _written.pop())
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at files that survive executors."""
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """What is run meanwhile leaves no shuffle files behind, where Spark can remove them at the end of a query."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends at files that survive executors.
+
+    Columns ``parts`` become folders, so that a filter on them reads no others.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with cleaned(spark):
+        df.write.option("compression", "zstd").partitionBy(*parts).parquet(path)
     if not _written:
         atexit.register(clean, spark)
     _written.append(path)
