@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import partitions, shared_dir, ship, stored
+from ..session import cleaned, partitions, shared_dir, ship, stored
 
-__all__ = ["bucketed", "drop", "partitions", "prepare", "shared_dir", "stored", "table", "texts", "tidy"]
+__all__ = ["cleaned", "drop", "partitions", "prepare", "shared_dir", "stored", "table", "texts", "tidy"]
 
 #: Rows per Arrow batch handed to a Python worker; long texts make large rows.
 ARROW_ROWS = 256
@@ -37,15 +35,6 @@ def tidy() -> None:
         trim(0)
 
 
-def bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
-    """Write ``df`` as a table bucketed and sorted by ``keys`` in the (shared) warehouse and read it back."""
-    spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
-    atexit.register(drop, spark, table)
-    return spark.table(table)
-
-
 def drop(spark: SparkSession, table: str) -> None:
     try:
         spark.sql(f"DROP TABLE IF EXISTS {table}")

@@ -1,38 +1,52 @@
-"""Suffix-array dedup: bytes covered by a string of ``LENGTH`` bytes that also starts in a document with a smaller doc_id.
-
-1. *Anchors.* In each window of LENGTH bytes the 25-byte string with the least hash (the leftmost, if equal) is its anchor,
-   so equal windows have equal anchors wherever they lie. A run of windows with one anchor is a *stretch* of 50 to 75 bytes.
-   Documents are dealt into blocks; a block names each of its stretches once: hash of the anchor, hash of the stretch,
-   smallest doc_id.
-2. *Whole stretches.* Shards by anchor hash tell each block which of its stretches a smaller doc_id holds. What is left
-   are the first holders of a stretch whose anchor also has other stretches: ends of copied passages and edits.
-3. *Windows.* Only these stretches are sent as bytes, to the shard of their anchor; those of an anchor that has very many
-   different stretches are sent window by window, to shards by the windows' hashes. There, batches get suffix arrays
-   (sorted suffixes of LENGTH bytes), are merge-scanned against the levels of a logarithmic index family, and levels of
-   equal size merge. Each window learns whether a smaller doc_id has it.
+"""Suffix-array dedup: bytes covered by a string of ``LENGTH`` bytes that also starts in a document that came before.
+
+A ``SuffixIndex`` is a logarithmic family of stored, sorted levels. Each batch of documents gets a sparse suffix array,
+is merge-scanned against the existing levels for long matches, and becomes a level of its own; levels of equal size merge.
+
+1. *Suffixes.* In each window of LENGTH bytes the 25-byte string with the least hash (the leftmost, if equal) is its
+   anchor, so equal windows have equal anchors wherever they lie. A run of windows with one anchor is a *stretch* of 50
+   to 75 bytes. The array of a block of texts has one entry for each stretch, sorted by hashes of its anchor and of its
+   bytes, with its place in the text. (An entry for every byte would be thirteen times as many: see the README.)
+2. *Merge-scan.* Shards of the order take the arrays of all blocks of a batch and the levels, which lie there already,
+   bucketed by shard. An entry that a level has, or a smaller doc_id of the batch, is a match of the whole stretch. What
+   is left are first holders; the new level is made of them, and of the levels that it merges with.
+3. *Windows.* If the anchor of a first holder also has other bytes behind or before it, in the batch or in a level, the
+   match may cover a part of the stretch: these stretches are read from the stored texts, and their windows are compared
+   as bytes. Those of an anchor that has very many different stretches are sent window by window, each window once a
+   block, to shards by the windows' hashes.
 4. Blocks mark the bytes and drop them.
 
-Texts pass once through a table bucketed by block, so that steps 1, 2 and 4 read them without a shuffle. A stretch that
-very many documents share makes one record a block, not one a document.
+Texts lie in a table that is bucketed by block, so that they are written once and read without a shuffle. A block is a
+part of what one task has read: neither a key nor a shuffle decides where a row goes, so repeated ids or null ids do not
+meet in one task, and each task writes one file. A stretch that very many documents share makes one record a block.
 
-Whole stretches are equal if 80 bits of hashes are, windows if their bytes are. Null texts are empty. Texts under LENGTH
-bytes lose nothing. Rows with one doc_id never remove each other's bytes; null ids come after all others.
+Whole stretches are equal if 112 bits of hashes are (48 of the anchor, 64 of XXH3 of all bytes; for 10^13 stretches the
+chance of one false match is under 10^-7), windows if their bytes are. Null texts are empty. Texts under LENGTH bytes lose
+nothing. Rows with one doc_id never remove each other's bytes; null ids come after all others, as one id.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import inspect
 import math
+import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, partitions, prepare, stored, table, tidy
+from ..session import remove
+from .commits import Commits
+from .common import cleaned, drop, partitions, prepare, shared_dir, stored, table, tidy
 
 LENGTH = 50
 ANCHOR = 25
@@ -43,9 +57,16 @@ STEP = 1 << 18
 #: Stretches of one anchor above which their windows are dealt out.
 MANY = 2048
 #: Every block sends a record to every shard. Blocks grow with the root of the text times this, so that the number of
-#: records grows in proportion to the text: blocks hold 8 MB at 100 GB of text and 255 MB at 100 TB.
+#: records grows in proportion to the text: blocks hold 8 MB at 100 GB of text and 25 MB at 1 TB.
 SPARSE = 650
-LAST = np.iinfo(np.int64).max
+#: Batches of a table that is deduplicated at once: at least so many, and more if one would be larger than this.
+BATCHES = 3
+BATCH = 1 << 40
+#: A level merges with what comes behind it unless it is this much larger.
+EQUAL = 1.5
+#: Blocks that one task can make; the last takes what is left.
+BLOCKS = 256
+FIRST, LAST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 _SLOT = np.uint64(24)
 _ODD = 0x9E3779B97F4A7C15
@@ -69,11 +90,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def stretches(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of texts ``buf[starts:ends]`` that fill ``buf``: text, first and last window, anchor hash and own hash of each stretch."""
+    """Of texts ``buf[starts:ends]`` that fill ``buf``: text, first and last window and anchor hash of each stretch."""
     n = len(buf)
     if n < LENGTH:
         none = np.empty(0, np.int64)
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_LETTER[buf] * _UP[:n], out=sums[1:])
     h = (sums[ANCHOR:] - sums[:-ANCHOR]) * _DOWN[: n - ANCHOR + 1]
@@ -98,8 +119,7 @@ def stretches(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     new[1:] = (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1)
     first = np.flatnonzero(new)
     lo, hi = windows[first], windows[np.append(first[1:], len(windows)) - 1]
-    own = _mix((sums[hi + LENGTH] - sums[lo]) * _DOWN[lo] + (hi - lo).astype(np.uint64))
-    return np.searchsorted(ends, lo, side="right"), lo, hi, _mix(h[at[first]]), own
+    return np.searchsorted(ends, lo, side="right"), lo, hi, _mix(h[at[first]])
 
 
 class Block:
@@ -112,10 +132,11 @@ class Block:
         size = np.fromiter(map(len, data), np.int64, len(data))
         self.end = np.cumsum(size)
         self.base = self.end - size
-        self.buf = np.frombuffer(b"".join(data), np.uint8)
+        self.data = b"".join(data)
+        self.buf = np.frombuffer(self.data, np.uint8)
 
     def stretches(self) -> tuple[np.ndarray, ...]:
-        """Row, first and last window (in ``buf``), anchor hash (48 bits) and own hash (32 bits) of all stretches."""
+        """Row, first and last window (in ``buf``), hash of the anchor (48 bits) and of all bytes of each stretch."""
         found, row = [], 0
         while row < len(self.base):
             a, stop = self.base[row], row + 1
@@ -125,15 +146,17 @@ class Block:
                 for at in range(a, self.end[row], STEP):
                     to = min(at + STEP + LENGTH - 1, self.end[row])
                     part = stretches(self.buf[at:to], np.array([0]), np.array([to - at]))
-                    found.append((part[0] + row, part[1] + at, part[2] + at, *part[3:]))
+                    found.append((part[0] + row, part[1] + at, part[2] + at, part[3]))
             else:
                 to = self.end[stop - 1]
                 filled = np.flatnonzero(self.end[row:stop] > self.base[row:stop]) + row
                 part = stretches(self.buf[a:to], self.base[filled] - a, self.end[filled] - a)
-                found.append((filled[part[0]], part[1] + a, part[2] + a, *part[3:]))
+                found.append((filled[part[0]], part[1] + a, part[2] + a, part[3]))
             row = stop
-        row, lo, hi, anchor, own = (np.concatenate(x) for x in zip(*found, strict=True)) if found else stretches(self.buf[:0], *[np.empty(0, int)] * 2)
-        return row, lo, hi, anchor >> np.uint64(16), (own >> np.uint64(32)).astype(np.uint32)
+        row, lo, hi, anchor = (np.concatenate(x) for x in zip(*found, strict=True)) if found else stretches(self.buf[:0], *[np.empty(0, int)] * 2)
+        digest, data = xxhash.xxh3_64_intdigest, self.data
+        own = np.fromiter((digest(data[a:b], 17) for a, b in zip(lo.tolist(), (hi + LENGTH).tolist(), strict=True)), np.uint64, len(lo))
+        return row, lo, hi, anchor >> np.uint64(16), own
 
 
 def _planes(*columns: np.ndarray) -> bytes:
@@ -150,85 +173,251 @@ def _columns(body: bytes, n: int, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _parsed(bodies: list[bytes], sizes: list[int], *kinds: str) -> list[np.ndarray]:
+    parts = [_columns(b, n, *kinds) for b, n in zip(bodies, sizes, strict=True)]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, k) for k in kinds]
+
+
 def _halves(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (anchor >> np.uint64(16)).astype(np.uint32), (anchor & np.uint64(0xFFFF)).astype(np.uint16)
 
 
+def _whole(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return high.astype(np.uint64) << np.uint64(16) | low
+
+
 def _distinct(anchor: np.ndarray, own: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by anchor, own hash and doc, and where in it a new stretch begins: its smallest doc."""
     order = np.lexsort((doc, own, anchor))
-    a, o = anchor[order], own[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (o[1:] != o[:-1])
-    return order, new
+    return order, _changes(anchor[order], own[order])
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = reduce(np.logical_or, (c[1:] != c[:-1] for c in columns))
+    return new
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.Table.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+def _runs(key: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Key, from and to of the runs of a sorted array."""
+    cuts = np.append(np.flatnonzero(_changes(key)) if len(key) else [], len(key)).astype(int).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(key[a]), a, b
+
+
+# -- blocks -----------------------------------------------------------------------------------------------------------
+
+_M32 = 0xFFFFFFFF
+
+
+def _rotated(x: int, n: int) -> int:
+    return (x << n | x >> 32 - n) & _M32
+
+
+def _back(x: int, shift: int) -> int:
+    """The number whose xor with itself shifted right is ``x``."""
+    out = x
+    for _ in range(32 // shift):
+        out = x ^ out >> shift
+    return out
+
+
+def block_number(target: int, low: int) -> int:
+    """A long with these low 32 bits whose hash, as Spark deals rows to buckets and partitions (Murmur3, seed 42), is ``target``.
+
+    The hash of a long takes in its low and then its high half by steps that can be undone, so the high half follows from
+    the hash that is wanted.
+    """
+    mixed = lambda k: _rotated(k * 0xCC9E2D51 & _M32, 15) * 0x1B873593 & _M32
+    inverse = lambda x: pow(x, -1, 1 << 32)
+    state = _rotated(42 ^ mixed(low), 13) * 5 + 0xE6546B64 & _M32
+    last = _back(target, 16) * inverse(0xC2B2AE35) & _M32
+    last = _back(_back(last, 13) * inverse(0x85EBCA6B) & _M32, 16) ^ 8
+    high = _rotated((last - 0xE6546B64) * inverse(5) & _M32, 19) ^ state
+    high = _rotated(high * inverse(0x1B873593) & _M32, 17) * inverse(0xCC9E2D51) & _M32
+    out = high << 32 | low
+    return out - (1 << 64) if out >> 63 else out
+
+
+def _blocks(buckets: int, base: int, size: int) -> Callable:
+    """Rows as they are read, with the number of their block: it hashes to the task's own bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        number, held = -1, 0
+        for batch in batches:
+            out = []
+            for n in pa.compute.binary_length(batch.column("text").cast(pa.binary())).to_pylist():
+                if number < 0 or held >= size and number < BLOCKS - 1:
+                    number, held = number + 1, 0
+                    block = block_number(task % buckets, base + task * BLOCKS + number & _M32)
+                held += n
+                out.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), *batch.columns], ["block", *batch.schema.names])
+
+    return run
 
 
 _NAMED = "shard long, block long, n int, wide boolean, body binary"
 
 
-def _name(shards: int):
-    """Step 1: a block's distinct stretches, by shard."""
+def _name(shards: int) -> Callable:
+    """Step 1: the sorted array of a block's distinct stretches, by shard."""
 
     def run(rows: pa.Table) -> pa.Table:
         block = Block(rows)
-        row, _, _, anchor, own = block.stretches()
+        row, lo, hi, anchor, own = block.stretches()
         order, new = _distinct(anchor, own, block.doc[row])
         kept = order[new]
-        shard = anchor[kept] % np.uint64(shards)
-        kept = kept[np.argsort(shard, kind="stable")]
-        shard = (anchor[kept] % np.uint64(shards)).astype(np.int64)
-        cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(kept) else [], len(kept)).astype(int)
+        kept = kept[np.argsort(anchor[kept] % np.uint64(shards), kind="stable")]
         out = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            part, doc = kept[a:b], block.doc[row[kept[a:b]]]
+        for shard, a, b in _runs((anchor[kept] % np.uint64(shards)).astype(np.int64)):
+            part = kept[a:b]
+            doc = block.doc[row[part]]
             wide = bool((doc < 0).any() or (doc >> 32).any())
-            out.append((int(shard[a]), rows.column("block")[0].as_py(), b - a, wide, _planes(*_halves(anchor[part]), own[part], doc if wide else doc.astype(np.uint32))))
+            body = _planes(*_halves(anchor[part]), own[part], doc if wide else doc.astype(np.uint32), lo[part].astype(np.uint32), (hi - lo)[part].astype(np.uint8))
+            out.append((shard, rows.column("block")[0].as_py(), b - a, wide, body))
         return _table(out, _NAMED)
 
     return run
 
 
-def _table(rows: list[tuple], schema: str) -> pa.Table:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
-    fields = [f.split() for f in schema.split(", ")]
-    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
-    return pa.Table.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+#: What a shard says. Kind 0 goes to blocks of the batch: n stretches (their first window; 0 held, 1 and 2 to be compared,
+#: 2 if their anchor has many; the smallest doc that holds them). Kind 1 goes to blocks of former batches: stretches whose
+#: bytes are wanted. Kind 2 is the shard of a new level.
+_SCANNED = "kind int, home long, block long, n int, body binary"
+_ENTRY = ("<u4", "<u2", "<u8", "<i8", "<u4", "u1")
 
 
-_TOLD = "block long, n int, body binary"
-
-
-def _tell(rows: pa.Table) -> pa.Table:
-    """Step 2 in a shard: for each block, stretches that a smaller doc_id holds (kind 0) and those whose windows are to be
-    compared (1; 2 if their anchor has many)."""
-    parts = []
-    for block, n, wide, body in zip(*(rows.column(c).to_pylist() for c in ("block", "n", "wide", "body")), strict=True):
-        high, low, own, doc = _columns(body, n, "<u4", "<u2", "<u4", "<i8" if wide else "<u4")
-        parts.append((high.astype(np.uint64) << np.uint64(16) | low, own, doc.astype(np.int64), np.full(n, block, np.int64)))
-    anchor, own, doc, block = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order, new = _distinct(anchor, own, doc)
-    anchor, own, doc, block = anchor[order], own[order], doc[order], block[order]
-    first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-    change = np.ones(len(anchor), bool)
-    change[1:] = anchor[1:] != anchor[:-1]
-    contents = np.add.reduceat(new.astype(np.int64), np.flatnonzero(change))[np.cumsum(change) - 1]
-    held, differs = first < doc, new & (contents > 1)
-    kind = differs.astype(np.uint8) + (differs & (contents > MANY))
-    out = []
-    said = np.flatnonzero(held | differs)
-    said = said[np.argsort(block[said], kind="stable")]
-    cuts = np.append(np.flatnonzero(np.append(True, block[said][1:] != block[said][:-1])) if len(said) else [], len(said)).astype(int)
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        part = said[a:b]
-        out.append((int(block[part[0]]), b - a, _planes(*_halves(anchor[part]), own[part], np.where(held[part], first[part], 0), kind[part])))
-    return _table(out, _TOLD)
+def _entries(anchor: np.ndarray, own: np.ndarray, block: np.ndarray, lo: np.ndarray, size: np.ndarray) -> bytes:
+    return _planes(*_halves(anchor), own, block.astype(np.int64), lo.astype(np.uint32), size.astype(np.uint8))
 
 
-_SORTED = "shard long, block long, q int, doc long, body binary"
+def _found(anchor: np.ndarray, own: np.ndarray, level: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Whether a level has each entry: both are sorted."""
+    have, theirs = level[0] << np.uint64(16) | level[1] >> np.uint64(48), level[1]
+    want = anchor << np.uint64(16) | own >> np.uint64(48)
+    at, out = np.searchsorted(have, want), np.zeros(len(want), bool)
+    left = np.arange(len(want))
+    while len(left):
+        left = left[at[left] < len(have)]
+        left = left[have[at[left]] == want[left]]
+        same = theirs[at[left]] == own[left]
+        out[left[same]] = True
+        left = left[~same]
+        at[left] += 1
+    return out
 
 
-def _sort_out(shards: int):
-    """Step 2 in a block: what is known (a row with shard -1) and the bytes of stretches whose windows are to be compared."""
+def _scan(merging: list[int]) -> Callable:
+    """Step 2 in a shard: the batch's arrays are merge-scanned against each other and the levels.
+
+    ``merging`` are the levels that become one with the batch's.
+    """
+
+    def run(key: tuple, rows: pa.Table, old: pa.Table) -> pa.Table:
+        home = key[0].as_py()
+        parts = []
+        for block, n, wide, body in zip(*(rows.column(c).to_pylist() for c in ("block", "n", "wide", "body")), strict=True):
+            high, low, own, doc, lo, size = _columns(body, n, "<u4", "<u2", "<u8", "<i8" if wide else "<u4", "<u4", "u1")
+            parts.append((_whole(high, low), own, doc.astype(np.int64), np.full(n, block, np.int64), lo, size))
+        anchor, own, doc, block, lo, size = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.empty(0, k) for k in ("<u8", "<u8", "<i8", "<i8", "<u4", "u1")]
+        order, new = _distinct(anchor, own, doc)
+        anchor, own, doc, block, lo, size = (x[order] for x in (anchor, own, doc, block, lo, size))
+        levels: dict[int, tuple[np.ndarray, ...]] = {}
+        for number, n, body in zip(*(old.column(c).to_pylist() for c in ("level", "n", "body")), strict=True):
+            high, low, *rest = _columns(body, n, *_ENTRY)
+            levels[number] = (_whole(high, low), *rest)
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        g_anchor, g_own = anchor[first], own[first]
+        known = np.zeros(len(first), bool)
+        for level in levels.values():
+            known |= _found(g_anchor, g_own, level)
+        # how many different stretches each anchor has
+        change = _changes(g_anchor) if len(first) else np.empty(0, bool)
+        of, heads = np.cumsum(change) - 1, np.flatnonzero(change)
+        contents = np.add.reduceat((~known).astype(np.int64), heads) if len(heads) else np.empty(0, np.int64)
+        spans = {k: [np.searchsorted(x[0], g_anchor[heads], side) for side in ("left", "right")] for k, x in levels.items()}
+        for left, right in spans.values():
+            contents += right - left
+        ask = ~known & (contents[of] > 1)
+        least = np.where(known, FIRST, doc[first])[group]
+        held, asked = least < doc, ask[group] & (doc == least)
+        many = contents > MANY
+        out = []
+        said = np.flatnonzero(held | asked)
+        said = said[np.argsort(block[said], kind="stable")]
+        kind = np.where(held, 0, 1 + many[of][group]).astype(np.uint8)
+        for number, a, b in _runs(block[said]):
+            part = said[a:b]
+            out.append((0, home, number, b - a, _planes(lo[part], kind[part], np.where(held[part], least[part], 0))))
+        wanted = np.zeros(len(heads), bool)
+        wanted[of[ask]] = True
+        for k, (left, right) in spans.items():
+            left, right = left[wanted], right[wanted]
+            size_of = right - left
+            at = np.repeat(left - np.cumsum(size_of) + size_of, size_of) + np.arange(size_of.sum())
+            some, far = np.repeat(many[wanted], size_of), levels[k]
+            turn = np.argsort(far[2][at], kind="stable")
+            at, some = at[turn], some[turn]
+            for number, a, b in _runs(far[2][at]):
+                out.append((1, home, number, b - a, _planes(*_halves(far[0][at[a:b]]), far[3][at[a:b]], far[4][at[a:b]], some[a:b].astype(np.uint8))))
+        own_level = [x[first][~known] for x in (anchor, own, block, lo, size)]
+        joined = [np.concatenate(x) for x in zip(own_level, *(levels[k] for k in merging if k in levels), strict=True)]
+        turn = np.lexsort((joined[1], joined[0]))
+        if len(turn):
+            out.append((2, home, None, len(turn), _entries(*(x[turn] for x in joined))))
+        return _table(out, _SCANNED)
+
+    return run
+
+
+#: What is known of a block (kind 0) and stretches or windows whose bytes are to be compared (kind 1: unit q of the block,
+#: the number of the first window in its stretch and the bytes).
+_SORTED = "kind int, shard long, block long, q int, doc long, body binary"
+
+
+def _units(out: list[tuple], shards: int, number: int, anchor: list[int], doc: list[int], stretch: list[bytes], many: list[bool]) -> tuple[list, list]:
+    """Rows of stretches to be compared, one each, or one a different window of those with ``many``.
+
+    Gives the bits of windows that the block itself knows to be held, as ``(stretch, bit)``, and which unit answers for
+    which window of the others, as ``(unit, stretch, bit)``.
+    """
+    seen: dict[bytes, list[tuple[int, int, int]]] = {}
+    for q, (a, d, text) in enumerate(zip(anchor, doc, stretch, strict=True)):
+        if not many[q]:
+            out.append((1, a % shards, number, q, d, b"\0" + text))
+            continue
+        for k in range(len(text) - LENGTH + 1):
+            seen.setdefault(text[k : k + LENGTH], []).append((d, q, k))
+    known, links, unit = [], [], len(doc)
+    for window, where in seen.items():
+        least = min(where)[0]
+        out.append((1, zlib.crc32(window) % shards, number, unit, least, b"\0" + window))
+        for d, q, k in where:
+            if d > least:
+                known.append((q, k))
+            else:
+                links.append((unit, q, k))
+        unit += 1
+    return known, links
+
+
+def _triples(rows: list[tuple], width: int) -> list[np.ndarray]:
+    return list(np.array(rows, np.int64).reshape(-1, width).T)
+
+
+def _sort_out(shards: int) -> Callable:
+    """Step 3 in a block of the batch: what is known, and the bytes of stretches whose windows are to be compared."""
 
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
         if not rows.num_rows:
@@ -236,154 +425,136 @@ def _sort_out(shards: int):
         block, number = Block(rows), rows.column("block")[0].as_py()
         row, lo, hi, anchor, own = block.stretches()
         doc = block.doc[row]
-        parts = [_columns(b, n, "<u4", "<u2", "<u4", "<i8", "u1") for n, b in zip(told.column("n").to_pylist(), told.column("body").to_pylist(), strict=True)]
-        high, low, t_own, t_doc, differs = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.empty(0, k) for k in ("<u4", "<u2", "<u4", "<i8", "u1")]
-        t_anchor = high.astype(np.uint64) << np.uint64(16) | low
-        # the smallest doc of each stretch: this block's own, or what the shard told
+        t_lo, kind, t_doc = _parsed(told.column("body").to_pylist(), told.column("n").to_pylist(), "<u4", "u1", "<i8")
+        # the smallest doc of each stretch: this block's own, or what the shard told of its entry
         order, new = _distinct(anchor, own, doc)
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
-        least, g_anchor, g_own = doc[order][new], anchor[order][new], own[order][new]
-        pos = _find(g_anchor, g_own, t_anchor, t_own)
-        known = differs == 0
-        least[pos[known]] = t_doc[known]
+        reps = order[new]
+        least = doc[reps]
+        by_place = np.argsort(lo[reps])
+        pos = by_place[np.searchsorted(lo[reps][by_place], t_lo)]
+        least[pos[kind == 0]] = t_doc[kind == 0]
         ask = np.full(len(least), -1, np.int64)
-        asked, many = pos[~known], differs[~known] > 1
+        asked = pos[kind > 0]
         ask[asked] = np.arange(len(asked))
         covered = least[group] < doc
         left = ~covered & (ask[group] >= 0)
-        out = [(-1, number, int(covered.sum()), int(left.sum()), _planes(lo[covered], hi[covered], lo[left], hi[left], ask[group][left]))]
-        one = np.full(len(asked), -1, np.int64)  # a place of each stretch to be compared
-        one[ask[group][left]] = np.flatnonzero(left)
-        data = block.buf.tobytes()
-        for q, s in enumerate(one.tolist()):
-            stretch = data[lo[s] : hi[s] + LENGTH]
-            if not many[q]:
-                out.append((int(anchor[s] % np.uint64(shards)), number, q, int(doc[s]), b"\0" + stretch))
-                continue
-            for k in range(len(stretch) - LENGTH + 1):
-                window = stretch[k : k + LENGTH]
-                out.append((zlib.crc32(window) % shards, number, q, int(doc[s]), bytes([k]) + window))
+        places = reps[asked]
+        out: list[tuple] = []
+        texts = [block.data[a:b] for a, b in zip(lo[places].tolist(), (hi[places] + LENGTH).tolist(), strict=True)]
+        known, links = _units(out, shards, number, anchor[places].tolist(), doc[places].tolist(), texts, (kind[kind > 0] > 1).tolist())
+        sizes = [int(covered.sum()), int(left.sum()), len(known), len(links)]
+        body = _planes(np.array(sizes, np.int64), lo[covered], hi[covered], lo[left], hi[left], ask[group][left], *_triples(known, 2), *_triples(links, 3))
+        out.append((0, None, number, 0, None, body))
         return _table(out, _SORTED)
 
     return run
 
 
-def _find(anchor: np.ndarray, own: np.ndarray, a: np.ndarray, o: np.ndarray) -> np.ndarray:
-    """Where each ``a, o`` stands among the sorted distinct ``anchor, own``; all of them are there."""
-    kind = np.dtype([("a", ">u8"), ("o", ">u4")])
-    have, want = np.empty(len(anchor), kind), np.empty(len(a), kind)
-    have["a"], have["o"], want["a"], want["o"] = anchor, own, a, o
-    return np.searchsorted(_wide(have), _wide(want))
-
+def _fetch(shards: int) -> Callable:
+    """Step 3 in a block of a former batch: the bytes of the stretches that are wanted."""
 
-def _wide(x: np.ndarray) -> np.ndarray:
-    """Big-endian fields as fixed strings, which sort alike; a last byte that is never zero keeps trailing zeros."""
-    raw = x.view(np.uint8).reshape(len(x), 12)
-    return np.ascontiguousarray(np.pad(raw, ((0, 0), (0, 1)), constant_values=1)).view("S13").reshape(len(x))
-
-
-class Family:
-    """A logarithmic index family over suffixes: sorted levels, each suffix with the smallest doc_id that has it.
-
-    ``add`` sorts a batch's suffixes, merge-scans them against the levels and appends them; levels of like size merge, so
-    that a suffix is moved a number of times that grows with the logarithm of what the index holds.
-    """
-
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if rows.num_rows and told.num_rows:
+            block, number = Block(rows), rows.column("block")[0].as_py()
+            high, low, lo, size, many = _parsed(told.column("body").to_pylist(), told.column("n").to_pylist(), "<u4", "<u2", "<u4", "u1", "u1")
+            texts = [block.data[a : a + n + LENGTH] for a, n in zip(lo.tolist(), size.tolist(), strict=True)]
+            _units(out, shards, number, _whole(high, low).tolist(), [FIRST] * len(texts), texts, (many > 0).tolist())
+        return _table(out, _SORTED)
 
-    @staticmethod
-    def _array(suffixes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((docs, suffixes))
-        suffixes, docs = suffixes[order], docs[order]
-        new = np.ones(len(order), bool)
-        new[1:] = suffixes[1:] != suffixes[:-1]
-        return suffixes[new], docs[new]
+    return run
 
-    def add(self, suffixes: np.ndarray, docs: np.ndarray) -> None:
-        level = self._array(suffixes, docs)
-        while self.levels and len(self.levels[-1][0]) < 2 * len(level[0]):
-            other = self.levels.pop()
-            level = self._array(np.concatenate([other[0], level[0]]), np.concatenate([other[1], level[1]]))
-        self.levels.append(level)
 
-    def least(self, suffixes: np.ndarray) -> np.ndarray:
-        """The smallest doc_id that has each suffix; ``LAST`` where none has."""
-        out = np.full(len(suffixes), LAST)
-        for have, docs in self.levels:
-            at = np.minimum(np.searchsorted(have, suffixes), len(have) - 1)
-            out = np.where(have[at] == suffixes, np.minimum(out, docs[at]), out)
-        return out
+_ANSWER = "block long, n int, body binary"
 
 
-#: Stretches of a batch of the index family.
-BATCH = 4096
+def windows(body: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of binary rows (their first byte left out), one row each, the row that each is of, and its number there."""
+    ends = np.frombuffer(body.buffers()[1], "<i4")[body.offset : body.offset + len(body) + 1].astype(np.int64)
+    data = np.frombuffer(body.buffers()[2], np.uint8)
+    starts, many = ends[:-1] + 1, np.diff(ends) - LENGTH
+    row = np.repeat(np.arange(len(body)), many)
+    bit = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    return np.lib.stride_tricks.sliding_window_view(data, LENGTH)[starts[row] + bit] if len(row) else np.empty((0, LENGTH), np.uint8), row, bit
 
 
-def windows(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of the strings, and how many each has."""
-    views = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(d, np.uint8), LENGTH) for d in data]
-    many = np.fromiter(map(len, views), np.int64, len(views))
-    joined = np.concatenate(views) if views else np.empty((0, LENGTH), np.uint8)
-    return np.ascontiguousarray(joined).view(f"S{LENGTH}").reshape(-1), many
+def _hashed(wins: np.ndarray) -> np.ndarray:
+    words = np.zeros((len(wins), -(-LENGTH // 8) * 8), np.uint8)
+    words[:, :LENGTH] = wins
+    out = np.zeros(len(wins), np.uint64)
+    for w in words.view(np.uint64).T:
+        out = _mix(out ^ w) * np.uint64(_ODD)
+    return out
 
 
-_ANSWER = "shard long, block long, q int, doc long, body binary"
+def earlier(wins: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a smaller doc has each window. Sorted by a hash; where equal hashes hide different bytes, by the bytes."""
+    h = _hashed(wins)
+    order = np.lexsort((doc, h))
+    new = _changes(h[order]) if len(h) else np.empty(0, bool)
+    odd = ~new
+    odd[1:] &= (wins[order[1:]] != wins[order[:-1]]).any(1)
+    if odd.any():
+        h = np.unique(np.ascontiguousarray(wins).view(f"V{LENGTH}").reshape(-1), return_inverse=True)[1]
+        order = np.lexsort((doc, h))
+        new = _changes(h[order])
+    out = np.empty(len(h), bool)
+    out[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1] < doc[order]
+    return out
 
 
 def _compare(rows: pa.Table) -> pa.Table:
-    """Step 3 in a shard: a bit for each window of each stretch, set if a smaller doc_id has the window.
+    """Step 3 in a shard: a bit for each window of each unit, set if a smaller doc_id has the window.
 
-    The first byte of a row's bytes is the number of its first window in the stretch.
+    Former batches' units have the smallest doc of all and get no answer.
     """
-    block, q, doc, body = (rows.column(c).to_pylist() for c in ("block", "q", "doc", "body"))
-    order = sorted(range(len(doc)), key=doc.__getitem__)
-    family, out = Family(), []
-    batches = [order[k : k + BATCH] for k in range(0, len(order), BATCH)]
-    for batch in batches:  # in order of doc_id: what a batch must know is in it or in the levels
-        suffixes, many = windows([body[i][1:] for i in batch])
-        docs = np.repeat(np.array([doc[i] for i in batch], np.int64), many)
-        family.add(suffixes, docs)
-        seen = (family.least(suffixes) < docs).astype(np.uint64)
-        ends = np.cumsum(many)
-        bits = np.add.reduceat(seen << (np.arange(len(seen)) - np.repeat(ends - many, many)).astype(np.uint64), ends - many)
-        out += [(i, int(b) << body[i][0]) for i, b in zip(batch, bits, strict=True) if b]
-    by: dict[int, list[tuple[int, int]]] = {}
-    for i, b in out:
-        by.setdefault(block[i], []).append((q[i], b))
-    told = []
-    for k, pairs in by.items():
-        told.append((-2, k, len(pairs), 0, _planes(np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.uint64))))
-    return _table(told, _ANSWER)
+    doc = rows.column("doc").to_numpy()
+    wins, row, bit = windows(rows.column("body").combine_chunks())
+    seen = earlier(wins, doc[row])
+    bits = np.zeros(rows.num_rows, np.uint64)
+    np.bitwise_or.at(bits, row[seen], np.uint64(1) << bit[seen].astype(np.uint64))
+    said = np.flatnonzero(bits)
+    block, q = rows.column("block").to_numpy()[said], rows.column("q").to_numpy()[said]
+    turn = np.argsort(block, kind="stable")
+    block, q, bits = block[turn], q[turn], bits[said][turn]
+    return _table([(number, b - a, _planes(q[a:b].astype(np.int64), bits[a:b])) for number, a, b in _runs(block)], _ANSWER)
 
 
 def _mark(rows: pa.Table, known: pa.Table) -> tuple[Block, np.ndarray]:
-    """Step 4: which bytes of a block go."""
+    """Step 4: which bytes of a block go. Of ``known`` the row with null ``n`` is the block's own, the others are answers."""
     block = Block(rows)
     edge = np.zeros(len(block.buf) + 1, np.int32)
-    masks, asked = [], []
-    for shard, n, m, body in zip(*(known.column(c).to_pylist() for c in ("shard", "q", "doc", "body")), strict=True):
-        if shard == -2:
-            masks.append(_columns(body, n, "<i8", "<u8"))
-            continue
-        width = 16 * n
-        lo, hi = _columns(body[:width], n, "<i8", "<i8")
+    answers, own = [], None
+    for n, body in zip(known.column("n").to_pylist(), known.column("body").to_pylist(), strict=True):
+        if n is None:
+            own = body
+        else:
+            answers.append(_columns(body, n, "<i8", "<u8"))
+    if own is not None:
+        sizes = _columns(own[:32], 4, "<i8")[0].tolist()
+        parts, at = [], 32
+        for n, many in zip(sizes, (2, 3, 2, 3), strict=True):
+            parts.append(_columns(own[at : at + 8 * n * many], n, *["<i8"] * many))
+            at += 8 * n * many
+        (lo, hi), (p_lo, _, p_q), (k_q, k_bit), (unit, l_q, l_bit) = parts
         np.add.at(edge, lo, 1)
         np.add.at(edge, hi + LENGTH, -1)
-        asked = _columns(body[width:], m, "<i8", "<i8", "<i8")
-    if masks:
-        q, bits = (np.concatenate(x) for x in zip(*masks, strict=True))
-        of = np.zeros(max(q.max(), asked[2].max()) + 1, np.uint64)
+        q, bits = (np.concatenate(x) for x in zip(*answers, strict=True)) if answers else (np.empty(0, np.int64), np.empty(0, np.uint64))
+        of = np.zeros(1 + max((int(x.max()) for x in (q, p_q, k_q, unit, l_q) if len(x)), default=0), np.uint64)
         np.bitwise_or.at(of, q, bits)
+        answered = of[unit] > 0
+        np.bitwise_or.at(of, k_q, np.uint64(1) << k_bit.astype(np.uint64))
+        np.bitwise_or.at(of, l_q[answered], np.uint64(1) << l_bit[answered].astype(np.uint64))
         for k in range(LENGTH - ANCHOR + 1):
-            at = asked[0][of[asked[2]] >> np.uint64(k) & np.uint64(1) == 1] + k
+            at = p_lo[of[p_q] >> np.uint64(k) & np.uint64(1) == 1] + k
             np.add.at(edge, at, 1)
             np.add.at(edge, at + LENGTH, -1)
     return block, np.cumsum(edge[:-1]) > 0
 
 
-def _finish(whole: bool):
+def _finish(whole: bool) -> Callable:
     def run(rows: pa.Table, known: pa.Table) -> pa.Table:
         block, gone = _mark(rows, known)
         edges = np.diff(gone.astype(np.int8), prepend=np.int8(0)) == 1
@@ -393,7 +564,7 @@ def _finish(whole: bool):
             removed.append(n)
             # a run that goes on from the text before begins anew
             spans.append(int(edges[a:b].sum()) + int(b > a and gone[a] and not edges[a]))
-            data = block.buf[a:b][~gone[a:b]].tobytes() if n else block.buf[a:b].tobytes()
+            data = block.buf[a:b][~gone[a:b]].tobytes() if n else block.data[a:b]
             kept.append(data.decode(errors="ignore") if whole else hashlib.sha256(data).hexdigest())
         if whole:
             return pa.Table.from_arrays([rows.column("doc_id"), pa.array(kept, pa.string()), rows.column("rest")], ["doc_id", "text", "rest"])
@@ -421,53 +592,155 @@ def _tidied(run: Callable) -> Callable:
         finally:
             tidy()
 
-    return one if len(inspect.signature(run).parameters) == 1 else two
+    def three(key: tuple, rows: pa.Table, more: pa.Table) -> pa.Table:
+        try:
+            return run(key, rows, more)
+        finally:
+            tidy()
+
+    return [one, two, three][len(inspect.signature(run).parameters) - 1]
 
 
-def _search(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The table of blocks (columns besides doc_id and text in ``rest``) and what is known of each."""
+class SuffixIndex:
+    """A logarithmic index family of sparse suffix arrays under ``root`` in a shared file system.
+
+    ``size`` is about the bytes of text that the index is to hold: it fixes the number of shards. Batches come in any
+    number; what an earlier batch holds counts as held by a smaller doc_id. A batch is one commit (see ``commits``): of two
+    writers, the slower scans again what the other has brought. Without ``root`` the index ends with the session.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, size: int = 1 << 30):
+        self.spark = spark
+        self.root = (root or f"{shared_dir(spark)}/suffixes-{uuid.uuid4().hex}").rstrip("/")
+        if root is None:
+            atexit.register(remove, spark, self.root)
+        self.commits = Commits(spark, f"{self.root}/commits")
+        n = max(8, -(-size // max(BLOCK, math.isqrt(SPARSE * size))))
+        if not self.commits.numbers():
+            self.commits.commit(1, {"shards": max(8, n // SHARD), "buckets": min(n, partitions(spark)), "next": 0, "batches": [], "levels": []})
+        self.shards, self.buckets = (self.commits.latest()[1][k] for k in ("shards", "buckets"))
+
+    def levels(self) -> list[dict]:
+        """``path``, ``number`` and ``size`` (bytes of the texts that are in it) of each level, the oldest and largest first."""
+        return self.commits.latest()[1]["levels"]
+
+    # -- tables, bucketed by the hash of a long -------------------------------------------------------------------
+
+    def _write(self, rows: DataFrame, path: str, bucket: str, *parts: str) -> None:
+        """Tasks hold whole buckets already: each writes its own and no other, and nothing is moved."""
+        name = f"suffix_{uuid.uuid4().hex}"
+        writer = rows.write.option("path", path).option("compression", "zstd").bucketBy(self.buckets, bucket)
+        (writer.partitionBy(*parts) if parts else writer).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the files stay
+
+    def _read(self, kind: str, bucket: str, part: str, paths: dict[int, str]) -> DataFrame:
+        """The folders of several batches or levels as one bucketed table."""
+        name = f"suffix_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({kind}, {part} INT) USING parquet PARTITIONED BY ({part}) CLUSTERED BY ({bucket}) INTO {self.buckets} BUCKETS LOCATION '{self.root}/none'")
+        atexit.register(drop, self.spark, name)
+        for number, path in paths.items():
+            self.spark.sql(f"ALTER TABLE {name} ADD PARTITION ({part} = {number}) LOCATION '{path}'")
+        return self.spark.table(name)
+
+    def _has(self, path: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
+    # -- batches --------------------------------------------------------------------------------------------------
+
+    def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Take a batch ``doc_id, text, ...``; gives its blocks (other columns in ``rest``) and what is known of each."""
+        prepare(self.spark)
+        made = f"{self.root}/{uuid.uuid4().hex}"
+        others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+        rest = F.struct(*others) if others else F.lit(None).cast("string")
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest"))
+        kind = f"block BIGINT, doc_id BIGINT, text STRING, rest {rows.schema['rest'].dataType.simpleString()}"
+        lean = "block BIGINT, doc_id BIGINT, text STRING"
+        while True:
+            number, at = self.commits.latest()
+            size = max(BLOCK, math.isqrt(SPARSE * max(1, sum(x["size"] for x in at["levels"]))))
+            base = at["next"]
+            numbered = rows.mapInArrow(_blocks(self.buckets, base, size), self.spark.createDataFrame([], kind).schema)
+            self._write(numbered, f"{made}/blocks", "block")
+            blocks = self._read(kind, "block", "batch", {number: f"{made}/blocks"}).drop("batch")
+            low = F.pmod(F.col("block").bitwiseAND(_M32) - base, F.lit(1 << 32))
+            text, last = blocks.agg(F.sum(F.octet_length("text")), F.max(low)).first()
+            merging, weight = [], text or 0
+            for level in reversed(at["levels"]):
+                if level["size"] > EQUAL * weight:
+                    break
+                merging.append(level)
+                weight += level["size"]
+            levels = self._read("home BIGINT, n INT, body BINARY", "home", "level", {x["number"]: x["path"] for x in at["levels"] if self._has(x["path"])})
+            named = blocks.select("block", "doc_id", "text").groupBy("block").applyInArrow(_tidied(_name(self.shards)), _NAMED)
+            scan = _tidied(_scan([x["number"] for x in merging]))
+            scanned = named.groupBy("shard").cogroup(levels.groupBy("home")).applyInArrow(scan, _SCANNED)
+            with cleaned(self.spark):
+                self._write(scanned, f"{made}/scan", "home", "kind")
+            level = {"number": number, "path": f"{made}/scan/kind=2", "size": weight}
+            new = {
+                "next": base + (-1 if last is None else last) + 1,
+                "batches": [*at["batches"], {"number": number, "path": f"{made}/blocks"}],
+                "levels": [*(x for x in at["levels"] if x not in merging), level],
+            }
+            if self.commits.commit(number + 1, at | new):
+                break
+            remove(self.spark, made)  # another batch came between
+        told = self.spark.read.schema("home long, block long, n int, body binary, kind int").parquet(f"{made}/scan")
+        of = lambda k: told.filter(F.col("kind") == k).select("block", "n", "body").groupBy("block")
+        sorted_out = blocks.select("block", "doc_id", "text").groupBy("block").cogroup(of(0)).applyInArrow(_tidied(_sort_out(self.shards)), _SORTED)
+        if at["batches"]:
+            former = self._read(lean, "block", "batch", {x["number"]: x["path"] for x in at["batches"]}).drop("batch")
+            sorted_out = sorted_out.union(former.groupBy("block").cogroup(of(1)).applyInArrow(_tidied(_fetch(self.shards)), _SORTED))
+        known = stored(sorted_out, "known", "kind")
+        for x in merging:
+            remove(self.spark, x["path"])
+        for k in (0, 1):
+            remove(self.spark, f"{made}/scan/kind={k}")
+        asked = known.filter("kind = 1").select("shard", "block", "q", "doc", "body")
+        answers = asked.groupBy("shard").applyInArrow(_tidied(_compare), _ANSWER)
+        return blocks, known.filter("kind = 0").select("block", F.lit(None).cast("int").alias("n"), "body").union(answers)
+
+
+def _search(docs: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """Blocks and what is known of them, batch by batch: ranges of ascending doc_ids, null ones in the last."""
     spark = docs.sparkSession
-    prepare(spark)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    block = max(BLOCK, math.isqrt(SPARSE * size))
-    n = max(8, -(-size // block))
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    rest = F.struct(*others) if others else F.lit(None).cast("string")
-    blocks = docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest")
-    )
-    blocks = bucketed(blocks, "blocks", min(n, max(partitions(spark), n // 4)), "block")
-    lean = blocks.select("block", "doc_id", "text")
-    shards = max(8, n // SHARD)
-    named = lean.groupBy("block").applyInArrow(_tidied(_name(shards)), _NAMED)
-    told = named.groupBy("shard").applyInArrow(_tidied(_tell), _TOLD)
-    known = lean.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_tidied(_sort_out(shards)), _SORTED)
-    known = stored(known, "known")
-    answers = known.filter("shard >= 0").groupBy("shard").applyInArrow(_tidied(_compare), _ANSWER)
-    return blocks, known.filter("shard = -1").union(answers)
+    rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    n = max(BATCHES, -(-(size or 0) // BATCH))
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / n for k in range(1, n)], 1000 * n)).first()[0] or [] if rows else []
+    index, low = SuffixIndex(spark, size=size or 0), None
+    for high in [*sorted(set(cuts)), None]:
+        part = F.lit(True) if low is None else F.col("doc_id") > low
+        part = part & (F.col("doc_id") <= high) if high is not None else F.col("doc_id").isNull() | part
+        yield index.add(docs.filter(part))
+        low = high
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row."""
-    blocks, known = _search(docs)
-    lean = blocks.select("block", "doc_id", "text")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return lean.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_tidied(_finish(whole=False)), schema)
+    done = [b.select("block", "doc_id", "text").groupBy("block").cogroup(k.groupBy("block")).applyInArrow(_tidied(_finish(whole=False)), schema) for b, k in _search(docs)]
+    return reduce(DataFrame.union, done)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with those bytes dropped from ``text`` (what is left of a cut character goes too); other columns unchanged."""
-    blocks, known = _search(docs)
-    schema = blocks.select("doc_id", "text", "rest").schema
-    done = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_tidied(_finish(whole=True)), schema)
+    done = []
+    for blocks, known in _search(docs):
+        schema = blocks.select("doc_id", "text", "rest").schema
+        done.append(blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_tidied(_finish(whole=True)), schema))
+    done = reduce(DataFrame.union, done)
     return done.select(*[F.col(f"`{c}`") if c in ("doc_id", "text") else F.col(f"rest.`{c}`") for c in docs.columns])
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row of ``documents``, added to an index in batches of
+    ascending doc_id. Null and empty texts have no bytes, texts of any length are read whole, rows with one doc_id (or
+    null) keep what they share, an empty table gives no rows, other columns are not read."""
     return removals(table(spark, sf_dir, "documents"))
 
 
-
 #: All windows as hexadecimal strings; hits less than a window apart are one run.
 ORACLE = f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
