@@ -5,12 +5,12 @@ from __future__ import annotations
 import ctypes
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cleaned, partitions, shared_dir, ship, stored
 
-__all__ = ["cleaned", "drop", "partitions", "prepare", "shared_dir", "stored", "table", "texts", "tidy"]
+__all__ = ["cleaned", "drop", "partitions", "prepare", "row_hashes", "shared_dir", "stored", "table", "texts", "tidy"]
 
 #: Rows per Arrow batch handed to a Python worker; long texts make large rows.
 ARROW_ROWS = 256
@@ -42,6 +42,12 @@ def drop(spark: SparkSession, table: str) -> None:
         pass
 
 
+def row_hashes(*columns: str) -> list[Column]:
+    """Two independent hashes of 64 bits of the columns' values; a null is another value than an empty text."""
+    values = [x for c in columns for x in (F.col(c).isNull(), F.coalesce(F.col(c), F.lit("")))]
+    return [F.xxhash64(F.lit(k), *values) for k in (1, 2)]
+
+
 def texts(df: DataFrame, *keep: str) -> DataFrame:
     """``doc_id`` and whole ``text`` (null counts as empty), other columns left out."""
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)

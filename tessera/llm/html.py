@@ -226,17 +226,19 @@ def main_text(page: str | None) -> str:
     return " ".join(b[0] for b, own in zip(found, kept, strict=True) if own)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars`` of each row of ``pages``; other columns are left out."""
+def extract(pages: DataFrame, *keep: str) -> DataFrame:
+    """``page_id, url, text, n_chars`` of each row of ``pages``, and text columns ``keep``; other columns are left out."""
     prepare(pages.sparkSession)
+    names = ["page_id", "url", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [main_text(h) for h in batch.column("html").to_pylist()]
-            own = [batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())]
-            yield pa.RecordBatch.from_arrays(own, ["page_id", "url", "text", "n_chars"])
+            own = [*map(batch.column, names), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())]
+            yield pa.RecordBatch.from_arrays(own, [*names, "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    kept = "".join(f", {k} string" for k in keep)
+    return pages.select(*names, "html").mapInArrow(run, f"page_id long, url string{kept}, text string, n_chars long")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ Text likelihoods of long texts would drown all else and are not independent from
 counts as ``WEIGHT`` trigrams, fewer if the text has fewer. A text without letters has no language and is rejected, and
 so is one whose best language stays under ``LEAST`` or that a model of evenly spread bytes explains better than every
 language. The latter says nothing of a text whose declared language has no model.
+
+Tables: ``of_documents`` has text, declared language and source (in the place of the host); ``of_pages`` has the main text
+of web pages, the language that the markup declares, and the host and suffix of the address.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, stored, table, tidy
+from . import html
+from .common import prepare, row_hashes, stored, table, tidy
 
 #: Rows of a label that its text model is fitted on, about; of a label with fewer, all. All else covers all rows.
 SAMPLE = 1000
@@ -49,9 +53,9 @@ def _slots(text: str) -> np.ndarray:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities of trigram slots: all labels, each from about ``sample`` rows picked by hash of doc_id.
+    """Languages and their log probabilities of trigram slots: all labels, each from about ``sample`` rows.
 
-    Counts are summed on the executors; the driver gets one row a label. A label none of whose rows has a trigram of
+    Rows are picked by a hash of id and text, so that repeated or null ids are picked one by one. Counts are summed on the executors; the driver gets one row a label. A label none of whose rows has a trigram of
     letters has no model. The model takes 256 KB a language.
     """
     prepare(docs.sparkSession)
@@ -59,7 +63,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     share = F.least(F.lit(1.0), sample / F.count(F.lit(1))) * (1 << 30)
     shares = F.broadcast(labelled.groupBy("declared").agg(share.cast("long").alias("below")))  # one row a label
     picked = labelled.select("doc_id", "declared", "text").join(shares, "declared")
-    picked = picked.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) <= F.col("below"))
+    picked = picked.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) <= F.col("below"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -89,14 +93,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     return langs, np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32)
 
 
-def scores(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
-    """``doc_id, declared, suffix, host, letters, even``, ``ll``: the tempered log likelihood of the whole text by language,
+def scores(docs: DataFrame, langs: list[str], model: np.ndarray, *keep: str) -> DataFrame:
+    """``doc_id``, BIGINT columns ``keep``, ``declared, suffix, host, letters, even``, ``ll``: the tempered log likelihood of the whole text by language,
     and ``post``: the posterior of the text alone, zeros if it has no letters.
 
     ``even`` tells that evenly spread bytes explain the text better than any language.
     """
     prepare(docs.sparkSession)
-    n = len(langs)
+    n, names = len(langs), ["doc_id", *keep, "declared", "suffix", "host"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     flat = -np.log(256.0) * 3 + np.log(256.0)  # a byte after two known ones
 
@@ -114,13 +118,14 @@ def scores(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
                 even.append(bool(n and len(slots) and mean.max() < flat))
                 ll.append(mean * min(WEIGHT, len(slots)))
             post = _normal(np.array(ll).reshape(-1, n)) * np.array(letters)[:, None]
-            own = [batch.column(c) for c in ("doc_id", "declared", "suffix", "host")]
+            own = [batch.column(c) for c in names]
             own += [pa.array(letters, pa.bool_()), pa.array(even, pa.bool_()), *(pa.array(list(x), pa.list_(pa.float64())) for x in (ll, post))]
-            yield pa.RecordBatch.from_arrays(own, ["doc_id", "declared", "suffix", "host", "letters", "even", "ll", "post"])
+            yield pa.RecordBatch.from_arrays(own, [*names, "letters", "even", "ll", "post"])
         tidy()
 
-    schema = "doc_id long, declared string, suffix string, host string, letters boolean, even boolean, ll array<double>, post array<double>"
-    return docs.select("doc_id", "declared", "suffix", "host", "text").mapInArrow(run, schema)
+    kept = "".join(f"{k} long, " for k in keep)
+    schema = f"doc_id long, {kept}declared string, suffix string, host string, letters boolean, even boolean, ll array<double>, post array<double>"
+    return docs.select(*names, "text").mapInArrow(run, schema)
 
 
 def _normal(logs: np.ndarray) -> np.ndarray:
@@ -128,16 +133,16 @@ def _normal(logs: np.ndarray) -> np.ndarray:
     return parts / parts.sum(1, keepdims=True)
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, *keep: str) -> DataFrame:
     """``doc_id, lang, confidence, kept`` for each row of ``doc_id, text, declared, suffix, host`` (the last three may be null).
 
-    Null evidence does not count. Null and empty texts have no language: lang is null, confidence 0, and they are rejected.
+    BIGINT columns ``keep`` are passed through. Null evidence does not count. Null and empty texts have no language: lang is null, confidence 0, and they are rejected.
     """
     langs, model = fit(docs)
     if not langs:
-        return docs.select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
+        return docs.select("doc_id", *keep, F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
     n = len(langs)
-    scored = stored(scores(docs, langs, model), "scores")
+    scored = stored(scores(docs, langs, model, *keep), "scores")
     sums = F.array(*[F.coalesce(F.sum(F.col("post")[k]), F.lit(0.0)) for k in range(n)])
     # bounded: one row in all, and one for each language that may be declared
     whole = np.array(scored.agg(sums.alias("p")).first().p)
@@ -172,40 +177,53 @@ def identify(docs: DataFrame) -> DataFrame:
             p = final[np.arange(len(ll)), best]
             letters, even = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("letters", "even"))
             even = even & np.array([not d or d in place for d in declared], bool)
-            own = [batch.column("doc_id"), pa.array([langs[k] if is_text else None for k, is_text in zip(best, letters, strict=True)], pa.string())]
+            own = [*map(batch.column, ("doc_id", *keep)), pa.array([langs[k] if is_text else None for k, is_text in zip(best, letters, strict=True)], pa.string())]
             own += [pa.array(np.where(letters, p, 0.0)), pa.array(letters & ~even & (p >= LEAST))]
-            yield pa.RecordBatch.from_arrays(own, ["doc_id", "lang", "confidence", "kept"])
+            yield pa.RecordBatch.from_arrays(own, ["doc_id", *keep, "lang", "confidence", "kept"])
 
-    found = found.select("doc_id", "declared", "letters", "even", "ll", "h", "s")
-    return found.mapInArrow(fuse, "doc_id long, lang string, confidence double, kept boolean")
+    found = found.select("doc_id", *keep, "declared", "letters", "even", "ll", "h", "s")
+    return found.mapInArrow(fuse, f"doc_id long, {''.join(f'{k} long, ' for k in keep)}lang string, confidence double, kept boolean")
 
 
-def of_documents(docs: DataFrame) -> DataFrame:
+def of_documents(docs: DataFrame, *keep: str) -> DataFrame:
     """Evidence that ``documents`` hold: the declared language, and the source in the place of the host."""
-    return docs.select("doc_id", "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"))
+    nothing = F.lit(None).cast("string").alias("suffix")
+    return docs.select("doc_id", *keep, "text", F.col("lang").alias("declared"), nothing, F.col("source").alias("host"))
 
 
 def of_pages(pages: DataFrame) -> DataFrame:
-    """Evidence that web pages hold, with ``page_id`` as doc_id; texts are to be extracted first (``html.extract``)."""
-    host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
+    """Evidence that web pages hold, with ``page_id`` as doc_id: main text, declared language, address suffix and host."""
     lang = F.lower(F.regexp_extract("html", r"""(?i)<html[^>]*\slang\s*=\s*["']?([a-zA-Z]{2,3})""", 1))
     blank = lambda c: F.when(c != "", c)
-    return pages.select(F.col("page_id").alias("doc_id"), blank(lang).alias("declared"), blank(F.regexp_extract(host, r"\.([a-z]+)$", 1)).alias("suffix"), blank(host).alias("host"))
+    read = html.extract(pages.select("page_id", "url", "html", blank(lang).alias("declared")), "declared")
+    host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
+    return read.select(F.col("page_id").alias("doc_id"), "text", "declared", blank(F.regexp_extract(host, r"\.([a-z]+)$", 1)).alias("suffix"), blank(host).alias("host"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, lang, confidence, kept`` of every row of ``documents``, from whole texts, declared languages and sources.
+
+    Null and empty texts have no language and are not kept; nulls in other columns are no evidence; repeated rows and ids
+    (null ones too) are judged each by its own text; an empty table gives no rows; other columns are not read.
+    """
     return identify(of_documents(table(spark, sf_dir, "documents")))
 
 
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_id, lang, confidence, kept`` of every row of ``pages``, from main texts, markup, hosts and address suffixes."""
+    return identify(of_pages(table(spark, sf_dir, "pages"))).withColumnRenamed("doc_id", "page_id")
+
+
 def accepted(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that have a language; all columns unchanged, whatever their names. A null doc_id is an id like others.
 
-    Rows are known again by doc_id and a hash of what the decision rests on, so that repeated ids do not share a fate.
+    Rows are known again by doc_id and two hashes of what the decision rests on, so that repeated ids do not share a fate.
     """
-    mark = f"_{uuid.uuid4().hex}"
-    evidence = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text", "lang", "source")
-    rows = docs.withColumn(mark, evidence)
-    judged = rows.select(F.col(mark).alias("doc_id"), "text", "lang", "source")
-    rejected = identify(of_documents(judged)).filter("NOT kept").select(F.col("doc_id").alias(mark + "r")).distinct()
-    rejected = stored(rejected, "rejected")
-    return rows.join(rejected, rows[mark] == rejected[mark + "r"], "left_anti").drop(mark)
+    names = [f"_{uuid.uuid4().hex}" for _ in "12"]
+    rows = docs.withColumns(dict(zip(names, row_hashes("text", "lang", "source"), strict=True)))
+    judged = identify(of_documents(rows, *names), *names).filter("NOT kept")
+    rejected = stored(judged.select(F.col("doc_id").alias("rejected_id"), *[F.col(n).alias(f"{n}r") for n in names]).distinct(), "rejected")
+    same = rows["doc_id"].eqNullSafe(rejected["rejected_id"])
+    for n in names:
+        same = same & (rows[n] == rejected[f"{n}r"])
+    return rows.join(rejected, same, "left_anti").drop(*names)

@@ -9,6 +9,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_fingerprints": sketch.op5_fingerprints,
     "op6_language_id": language.op6_language_id,
+    "language_id_pages": language.language_id_pages,
     "op7_html": html.op7_html,
     "op8_suffix_dedup": suffix.op8_suffix_dedup,
     "op9_sharding": sharding.op9_sharding,

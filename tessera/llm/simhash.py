@@ -10,9 +10,10 @@ its rows go on to another round, where the bits that the key leaves free are spl
 agree. The free bits shrink from round to round; twelve free bits hold no more than ``BUCKET`` classes.
 
 Likeness (``wide``): shingle sets of Jaccard similarity s differ in a share p = acos(2s / (1 + s)) / pi of the bits. A
-fingerprint of 640 bits in 40 blocks of 16 shares a block with chance 1 - (1 - (1 - p) ** 16) ** 40, over 0.95 at s = 0.8
+fingerprint of 640 bits in 40 blocks of 16 shares a block with chance 1 - (1 - (1 - p) ** 16) ** 40, 0.95 at s = 0.8
 and 0.99 at 0.85; the first 512 bits are then compared, and pairs that may have the similarity are judged by their
-shingle sets. Several hundred bits are needed since 64 cannot tell 0.8.
+shingle sets. Several hundred bits are needed since 64 cannot tell 0.8. Blocks widen with the number of documents, and
+their number with their width (``layout``), so that unlike documents do not fill the buckets of a large corpus.
 """
 
 from __future__ import annotations
@@ -30,12 +31,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, stored, table, texts, tidy
+from .common import partitions, prepare, row_hashes, stored, table, texts, tidy
 from .graph import components
 
 SEED = 42
 #: Classes of one bucket that are compared in one task.
 BUCKET = 4096
+#: Documents that a bucket of unlike ones holds on average, at most, and the share of pairs at the similarity that meet.
+SPARSE = 1024
+MEET = 0.95
 #: Standard deviations above the mean distance of a similarity up to which a pair is a candidate.
 DEVIATIONS = 3
 #: Blocks of a 64-bit fingerprint, as (first bit, bits).
@@ -239,7 +243,7 @@ def bucket_links(rows: DataFrame, longs: int, distance: int, limit: int = BUCKET
     """``u, v``: links that connect the classes of each bucket of ``mask, key, node, w0 ...`` as all its pairs would.
 
     A bucket above ``limit`` classes is dealt into parts, and every two parts meet in a cell of about ``limit`` classes:
-    each class goes to as many cells as there are other parts, which is what all by all costs. Keys have 16 bits at most.
+    each class goes to as many cells as there are other parts, which is what all by all costs. Keys have 32 bits at most.
     """
     names = [f"w{k}" for k in range(longs)]
     met = stored(_meet(rows, longs, distance, limit, forest), "met")
@@ -251,7 +255,7 @@ def bucket_links(rows: DataFrame, longs: int, distance: int, limit: int = BUCKET
     dealt = large.join(F.broadcast(sizes), ["mask", "key"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("part <> other")
     cell = F.greatest("part", "other") * F.col("parts") + F.least("part", "other")
-    cells = dealt.select("mask", F.shiftleft(cell, 16).bitwiseOR(F.col("key")).alias("key"), "node", *names)
+    cells = dealt.select("mask", F.shiftleft(cell, 32).bitwiseOR(F.col("key")).alias("key"), "node", *names)
     return out.union(_meet(cells, longs, distance, None, forest).select("u", "v"))
 
 
@@ -289,6 +293,11 @@ def link(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every row of ``documents``; see ``link``.
+
+    Null and empty texts, and those without words, have fingerprint zero and link like any other; texts of any length are
+    read whole; repeated rows are returned each; an empty table gives no rows; other columns are not read.
+    """
     found = link(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -298,6 +307,12 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def layout(n: int, similarity: float) -> tuple[int, int]:
+    """Blocks and bits of each for ``n`` documents: 40 of 16 up to 67 million, then a bit more with each doubling."""
+    width = max(16, math.ceil(math.log2(max(1, n) / SPARSE)))
+    return math.ceil(math.log(1 - MEET) / math.log1p(-((1 - differing(similarity)) ** width)) - 0.05), width
+
+
 def alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Rows of ``u, v`` (doc_ids) whose texts' shingle sets have the Jaccard similarity or more.
 
@@ -325,24 +340,51 @@ def alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> D
     return pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long").distinct()
 
 
-def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int = 40, width: int = 16, check: int = 8, limit: int = BUCKET) -> DataFrame:
-    """``doc_id, component_id`` by likeness (and ``mark``, a BIGINT, if ``docs`` has one), for each row of ``doc_id, text``.
+def crossing(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """``u, v, pu, pv``: pairs whose classes lie in different parts (``node, part``)."""
+    sides = [parts.select(F.col("node").alias(c), F.col("part").alias(f"p{c}")).hint("merge") for c in ("u", "v")]
+    return pairs.join(sides[0], "u").join(sides[1], "v").filter("pu <> pv").select("u", "v", "pu", "pv")
+
+
+def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, part`` with those parts made one that links ``u, v`` join: each has the smallest node of what it is made of."""
+    pairs = stored(crossing(links, parts).select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct(), "joins")
+    if pairs.isEmpty():
+        return stored(parts, "parts")
+    found = components(pairs).select(F.col("node").alias("part"), "component_id").hint("merge")
+    return stored(parts.join(found, "part", "left").select("node", F.coalesce("component_id", "part").alias("part")), "parts")
+
+
+def _cut(at: int, width: int) -> Column:
+    """Bits of a fingerprint in longs ``w0, w1 ...``, up to 32 of them, as a number."""
+    k, low = divmod(at, 64)
+    bits = F.shiftrightunsigned(f"w{k}", low)
+    if low + width > 64:
+        bits = bits.bitwiseOR(F.shiftleft(f"w{k + 1}", 64 - low))
+    return bits.bitwiseAND((1 << width) - 1)
+
+
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int = 0, width: int = 0, check: int = 8, limit: int = BUCKET, keep: list[str] | None = None) -> DataFrame:
+    """``doc_id, component_id`` by likeness (and BIGINT columns ``keep``), for each row of ``doc_id, text``.
 
-    Fingerprints of ``blocks * width`` bits, of distinct shingles, are compared in the first ``64 * check``. Pairs up to
+    Fingerprints of ``blocks * width`` bits (as ``layout`` has them for the rows' number if not given), of distinct
+    shingles, are compared in the first ``64 * check``. Pairs up to
     ``DEVIATIONS`` above the mean distance of the similarity are candidates; only those whose shingle sets have the
-    similarity link. First the least spanning forests of the buckets are judged. Where one of their links fails, another
-    pair may do: in such groups all candidates between parts that are not linked yet are judged as well.
+    similarity link. First the least spanning forests of the buckets are judged, as far as their classes are not joined
+    by then. Where one of their links fails, another pair may do: all candidates between parts that such a link was to
+    join are judged as well.
 
     Texts without words do not link here: they share no shingle. A bucket above ``limit`` classes is compared part
     against part (see ``bucket_links``).
     """
-    keep = ["mark"] if "mark" in docs.columns else []
-    longs = blocks * width // 64
+    keep = keep or []
+    if not blocks:
+        blocks, width = layout(docs.count(), similarity)
+    longs = max(check, -(-blocks * width // 64))
     names, carried = [f"w{k}" for k in range(longs + 1)], [f"w{k}" for k in range(check)]
     prints = stored(fingerprints(docs, words, longs, *keep, distinct=True), "wide")
     classes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("node")), "classes")
-    per = 64 // width
-    key = [F.shiftrightunsigned(f"w{b // per}", width * (b % per)).bitwiseAND((1 << width) - 1) for b in range(blocks)]
+    key = [_cut(b * width, width) for b in range(blocks)]
     worded = reduce(Column.__or__, (F.col(n) != 0 for n in names[:-1]))
     share = differing(similarity)
     distance = round(64 * check * share + DEVIATIONS * math.sqrt(64 * check * share * (1 - share)))
@@ -356,18 +398,19 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks
 
     rows = classes.filter(worded & F.col("node").isNotNull())
     tried = stored(ordered(bucket_links(in_blocks(rows), check, distance, limit, _nearest)), "tried")
-    links = stored(alike(tried, docs, words, similarity), "alike")
-    failed = stored(tried.join(links, ["u", "v"], "left_anti"), "failed")
+    # first one pair a class; of the others only those that are not joined by then
+    first = stored(tried.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "first")
+    parts = joined(tried.select(F.col("u").alias("node")).union(tried.select("v")).distinct().withColumn("part", F.col("node")), alike(first, docs, words, similarity))
+    rest = stored(crossing(tried.join(first, ["u", "v"], "left_anti"), parts), "rest")
+    parts = joined(parts, alike(rest.select("u", "v"), docs, words, similarity))
+    failed = stored(crossing(tried, parts), "failed")
     if not failed.isEmpty():
-        part = components(links).select("node", F.col("component_id").alias("part"))
-        loose = stored(components(tried), "loose")
-        doubt = failed.select(F.col("u").alias("node")).join(loose, "node").select("component_id").distinct()
-        some = loose.join(doubt, "component_id", "left_semi").select("node").join(part, "node", "left")
-        some = some.select("node", F.coalesce("part", "node").alias(f"w{check}x"))
-        split = in_blocks(rows.join(some, "node"), f"w{check}x").select("mask", "key", "node", *carried, F.col(f"w{check}x").alias(f"w{check}"))
+        doubt = failed.select(F.col("pu").alias("part")).union(failed.select("pv")).distinct()
+        some = parts.join(doubt, "part", "left_semi").withColumnRenamed("part", label := f"w{check}x")
+        split = in_blocks(rows.join(some, "node"), label).withColumnRenamed(label, f"w{check}")
         more = ordered(bucket_links(split, check + 1, distance, limit, _across)).join(tried, ["u", "v"], "left_anti")
-        links = links.union(alike(stored(more, "more"), docs, words, similarity))
-    found = components(links)
+        parts = joined(parts, alike(stored(more, "more"), docs, words, similarity))
+    found = parts.withColumnRenamed("part", "component_id")
     named = stored(classes.join(found, "node", "left").select(*names, F.coalesce("component_id", "node").alias("component_id")), "named")
     on = [prints[n] == named[n] for n in names]
     some = reduce(Column.__or__, (prints[n] != 0 for n in names[:-1]))
@@ -379,11 +422,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows with a null doc_id have no rank and stay. Of rows with one doc_id, each is judged by its own text.
     """
-    mark = f"_{uuid.uuid4().hex}"
-    rows = docs.withColumn(mark, F.xxhash64("doc_id", "text"))
-    groups = near_groups(rows.filter("doc_id IS NOT NULL").select("doc_id", "text", F.col(mark).alias("mark")))
-    dropped = stored(groups.filter("doc_id <> component_id").select(F.col("mark").alias(mark + "d")).distinct(), "dropped")
-    return rows.join(dropped, rows[mark] == dropped[mark + "d"], "left_anti").drop(mark)
+    marks = [f"_{uuid.uuid4().hex}" for _ in "12"]
+    rows = docs.withColumns(dict(zip(marks, row_hashes("text"), strict=True)))
+    groups = near_groups(rows.filter("doc_id IS NOT NULL").select("doc_id", "text", *marks), keep=marks)
+    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), *[F.col(m).alias(f"{m}d") for m in marks])
+    dropped = stored(gone.distinct(), "dropped")
+    same = rows["doc_id"] == dropped["gone_id"]
+    for m in marks:
+        same = same & (rows[m] == dropped[f"{m}d"])
+    return rows.join(dropped, same, "left_anti").drop(*marks)
 
 
 __all__ = ["fingerprints", "link", "near_groups", "one_of_each", "op3_simhash"]

@@ -289,6 +289,44 @@ def test_near_groups_are_judged_by_their_sets(spark):
     assert len(over - linked) <= 0.05 * len(over) and len(over) < 140
 
 
+def test_blocks_widen_with_the_corpus():
+    assert simhash.layout(0, 0.8) == simhash.layout(230_000, 0.8) == simhash.layout(1 << 26, 0.8) == (40, 16)
+    for n in (10**9, 10**10, 10**12):
+        blocks, width = simhash.layout(n, 0.8)
+        assert n / 2**width <= simhash.SPARSE and width <= 32
+        assert 1 - (1 - (1 - simhash.differing(0.8)) ** width) ** blocks > 0.945
+
+
+@pytest.mark.parametrize("width", [16, 21, 32])
+def test_keys_are_bits_of_the_fingerprint(spark, width):
+    r = random.Random(width)
+    words_ = [r.getrandbits(64) for _ in range(12)]
+    whole = sum(w << 64 * k for k, w in enumerate(words_))
+    df = spark.createDataFrame([tuple(w - (1 << 64) if w >> 63 else w for w in words_)], ", ".join(f"w{k} long" for k in range(12)))
+    got = df.select(*[simhash._cut(b * width, width).alias(f"k{b}") for b in range(768 // width)]).first()
+    assert list(got) == [whole >> b * width & (1 << width) - 1 for b in range(768 // width)]
+
+
+def test_recall_by_tenths(spark):
+    """Of pairs at a likeness of 0.8 and more, the share that is found, by steps of the likeness; no pair under it."""
+    r = random.Random(14)
+    rows, likeness = [], {}
+    for k in range(700):
+        n = 300
+        base = [f"v{r.random()}" for _ in range(n)]
+        j = r.uniform(0.74, 1.0)
+        cut = round((n - 4) * (1 - j) / (1 + j))  # shingles that either has alone
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: n - cut] + [f"v{r.random()}" for _ in range(cut)]))]
+        likeness[k] = jaccard(shingled(rows[-1][1]), shingled(rows[-2][1]))
+    found = {x.doc_id: x.component_id for x in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = {k: found[2 * k + 1] == 2 * k for k in likeness}
+    assert not [k for k in hit if hit[k] and likeness[k] < 0.8]
+    for low, high, least in ((0.8, 0.82, 0.87), (0.82, 0.85, 0.93), (0.85, 0.9, 0.97), (0.9, 1.01, 1.0)):
+        some = [hit[k] for k, j in likeness.items() if low <= j < high]
+        assert len(some) > 30 and np.mean(some) >= least, (low, np.mean(some), len(some))
+    assert np.mean([hit[k] for k, j in likeness.items() if j >= 0.8]) >= 0.95
+
+
 def test_near_odd_rows(odd, odd_rows, none):
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns
@@ -371,17 +409,81 @@ def test_suffix_few_letters(spark):
     assert sorted((tuple(x) for x in suffix.removals(docs).collect()), key=str) == brute_suffix(rows)
 
 
-def test_index_family():
-    r = random.Random(3)
-    family, known, sizes = suffix.Family(), {}, []
-    for _ in range(40):
-        docs = [r.randrange(1000) for _ in range(r.randint(1, 30))]
-        data = ["".join(r.choice("ab") for _ in range(7)).ljust(50, "x").encode() for _ in docs]
-        family.add(np.array(data, "S50"), np.array(docs))
-        for w, d in zip(data, docs):
-            known[w] = min(d, known.get(w, d))
-        sizes = [len(x) for x, _ in family.levels]
-        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))  # geometric
-    asked = np.array([*known, b"z" * 50], "S50")
-    assert family.least(asked).tolist() == [*known.values(), suffix.LAST]
-    assert sum(sizes) >= len(known)
+def test_index_over_batches(spark, tmp_path):
+    """Batches in any order of ids: what an earlier batch holds counts as smaller; levels merge when they are of equal size."""
+    r = random.Random(31)
+    root, sizes, rows, got = f"file://{tmp_path}/index", [], [], []
+    passages = [words(r, 25) for _ in range(12)]
+    for k in range(6):
+        batch = [(r.randrange(50), f"{words(r, 12)} {r.choice(passages)[r.randint(0, 30):]} {words(r, 12)} {r.choice(passages)}") for _ in range(15)] + [(None, passages[k])]
+        index = suffix.SuffixIndex(spark, root, size=200_000)  # another session's
+        blocks, known = index.add(spark.createDataFrame(batch, "doc_id long, text string").repartition(3))
+        kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        done = blocks.select("block", "doc_id", "text").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(suffix._tidied(suffix._finish(whole=False)), kind)
+        got += [(k, *x) for x in done.collect()]
+        rows += [((k, i is None, i), t) for i, t in batch]
+        sizes.append([x["size"] for x in index.levels()])
+        assert all(a > suffix.EQUAL * b for a, b in zip(sizes[-1], sizes[-1][1:]))  # geometric
+    assert [len(x) for x in sizes] == [1, 1, 2, 1, 2, 2]
+    wanted = sorted(((i[0], i[2], *x) for i, *x in brute_suffix(rows)), key=str)
+    assert sorted(got, key=str) == wanted and sum(x[3] for x in got) > 5000
+    stored = [f for f in (tmp_path / "index").rglob("part-*") if "kind=2" in f.parts]
+    assert {f.parent.parent.parent.name for f in stored} == {x["path"].split("/")[-3] for x in index.levels()}  # merged ones are gone
+
+
+def test_two_writers_of_a_suffix_index(spark, tmp_path, second_writer):
+    make = lambda i, t: spark.createDataFrame([(i, t)], "doc_id long, text string")
+    a, b = (suffix.SuffixIndex(spark, f"file://{tmp_path}/index") for _ in "12")
+    passage, removed = "x" * 30 + "passage that both writers have, of more than fifty bytes", {}
+    second_writer(a.commits, lambda: removed.update(b=b.add(make(7, passage))))
+    removed["a"] = a.add(make(1, "0" + passage))
+    for name, (blocks, known) in removed.items():
+        kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        done = blocks.select("block", "doc_id", "text").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(suffix._tidied(suffix._finish(whole=False)), kind)
+        assert done.first().n_removed == (len(passage) if name == "a" else 0)  # the slower scans what the other brought
+
+
+@pytest.mark.parametrize("doc", [None, 5])
+def test_suffix_one_id_for_all_rows(spark, monkeypatch, doc):
+    """Rows of one id, or of none, keep what they share, and lie in blocks of bounded size like any others."""
+    monkeypatch.setattr(suffix, "BLOCK", 1 << 12)
+    monkeypatch.setattr(suffix, "SPARSE", 1)
+    r = random.Random(2)
+    passage = words(r, 20)
+    rows = [(doc, f"{words(r, 20)} {passage} {words(r, 20)}") for _ in range(60)]
+    other = [(9, f"{words(r, 3)} {passage[3:]} z")]
+    docs = spark.createDataFrame(rows + other, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(x) for x in suffix.removals(docs).collect()), key=str) == brute_suffix(rows + other)
+    kept = [b for b, _ in suffix._search(docs)]
+    sizes = [x.n for b in kept for x in b.groupBy("block").agg(F.sum(F.length("text")).alias("n")).collect()]
+    assert len(sizes) >= 4 and max(sizes) < (1 << 12) + 1000
+
+
+def test_blocks_are_written_where_they_are_read(spark):
+    """One file a task, and Spark finds each block in the bucket that its task has written."""
+    docs = spark.createDataFrame([(k, words(random.Random(k), 50)) for k in range(100)], "doc_id long, text string").repartition(13)
+    index = suffix.SuffixIndex(spark, size=100 << 20)
+    blocks, _ = index.add(docs)
+    files = blocks.select(F.input_file_name().alias("f"), "block").distinct().collect()
+    assert len({x.f for x in files}) <= 13
+    for x in files:
+        bucket = int(re.search(r"_(\d+)\.c", x.f)[1])
+        assert spark.range(1).select(F.pmod(F.hash(F.lit(x.block).cast("long")), F.lit(index.buckets))).first()[0] == bucket
+    plan = blocks.select("block", "text").groupBy("block").agg(F.count("text"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and blocks.count() == 100
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_windows_are_compared_as_bytes(monkeypatch, collide):
+    r = random.Random(collide)
+    if collide:
+        monkeypatch.setattr(suffix, "_hashed", lambda wins: (wins[:, 0] & 1).astype(np.uint64))
+    data = ["".join(r.choice("ab\0") for _ in range(3)).rjust(r.choice([50, 52, 75]), "x").encode() for _ in range(200)]
+    docs = [r.choice([r.randrange(20), suffix.FIRST]) for _ in data]
+    wins, row, bit = suffix.windows(suffix.pa.array([b"?", *(b"\0" + d for d in data)], suffix.pa.binary())[1:])
+    texts = [data[i][k : k + 50] for i, k in zip(row, bit)]
+    assert [bytes(w) for w in wins] == texts and len(texts) == sum(len(d) - 49 for d in data)
+    least = {}
+    for t, i in zip(texts, row):
+        least[t] = min(least.get(t, docs[i]), docs[i])
+    assert suffix.earlier(wins, np.array(docs)[row]).tolist() == [least[t] < docs[i] for t, i in zip(texts, row)]

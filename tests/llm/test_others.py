@@ -3,6 +3,7 @@
 import hashlib
 import html as entities
 import json
+import math
 import random
 import re
 import zlib
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from texts import words
 
 from tessera.llm import encoding, html, language, packing, sharding, sketch
+from tessera.llm.common import stored
 
 PATH = encoding.vocabulary()
 
@@ -227,12 +229,81 @@ def test_language_odd_rows(odd, odd_rows, none):
 
 def test_language_of_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    evidence = language.of_pages(pages)
-    main = html.extract(pages).select(F.col("page_id").alias("doc_id"), "text")
-    got = language.identify(evidence.join(main, "doc_id")).join(evidence.select("doc_id", "declared"), "doc_id").collect()
-    assert np.mean([r.lang == r.declared for r in got]) > 0.95
-    row = language.of_pages(spark.createDataFrame([(1, "https://me@A.b.ORG:80/x", "<HTML LANG='de-AT'>"), (2, None, None)], "page_id long, url string, html string")).orderBy("doc_id").collect()
-    assert tuple(row[0]) == (1, "de", "org", "a.b.org") and tuple(row[1])[1:] == (None, None, None)
+    evidence = language.of_pages(pages).select("doc_id", "declared")
+    got = language.language_id_pages(spark, sf).join(evidence, F.col("page_id") == F.col("doc_id")).collect()
+    assert len(got) == pages.count() and np.mean([r.lang == r.declared for r in got]) > 0.95
+    odd = spark.createDataFrame([(1, "https://me@A.b.ORG:80/x", "<HTML LANG='de-AT'><p>Text"), (2, None, None)], "page_id long, url string, html string")
+    row = language.of_pages(odd).select("doc_id", "text", "declared", "suffix", "host").orderBy("doc_id").collect()
+    assert tuple(row[0]) == (1, "Text", "de", "org", "a.b.org") and tuple(row[1])[1:] == ("", None, None, None)
+    hidden = F.col("doc_id") % 3 == 0  # labels that the model has not seen
+    rows = stored(language.of_pages(pages), "pages")
+    got = language.identify(rows.withColumn("declared", F.when(~hidden, F.col("declared")))).join(evidence, "doc_id").filter(hidden).collect()
+    assert len(got) > 10 and np.mean([r.lang == r.declared for r in got]) > 0.95
+
+
+def brute_language(rows):
+    """``doc_id: (lang, confidence, kept)`` of rows ``doc_id, text, declared, suffix, host``, each label with under ``SAMPLE`` rows."""
+    letter = {0x20, 0x0A, *range(97, 123), *range(128, 256)}
+
+    def slots(text):
+        b = text.lower().encode()
+        return [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1 % 2**32) >> 16 for i in range(len(b) - 2) if letter.issuperset(b[i : i + 3])]
+
+    def normal(logs):
+        e = [math.exp(x - max(logs)) for x in logs]
+        return [x / sum(e) for x in e]
+
+    counts = {}
+    for _, text, declared, *_ in rows:
+        if text is not None and declared:
+            counts.setdefault(declared, Counter()).update(slots(text))
+    langs = sorted(x for x in counts if counts[x])
+    sizes = [sum(counts[x].values()) + 0.05 * 65536 for x in langs]
+    model = [{s: math.log((c + 0.05) / n) for s, c in counts[x].items()} for x, n in zip(langs, sizes)]
+    none = [math.log(0.05 / n) for n in sizes]
+    scored = []
+    for i, text, declared, suffix, host in rows:
+        own = slots(text or "")
+        mean = [sum(m.get(s, z) for s in own) / len(own) if own else 0.0 for m, z in zip(model, none)]
+        letters = any(map(str.isalpha, text or ""))
+        ll = [x * min(64, len(own)) for x in mean]
+        scored.append((i, declared, suffix, host, letters, bool(own) and max(mean) < -2 * math.log(256), ll, normal(ll) if letters else [0.0] * len(langs)))
+    sums = lambda some: [sum(r[7][k] for r in some) for k in range(len(langs))]
+    smooth = lambda own, above: [(x + 20 * a) / (sum(own) + 20) for x, a in zip(own, above)]
+    base = [(x + 1) / (sum(sums(scored)) + len(langs)) for x in sums(scored)]
+    heard = {}
+    said = {d: sums([r for r in scored if r[1] == d]) for d in langs}
+    for d in langs:
+        heard[d] = [math.log((x + 0.5) / (sum(said[e][k] for e in langs) + 0.5 * len(langs))) for k, x in enumerate(said[d])]
+    out = {}
+    for i, declared, suffix, host, letters, even, ll, _ in scored:
+        prior = smooth(sums([r for r in scored if r[2] == suffix]), base) if suffix is not None else base
+        prior = smooth(sums([r for r in scored if (r[2], r[3]) == (suffix, host)]), prior) if host is not None else prior
+        final = normal([a + math.log(p) + h for a, p, h in zip(ll, prior, heard.get(declared, [0.0] * len(langs)))])
+        p = max(final)
+        lang = max(k for k, x in enumerate(final) if x == p)
+        out[i] = (langs[lang] if letters else None, p if letters else 0.0, letters and not (even and (not declared or declared in langs)) and p >= 0.5)
+    return out
+
+
+def test_language_query_is_brute_force(spark, sf, rows_of):
+    rows = [(i, t, lang, None, source) for i, t, lang, source in rows_of("documents", ["doc_id", "text", "lang", "source"])]
+    _same_languages(language.op6_language_id(spark, sf).collect(), brute_language(rows))
+
+
+def test_language_of_pages_is_brute_force(spark, sf):
+    rows = stored(language.of_pages(spark.read.parquet(f"{sf}/pages.parquet")), "pages")
+    rows = rows.union(spark.createDataFrame([(-1, "of the", None, "org", None), (-2, "", "en", None, "h"), (-3, None, None, None, None), (-4, "qq", "xx", "de", "h")], rows.schema))
+    wanted = brute_language([tuple(r) for r in rows.select("doc_id", "text", "declared", "suffix", "host").collect()])
+    _same_languages(language.identify(stored(rows, "pages")).collect(), wanted)
+
+
+def _same_languages(got, wanted):
+    assert len(got) == len(wanted)
+    for r in got:
+        lang, p, kept = wanted[r.doc_id]
+        assert abs(r.confidence - p) < 1e-4 and (r.kept == kept or abs(p - 0.5) < 1e-4)
+        assert r.lang == lang or p < 0.51
 
 
 # -- HTML ---------------------------------------------------------------------------------------------------------
