@@ -232,7 +232,7 @@ def test_language_of_pages(spark, sf):
     evidence = language.of_pages(pages).select("doc_id", "declared")
     got = language.language_id_pages(spark, sf).join(evidence, F.col("page_id") == F.col("doc_id")).collect()
     assert len(got) == pages.count() and np.mean([r.lang == r.declared for r in got]) > 0.95
-    odd = spark.createDataFrame([(1, "https://me@A.b.ORG:80/x", "<HTML LANG='de-AT'><p>Text"), (2, None, None)], "page_id long, url string, html string")
+    odd = spark.createDataFrame([(1, "https://me@A.b.ORG:80/x", "<HTML LANG='de-AT'><article><p>Text"), (2, None, None)], "page_id long, url string, html string")
     row = language.of_pages(odd).select("doc_id", "text", "declared", "suffix", "host").orderBy("doc_id").collect()
     assert tuple(row[0]) == (1, "Text", "de", "org", "a.b.org") and tuple(row[1])[1:] == ("", None, None, None)
     hidden = F.col("doc_id") % 3 == 0  # labels that the model has not seen
