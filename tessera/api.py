@@ -20,12 +20,17 @@ class _Table:
     n: int
     log: list[str] = field(default_factory=list)
 
+    def _begun(self, source: str, n: int, **more: int):
+        self.note(", ".join([f"genotypes from {source}", f"{n} individuals", *(f"{k} {v}" for k, v in more.items())]))
+        return self
+
     def note(self, text: str) -> None:
         logging.getLogger("tessera").info(text)
         self.log.append(text)
 
     def save_log(self, path: str) -> None:
-        with open(path, "a", encoding="utf-8") as f:
+        """Write what was noted; a log of a former run is replaced."""
+        with open(path, "w", encoding="utf-8") as f:
             f.write("".join(x + "\n" for x in self.log))
 
 
@@ -34,20 +39,25 @@ class BinaryTable(_Table):
 
     @classmethod
     def from_bed(cls, spark: SparkSession, path: str, n: int, seed: int = 0) -> BinaryTable:
-        return cls(binarize.binarize(bed.read_bed(spark, path, n), seed), n)
+        return cls(binarize.binarize(bed.read_bed(spark, path, n), seed), n)._begun(path, n, seed=seed)
 
     @classmethod
     def from_counts(cls, spark: SparkSession, counts: list[int], n: int, seed: int = 0) -> BinaryTable:
-        return cls(binarize.binarize(bed.from_counts(spark, counts, n), seed), n)
+        return cls(binarize.binarize(bed.from_counts(spark, counts, n), seed), n)._begun("a vector of counts", n, seed=seed)
 
     @classmethod
     def empty(cls, spark: SparkSession, n: int = 2) -> BinaryTable:
         return cls(spark.createDataFrame([], "locus bigint, inds array<int>"), n)
 
     def all_pairs(self, names: DataFrame | None = None, cutoff: float = 0.0) -> DataFrame:
-        self.note(f"all pairs of {self.bits.count()} loci, {self.n} individuals")
+        self.note(f"all pairs, exact similarity, cut-off {cutoff}")
         return ld.exact(self.bits, self.n, names, cutoff)
 
+    def write_pairs(self, path: str, chunks: int, cutoff: float = 0.0) -> list[str]:
+        """All pairs in ``chunks`` parts, each a folder; a run that broke off goes on with those that are missing."""
+        self.note(f"all pairs, exact similarity, cut-off {cutoff}, in {chunks} chunks under {path}")
+        return ld.exact_in_chunks(self.bits, self.n, path, chunks, cutoff)
+
     def save_bits(self, path: str) -> None:
         sinks.write_raw(self.bits, self.n, path)
 
@@ -62,19 +72,27 @@ class SketchTable(_Table):
     @classmethod
     def from_bed(cls, spark: SparkSession, path: str, params: Sketching) -> SketchTable:
         check_individuals(params.n)
-        return cls(binarize.binarize(bed.read_bed(spark, path, params.n), params.seed), params)
+        own = cls(binarize.binarize(bed.read_bed(spark, path, params.n), params.seed), params)
+        return own._begun(path, params.n, sketches=params.k, seed=params.seed)
 
     @classmethod
     def from_counts(cls, spark: SparkSession, counts: list[int], params: Sketching) -> SketchTable:
-        return cls(binarize.binarize(bed.from_counts(spark, counts, params.n), params.seed), params)
+        own = cls(binarize.binarize(bed.from_counts(spark, counts, params.n), params.seed), params)
+        return own._begun("a vector of counts", params.n, sketches=params.k, seed=params.seed)
 
     def all_pairs(self, cutoff: float = 0.0, names: DataFrame | None = None) -> DataFrame:
         self.note(f"all pairs by {self.params.k} sketches, cut-off {cutoff}")
         return ld.hashed(self.bits, self.params, cutoff, names)
 
+    def write_pairs(self, path: str, chunks: int, cutoff: float = 0.0) -> list[str]:
+        """All pairs in ``chunks`` parts, each a folder; a run that broke off goes on with those that are missing."""
+        self.note(f"all pairs by {self.params.k} sketches, cut-off {cutoff}, in {chunks} chunks under {path}")
+        return ld.hashed_in_chunks(self.bits, self.params, path, chunks, cutoff)
+
     def groups(self, rows: int, names: DataFrame | None = None) -> DataFrame:
         """``groupID, locusIdx``, or ``groupID, name`` where names are given."""
-        found = ld.group_list(self.bits, self.params, rows)
+        found, numbers = ld.counted_groups(self.bits, self.params, rows)
+        self.note(f"groups by {self.params.k} sketches, {rows} rows a band: " + ", ".join(f"{v} {k}" for k, v in numbers.items()))
         if names is None:
             return found
         own = names.select((F.col("idx") + 1).alias("locusIdx"), "name")

@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--add-locus-names", action="store_true")
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--single-file", action="store_true", help="one output file in the folder")
+    p.add_argument("--ordered", action="store_true", help="rows in the order of their loci or groups, file by file")
     return p
 
 
@@ -58,7 +59,7 @@ def main(arguments: list[str] | None = None) -> int:
                 out = table.groups(a.n_rows_per_band, names)
             else:
                 out = table.pairs_in_groups(Sparsity(a.n_rows_per_band, a.min_similarity), names)
-        sinks.write_tsv(out, a.out_file, a.single_file)
+        sinks.write_tsv(out, a.out_file, a.single_file, tuple(out.columns[:2]) if a.ordered else ())
     except ValueError as e:
         print(e, file=sys.stderr)
         parser().print_help(sys.stderr)

@@ -83,3 +83,48 @@ def of_window(key: Sequence[int], start: int, length: int, seed: int) -> int:
     for x in key[start : start + length : 2]:
         h = mixed((x & 0xFFFF, 0), h)
     return finished(h)
+
+
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once: a lambda's variable stands for it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _step(h: Column, block: Column | None) -> Column:
+    """One block; none is a block of zero, which leaves the value as it is before it is turned."""
+    if block is not None:
+        b = _bound(_times(block, C1), lambda x: _turn(x, 15))
+        h = h.bitwiseXOR(_bound(b, lambda x: _times(x, C2)))
+    return _bound(h, lambda x: (_turn(x, 13) * TIMES + F.lit(PLUS)).bitwiseAND(F.lit(MASK)))
+
+
+def _finish(h: Column) -> Column:
+    h = h.bitwiseXOR(F.lit(KEY_BYTES).cast("bigint"))
+    folded = lambda n: lambda x: x.bitwiseXOR(F.shiftright(x, n))
+    for shift, factor in ((16, F1), (13, F2)):
+        h = _bound(h, folded(shift))
+        h = _bound(h, (lambda c: lambda x: _times(x, c))(factor))
+    return _bound(h, folded(16))
+
+
+def _folded(blocks: Column, seed: int) -> Column:
+    return _finish(F.aggregate(blocks, F.lit(seed).cast("bigint"), lambda h, x: _step(_step(h, x), None)))
+
+
+def indexes(key: Column, seed: int) -> Column:
+    """``of_indexes`` of an array column of whole numbers, on the JVM's side; an empty array has the hash of no block."""
+    return _folded(F.transform(key, lambda x: x.cast("bigint").bitwiseAND(0xFFFF)), seed)
+
+
+def u32(key: Column, seed: int) -> Column:
+    """``of_u32`` of an array column."""
+    odd = F.size(key) % 2 == 1
+    last = F.when(odd, F.element_at(key, -1).cast("bigint").bitwiseAND(0xFF)).otherwise(F.lit(0).cast("bigint"))
+    whole = F.slice(key, 1, F.size(key) - F.size(key) % 2)
+    return _folded(F.concat(F.transform(whole, lambda x: x.cast("bigint").bitwiseAND(0xFFFF)), F.array(last)), seed)
+
+
+def window(key: Column, start: int, length: int, seed: int) -> Column:
+    """``of_window`` of an array column."""
+    part = F.filter(F.slice(key, start + 1, length), lambda _, i: i % 2 == 0)
+    return _folded(F.transform(part, lambda x: x.cast("bigint").bitwiseAND(0xFFFF)), seed)

@@ -64,7 +64,9 @@ def binarize_long(counts: DataFrame, individuals: DataFrame, seed: int = 0) -> D
     flipped = per.filter(F.col("c") * 2 > n - F.col("m")).select("locus")
     coded = counts.withColumn("bit", first_bit(F.col("mac"), F.col("locus"), F.col("ind"), seed)).filter("mac < 0 OR bit = 1")
     plain = coded.filter("mac >= 0").join(flipped, "locus", "left_anti").select("locus", "ind")
-    every = flipped.crossJoin(F.broadcast(individuals.select("ind").distinct())) if n <= 1 << 20 else flipped.crossJoin(individuals.select("ind").distinct())
+    people = individuals.select(F.col("ind").cast("long").alias("ind")).distinct()
+    every = flipped.crossJoin(F.broadcast(people) if n <= 1 << 20 else people)  # 8 MB at most
+    every = every.withColumn("ind", F.col("ind").cast(individuals.schema["ind"].dataType))
     return plain.union(every.join(coded.select("locus", "ind"), ["locus", "ind"], "left_anti").select("locus", "ind"))
 
 

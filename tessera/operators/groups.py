@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..params import Sketching, Sparsity
 from ..session import stored
-from .pairs import BLOCK, KINDS, compare_hash, in_cells
+from .pairs import BLOCK, KINDS, compare_hash, every, in_cells
 
 
 def band_keys(sketched: DataFrame, p: Sketching, rows: int, odd_only: bool = False) -> DataFrame:
@@ -52,9 +52,15 @@ def sizes(grouped: DataFrame) -> DataFrame:
     return found.withColumn("n_pairs", F.expr("n * (n - 1) div 2"))
 
 
-def listed(loci: DataFrame, *by: str) -> DataFrame:
-    """``by, loci_txt``: members in order, comma-joined. For reports: it gathers a group's loci in one row."""
-    return loci.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("locus")), ",").alias("loci_txt"))
+def distinct_buckets(found: DataFrame) -> DataFrame:
+    """``band, key, first_locus, locus`` of buckets that differ: of those with the same loci, the first by band and key.
+
+    Sets are told apart by their size and by sums of two hashes of their loci, which add up where the rows lie.
+    """
+    sums = [F.sum(F.xxhash64(F.lit(k), F.col("locus")).cast("decimal(38,0)")).alias(f"_s{k}") for k in (1, 2)]
+    sets = found.groupBy("band", "key", "first_locus").agg(F.count(F.lit(1)).alias("_n"), *sums)
+    firsts = sets.groupBy("first_locus", "_n", "_s1", "_s2").agg(F.min(F.struct("band", "key")).alias("_at")).select("_at.*")
+    return found.join(firsts.hint("merge"), ["band", "key"]).select("band", "key", "first_locus", "locus")
 
 
 def running(rows: DataFrame, order: str, value: str, parts: int = 64) -> DataFrame:
@@ -86,17 +92,20 @@ def long_list(grouped: DataFrame) -> DataFrame:
     return grouped.join(named, "first_locus").select("groupID", (F.col("locus") + 1).alias("locusIdx"))
 
 
+def _cells(grouped: DataFrame, block: int) -> DataFrame:
+    """``grouped`` with ``cell, side``: groups on a grid of blocks of about ``block`` loci."""
+    found = grouped.join(sizes(grouped.select("first_locus")).select("first_locus", F.expr("(n + {b} - 1) div {b}".replace("{b}", str(block))).alias("nb")), "first_locus")
+    found = found.withColumn("b", F.pmod(F.xxhash64("locus"), F.col("nb")))
+    dealt = found.withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)))
+    cell = F.concat_ws("/", F.col("first_locus"), F.greatest("b", "o"), F.least("b", "o"))
+    return dealt.withColumns({"cell": cell, "side": (F.col("b") < F.col("o")).cast("int")})
+
+
 def similar_pairs(grouped: DataFrame, sketched: DataFrame, p: Sketching, cutoff: float, block: int = BLOCK) -> DataFrame:
     """``row, col, n_eq``: distinct pairs within groups with at least ``cutoff`` of the sketches equal."""
-    found = grouped.join(sizes(grouped).select("first_locus", F.expr("(n + {b} - 1) div {b}".replace("{b}", str(block))).alias("nb")), "first_locus")
-    found = found.join(sketched, "locus").withColumn("b", F.pmod(F.xxhash64("locus"), F.col("nb")))
-    dealt = found.select("first_locus", "locus", "sketch", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)).alias("o"))
-    cell = F.concat_ws("/", F.col("first_locus"), F.greatest("b", "o"), F.least("b", "o"))
-    cells = dealt.select(cell.alias("cell"), (F.col("b") < F.col("o")).cast("int").alias("side"), "locus", "sketch")
-    return in_cells(cells, "sketch", compare_hash(p), cutoff, KINDS["hash"]).distinct()
+    return in_cells(_cells(grouped, block).join(sketched, "locus"), "sketch", compare_hash(p), cutoff, KINDS["hash"]).distinct()
 
 
-def all_pairs(grouped: DataFrame) -> DataFrame:
-    """``row, col``: distinct pairs within groups, as rows; ``similar_pairs`` compares without making them."""
-    other = grouped.select("first_locus", F.col("locus").alias("col"))
-    return grouped.join(other, "first_locus").filter("col < locus").select(F.col("locus").alias("row"), "col").distinct()
+def all_pairs(grouped: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``row, col``: distinct pairs within groups, as rows, made cell by cell; ``similar_pairs`` compares without making them."""
+    return in_cells(_cells(grouped, block).withColumn("nothing", F.lit(0)), "nothing", every, 0.0, KINDS["every"]).distinct()

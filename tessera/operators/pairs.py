@@ -21,7 +21,7 @@ from ..session import partitions, ship
 BLOCK = 512
 #: Positions that are compared at a time.
 WIDTH = 8192
-KINDS = {"exact": "row long, col long, n_intersect long, n_union long", "hash": "row long, col long, n_eq int"}
+KINDS = {"exact": "row long, col long, n_intersect long, n_union long", "hash": "row long, col long, n_eq int", "every": "row long, col long"}
 
 
 def _dense(lists: pa.ListArray, n: int, start: int) -> np.ndarray:
@@ -58,6 +58,12 @@ def _hash(k: int) -> Callable:
     return compare
 
 
+def every(a: pa.Array, b: pa.Array, cutoff: float) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All pairs of a cell."""
+    i, j = np.divmod(np.arange(len(a) * len(b)), max(1, len(b)))
+    return i, j, []
+
+
 def in_cells(cells: DataFrame, payload: str, compare: Callable, cutoff: float, schema: str) -> DataFrame:
     """Compare the loci of each cell (``cell, side, locus, payload``; all of a cell's rows fit one task).
 
@@ -107,25 +113,28 @@ def in_cells(cells: DataFrame, payload: str, compare: Callable, cutoff: float, s
     return cells.mapInArrow(run, schema)
 
 
-def _grid(loci: DataFrame, payload: str, block: int) -> DataFrame:
+def _grid(loci: DataFrame, payload: str, block: int, chunk: int | None = None, chunks: int = 1) -> DataFrame:
     n = max(1, -(-loci.count() // block))
     own = F.pmod(F.xxhash64("locus"), F.lit(n))
     there = loci.select("locus", payload, own.alias("b")).select("locus", payload, "b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("o"))
-    cell = F.greatest("b", "o") * n + F.least("b", "o")
-    return there.select(cell.alias("cell"), (F.col("b") < F.col("o")).cast("int").alias("side"), "locus", payload)
+    cells = there.withColumn("cell", F.greatest("b", "o") * n + F.least("b", "o"))
+    if chunk is not None:
+        cells = cells.filter(F.pmod(F.xxhash64("cell"), F.lit(chunks)) == chunk)
+    return cells.select("cell", (F.col("b") < F.col("o")).cast("int").alias("side"), "locus", payload)
 
 
-def all_exact(bits: DataFrame, n: int, cutoff: float = 0.0, block: int = BLOCK) -> DataFrame:
+def all_exact(bits: DataFrame, n: int, cutoff: float = 0.0, block: int = BLOCK, chunk: int | None = None, chunks: int = 1) -> DataFrame:
     """``row, col, n_intersect, n_union`` of all pairs of ``locus, inds`` (distinct loci) with row > col.
 
-    Pairs of two loci without set bits have no similarity and are left out.
+    Pairs of two loci without set bits have no similarity and are left out. Of ``chunks`` chunks, ``chunk`` alone: each
+    has its share of the cells, so that the pairs of all chunks together are all pairs, each once.
     """
-    return in_cells(_grid(bits, "inds", block), "inds", _exact(n), cutoff, KINDS["exact"])
+    return in_cells(_grid(bits, "inds", block, chunk, chunks), "inds", _exact(n), cutoff, KINDS["exact"])
 
 
-def all_hash(sketched: DataFrame, p: Sketching, cutoff: float = 0.0, block: int = BLOCK) -> DataFrame:
-    """``row, col, n_eq`` of all pairs of ``locus, sketch`` with at least ``cutoff`` of the sketches equal."""
-    return in_cells(_grid(sketched, "sketch", block), "sketch", _hash(p.k), cutoff, KINDS["hash"])
+def all_hash(sketched: DataFrame, p: Sketching, cutoff: float = 0.0, block: int = BLOCK, chunk: int | None = None, chunks: int = 1) -> DataFrame:
+    """``row, col, n_eq`` of all pairs of ``locus, sketch`` with at least ``cutoff`` of the sketches equal, or of a chunk of them."""
+    return in_cells(_grid(sketched, "sketch", block, chunk, chunks), "sketch", _hash(p.k), cutoff, KINDS["hash"])
 
 
 def compare_hash(p: Sketching) -> Callable:

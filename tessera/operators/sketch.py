@@ -72,6 +72,8 @@ def sketches(bits: DataFrame, p: Sketching, dense: bool = True, monomorphic: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, sources = shared.value
+        by_source = np.argsort(sources, kind="stable")
+        starts = np.searchsorted(sources[by_source], np.arange(n + 1))
         for batch in batches:
             lists = batch.column("inds")
             lengths = np.diff(lists.offsets.to_numpy())
@@ -79,12 +81,10 @@ def sketches(bits: DataFrame, p: Sketching, dense: bool = True, monomorphic: str
             if len(inds) and not 0 <= inds.min() <= inds.max() < n:
                 raise ValueError("ERROR: a set bit lies outside the individuals")
             rows = np.repeat(np.arange(len(lengths)), lengths)
-            at, of = [places[inds]], [rows]
-            for i, s in enumerate(sources.tolist()):
-                mine = rows[inds == s]
-                of.append(mine)
-                at.append(np.full(len(mine), places[n + i]))
-            at, of = np.concatenate(at).astype(np.int64), np.concatenate(of)
+            # each set position once for itself and once for each pad that copies it
+            pads = starts[inds + 1] - starts[inds]
+            which = by_source[np.repeat(starts[inds] - np.cumsum(pads) + pads, pads) + np.arange(pads.sum())]
+            at, of = np.concatenate([places[inds], places[n + which]]).astype(np.int64), np.concatenate([rows, np.repeat(rows, pads)])
             none = np.iinfo(np.int32).max
             out = np.full(len(lengths) * k, none, np.int64)
             np.minimum.at(out, of * k + at // size, at % size)

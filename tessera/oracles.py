@@ -94,10 +94,15 @@ def _equal(k: int, pairs: str) -> str:
 _ALL = "cells a JOIN cells b ON a.bin = b.bin AND b.locus < a.locus"
 _LISTED = f"SELECT row + 1 AS locus1, col + 1 AS locus2, {_printed(_q('n_eq', '{k}'))} AS jaccard FROM equal WHERE n_eq / CAST({{k}} AS DOUBLE) >= {{cut}}"
 _IN_GROUPS = """pairs AS (SELECT DISTINCT a.locus AS x, b.locus AS y FROM members a JOIN members b USING (first_locus) WHERE b.locus < a.locus)"""
-_PAIRS = "(0,4,3,21,101),(1,5,1,81,254),(2,5,2,164,502),(3,6,2,551,1001),(4,6,4,16,35),(5,8,1,8,11),(6,8,7,2,5),(7,8,6,89,234),(8,3,0,44,51),(9,5,1,6,13)"
-_LEFT = "(3,87),(6,8),(8,77),(9,68),(12,96),(14,49),(15,97),(17,41),(19,122),(26,82),(28,23),(31,45)"
-_RIGHT = "(4,217),(6,160),(8,228),(9,176),(11,167),(14,171),(16,228),(20,206),(27,174),(29,214),(34,201),(35,161)"
-_INSERTED = f"SELECT CAST(r AS BIGINT) AS row, CAST(c AS BIGINT) AS col, arg_min({_q('i', 'u')}, k) AS q FROM (VALUES {_PAIRS}) t(k, r, c, i, u) GROUP BY r, c"
+_COUNTED = """counted AS (SELECT l_orderkey * 8 + l_linenumber AS k, l_linenumber AS line, l_partkey AS r, l_suppkey AS c, CAST(l_linenumber AS BIGINT) AS i,
+  l_linenumber + CAST(floor(l_quantity) AS BIGINT) AS u FROM lineitem WHERE l_partkey <> l_suppkey)"""
+_SORTED = "SELECT greatest(r, c) AS row, least(r, c) AS col, k, i, u, line FROM counted"
+
+
+def _inserted(lines: str) -> str:
+    return f"SELECT row, col, arg_min({_q('i', 'u')}, k) AS q FROM ({_SORTED} WHERE {lines}) GROUP BY row, col"
+
+
 #: Row and column of all indexes that the queries use, by counting instead of by a root.
 TRIANGLE = "tri AS (SELECT CAST(r AS BIGINT) AS row, CAST(c AS BIGINT) AS col, CAST(r * (r - 1) // 2 + c AS BIGINT) AS vec_idx FROM range(1, 150) a(r), range(0, 149) b(c) WHERE c < r)"
 
@@ -120,6 +125,26 @@ def _murmur(value: str, seed: int) -> str:
     return f"SELECT value, xor(h, h >> 16) AS hash FROM ({inner})"
 
 
+def _murmur_list(blocks: str, seed: int = 2153025618) -> str:
+    """Blocks of one vector after the other, by recursion over their places; each is followed by a block of zero."""
+    m = 0xFFFFFFFF
+    times = lambda x, c: f"({x} * {c & 0xFFFF} + ((({x} * {c >> 16}) & 65535) << 16)) & {m}"
+    turn = lambda x, n: f"(((({x}) << {n}) & {m}) | (({x}) >> {32 - n}))"
+    step = lambda x: f"(({turn(x, 13)} * 5 + {0xE6546B64}) & {m})"
+    mixed = [
+        "v AS (SELECT l_orderkey AS locus, list(l_partkey ORDER BY l_linenumber, l_partkey) AS xs FROM lineitem GROUP BY l_orderkey)",
+        f"w AS (SELECT locus, {blocks} AS ys FROM v)",
+        f"b AS (SELECT locus, ys, list_transform(list_transform(list_transform(ys, lambda y: {times('y', 0xCC9E2D51)}), lambda y: {turn('y', 15)}), lambda y: {times('y', 0x1B873593)}) AS bs FROM w)",
+        f"""s AS (SELECT locus, bs, CAST(0 AS BIGINT) AS k, CAST({seed} AS BIGINT) AS h FROM b
+  UNION ALL SELECT locus, bs, k + 1, {step("h")} FROM (SELECT locus, bs, k, {step("xor(h, bs[k + 1])")} AS h FROM s WHERE k < len(bs)))""",
+    ]
+    inner = "SELECT locus, xor(h, 8) AS h FROM s WHERE k = len(bs)"
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        inner = f"SELECT locus, xor(h, h >> {shift}) AS h FROM ({inner})"
+        inner = f"SELECT locus, {times('h', factor)} AS h FROM ({inner})"
+    return _with(*mixed, select=f"SELECT locus, xor(h, h >> 16) AS hash FROM ({inner})")
+
+
 _BASKET = "basket AS (SELECT l_suppkey AS locus, l_partkey AS ind, CAST(least(count(*), 2) AS INTEGER) AS mac FROM lineitem GROUP BY ALL)"
 _BASKET_FLIP = """flip AS (SELECT locus, 2 * count(*) FILTER (mac > 0) > (SELECT count(*) FROM part) - count(*) FILTER (mac < 0) AS flip FROM basket GROUP BY locus)"""
 _BASKET_BITS = f"""SELECT locus, ind FROM (SELECT f.locus, p.p_partkey AS ind, f.flip, coalesce(b.mac, 0) AS mac FROM flip f CROSS JOIN part p
@@ -143,21 +168,22 @@ ORACLES = {
     "oph_permute": _with(*GENO_BITS, *_places(64, 10), select="SELECT locus, CAST(pos AS INTEGER) AS pos FROM placed"),
     "oph_sketch": _with(*GENO_BITS, *_sketch(64, 16), select="SELECT locus, bin, v FROM sk"),
     "oph_densify": _with(*GENO_DENSE, select="SELECT locus, string_agg(CAST(v AS VARCHAR), ',' ORDER BY bin) AS sketch_txt FROM cells GROUP BY locus"),
-    "oph_monomorphic": _with(*GENO_BITS, select="SELECT vec_id AS locus FROM embeddings WHERE vec_id NOT IN (SELECT locus FROM bits)"),
+    "oph_monomorphic": r"SELECT doc_id AS locus FROM documents WHERE regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', '', 'g') = ''",
     "jaccard_exact_pairs": _with(*GENO_BITS, EXACT, select="SELECT row, col, n_intersect, n_union FROM exact"),
     "jaccard_hash_pairs": _with(*GENO_DENSE, _equal(16, _ALL), select="SELECT row, col, n_eq FROM equal"),
-    "quantize": f"SELECT CAST(i AS BIGINT) AS n_intersect, CAST(u AS BIGINT) AS n_union, {_q('i', 'u')} AS q, {_printed(_q('i', 'u'))} AS jaccard FROM (VALUES {_PAIRS}) t(k, r, c, i, u)",
+    "quantize": _with(_COUNTED, select=f"SELECT i AS n_intersect, u AS n_union, {_q('i', 'u')} AS q, {_printed(_q('i', 'u'))} AS jaccard FROM counted"),
     "ld_exact": _with(*GENO_BITS, EXACT, select=f"SELECT row + 1 AS locus1, col + 1 AS locus2, {_printed(_q('n_intersect', 'n_union'))} AS jaccard FROM exact"),
     "ld_hash_all": _with(*GENO_DENSE, _equal(16, _ALL), select=_LISTED.format(k=16, cut=0.25)),
     "ld_with_names": _with(*GENO_BITS, EXACT, select=f"SELECT concat('L', row) AS name1, concat('L', col) AS name2, {_printed(_q('n_intersect', 'n_union'))} AS jaccard FROM exact"),
     "bands": _with(*TEXT_DENSE, select="SELECT locus, CAST(bin // 4 AS INTEGER) AS band, CAST(count(*) AS INTEGER) AS n_rows FROM cells GROUP BY locus, bin // 4"),
     "band_keys": _with(*TEXT_DENSE, KEYS, select="SELECT locus, band, key FROM keyed"),
-    "buckets": _with(*GROUPED, select="SELECT band, key, loci_txt, n FROM buckets"),
-    "buckets_dedup": _with(*GROUPED, select="SELECT DISTINCT loci_txt FROM buckets"),
-    "ld_groups": _with(
+    "buckets": _with(*GROUPED, select="SELECT band, key, first_locus, locus FROM keyed JOIN buckets USING (band, key)"),
+    "buckets_dedup": _with(
         *GROUPED,
-        select="SELECT first_locus, string_agg(CAST(locus AS VARCHAR), ',' ORDER BY locus) AS loci_txt, any_value(n_pairs) AS n_pairs FROM members JOIN sizes USING (first_locus) GROUP BY first_locus",
+        "firsts AS (SELECT loci_txt, min((band, key)) AS at FROM buckets GROUP BY loci_txt)",
+        select="SELECT band, key, first_locus, locus FROM keyed JOIN buckets USING (band, key) JOIN firsts USING (loci_txt) WHERE (band, key) = at",
     ),
+    "ld_groups": _with(*GROUPED, select="SELECT first_locus, locus, n_pairs FROM members JOIN sizes USING (first_locus)"),
     "group_cum_pairs": _with(
         *GROUPED, select="SELECT row_number() OVER o AS group_id, n_pairs, CAST(sum(n_pairs) OVER o AS BIGINT) AS cum_pairs FROM sizes WINDOW o AS (ORDER BY first_locus)"
     ),
@@ -169,18 +195,20 @@ ORACLES = {
     "ld_in_groups": _with(
         *GROUPED, _IN_GROUPS, _equal(64, "pairs JOIN cells a ON a.locus = x JOIN cells b ON b.locus = y AND b.bin = a.bin"), select=_LISTED.format(k=64, cut=0.5)
     ),
-    "matrix_insert": _INSERTED,
+    "matrix_insert": _with(_COUNTED, select=_inserted("true")),
     "matrix_merge": _with(
-        TRIANGLE,
-        f"a AS (SELECT row, col, {_q('i', '254')} AS q FROM (VALUES {_LEFT}) t(v, i) JOIN tri ON vec_idx = v)",
-        f"b AS (SELECT row, col, {_q('i', '254')} AS q FROM (VALUES {_RIGHT}) t(v, i) JOIN tri ON vec_idx = v)",
+        _COUNTED,
+        f"a AS ({_inserted('line <= 3')})",
+        f"b AS ({_inserted('line >= 3')})",
         select="""SELECT row, col, q, 'left' AS side FROM a UNION ALL SELECT row, col, q, 'left' FROM b ANTI JOIN a USING (row, col)
 UNION ALL SELECT row, col, q, 'right' FROM b UNION ALL SELECT row, col, q, 'right' FROM a ANTI JOIN b USING (row, col)""",
     ),
-    "matrix_append": "SELECT CAST(v AS BIGINT) AS v FROM range(23) t(v) UNION ALL SELECT CAST(v AS BIGINT) FROM range(2, 45) t(v)",
-    "matrix_stats": f"SELECT count(*) AS n_elements, count(*) * 8 AS n_bytes FROM ({_INSERTED})",
-    "triangle_rank": _with(TRIANGLE, select="SELECT vec_idx, row, col FROM tri WHERE vec_idx < 10000"),
-    "triangle_unrank": _with(TRIANGLE, select="SELECT vec_idx, row, col FROM tri WHERE vec_idx < 10000"),
+    "matrix_append": _with(_COUNTED, select=f"{_inserted('line <= 3')} UNION ALL {_inserted('line >= 3')}"),
+    "matrix_order": _with(_COUNTED, select=_inserted("true")),
+    "matrix_stats": _with(_COUNTED, select=f"SELECT count(*) AS n_elements, count(*) * 8 AS n_bytes FROM ({_inserted('true')})"),
+    "triangle_rank": _with(_COUNTED, select=f"SELECT row * (row - 1) // 2 + col AS vec_idx, row, col FROM ({_SORTED})"),
+    "triangle_unrank": """SELECT o_orderkey AS vec_idx, CAST(r AS BIGINT) AS row, CAST(o_orderkey - r * (r - 1) // 2 AS BIGINT) AS col
+FROM orders JOIN range(1, 20000) t(r) ON o_orderkey >= r * (r - 1) // 2 AND o_orderkey < r * (r + 1) // 2""",
     "chunk_sizes": "SELECT CAST(c AS BIGINT) AS chunk, CAST(35 // 4 + CASE WHEN c < 35 % 4 THEN 1 ELSE 0 END AS BIGINT) AS size FROM range(4) t(c)",
     "chunk_ranges": _with(
         TRIANGLE,
@@ -192,4 +220,7 @@ UNION ALL SELECT row, col, q, 'right' FROM b UNION ALL SELECT row, col, q, 'righ
 z AS (SELECT least((SELECT c - p + 2 + 12 FROM g WHERE g = 2), (SELECT max(c) FROM g)) AS z)
 SELECT g AS "group", CAST(p - (c - z) AS BIGINT) AS pair_count FROM g, z WHERE g >= 2 AND c >= z ORDER BY g LIMIT 1""",
     "murmur_u32": _murmur("value", 2153025618),
+    "murmur_indexes": _murmur_list("list_transform(xs, lambda x: x & 65535)"),
+    "murmur_vector": _murmur_list("list_append(list_transform(xs[:len(xs) - len(xs) % 2], lambda x: x & 65535), CASE WHEN len(xs) % 2 = 1 THEN xs[-1] & 255 ELSE 0 END)"),
+    "murmur_window": _murmur_list("list_transform(list_filter(range(4, 13, 2), lambda i: i <= len(xs)), lambda i: xs[i] & 65535)"),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .functions import murmur
 from .functions.murmur import murmur_steps
 from .functions.similarity import printed, quantized, rank, unrank
 from .operators import binarize, groups, matrix, pairs, ranges
@@ -23,10 +24,6 @@ PADDED = Sketching(GENO_N, 10)
 TEXTS = Sketching(INCIDENCE_N, 64)
 ROWS, CUT, HASH_CUT = 4, 0.5, 0.25
 SEED = 2153025618
-#: Literals that several queries share: pairs with counts, in the order of their insertion, and two matrices.
-PAIRS = "(4,3,21,101),(5,1,81,254),(5,2,164,502),(6,2,551,1001),(6,4,16,35),(8,1,8,11),(8,7,2,5),(8,6,89,234),(3,0,44,51),(5,1,6,13)"
-LEFT = "(3,87),(6,8),(8,77),(9,68),(12,96),(14,49),(15,97),(17,41),(19,122),(26,82),(28,23),(31,45)"
-RIGHT = "(4,217),(6,160),(8,228),(9,176),(11,167),(14,171),(16,228),(20,206),(27,174),(29,214),(34,201),(35,161)"
 
 
 def _bits(spark: SparkSession, d: str) -> DataFrame:
@@ -79,10 +76,16 @@ def sketch_txt(spark: SparkSession, d: str) -> DataFrame:
     return oph.sketches(_bits(spark, d), GENO).select("locus", F.array_join("sketch", ",").alias("sketch_txt"))
 
 
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    """``k, line, row, col, n_intersect, n_union``: pairs with counts, many of them more than once, ``k`` in their order."""
+    items = fixtures.table(spark, d, "lineitem").filter("l_partkey <> l_suppkey")
+    line = F.col("l_linenumber").cast("bigint")
+    return items.select((F.col("l_orderkey") * 8 + line).alias("k"), line.alias("line"), F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col"), line.alias("n_intersect"), (line + F.col("l_quantity").cast("bigint")).alias("n_union"))
+
+
 def quantize(spark: SparkSession, d: str) -> DataFrame:
     q = quantized(F.col("n_intersect"), F.col("n_union"))
-    rows = spark.sql(f"SELECT CAST(i AS BIGINT) AS n_intersect, CAST(u AS BIGINT) AS n_union FROM VALUES {PAIRS} AS t(r, c, i, u)")
-    return rows.select("n_intersect", "n_union", q.alias("q"), printed(q).alias("jaccard"))
+    return _counted(spark, d).select("n_intersect", "n_union", q.alias("q"), printed(q).alias("jaccard"))
 
 
 def band_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -91,53 +94,36 @@ def band_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 def bucket_list(spark: SparkSession, d: str) -> DataFrame:
     found = groups.in_buckets(stored(_keyed(spark, d), "keyed"))
-    sizes = found.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
-    return groups.listed(found, "band", "key").join(sizes, ["band", "key"])
+    return found.select("band", "key", "first_locus", "locus")
 
 
 def buckets_dedup(spark: SparkSession, d: str) -> DataFrame:
-    found = groups.in_buckets(stored(_keyed(spark, d), "keyed"))
-    return groups.listed(found, "band", "key").select("loci_txt").distinct()
+    return groups.distinct_buckets(stored(groups.in_buckets(stored(_keyed(spark, d), "keyed")), "buckets"))
 
 
 def ld_groups(spark: SparkSession, d: str) -> DataFrame:
     found = stored(_members(spark, d), "groups")
-    return groups.listed(found, "first_locus").join(groups.sizes(found).drop("n"), "first_locus")
-
-
-def _matrix(spark: SparkSession, values: str, n: int = 254) -> DataFrame:
-    row, col = unrank(F.col("v"))
-    rows = spark.sql(f"SELECT CAST(v AS BIGINT) AS v, CAST(i AS BIGINT) AS n_intersect, CAST({n} AS BIGINT) AS n_union FROM VALUES {values} AS t(v, i)")
-    return matrix.valid(rows.select(row.alias("row"), col.alias("col"), "n_intersect", "n_union")).select("row", "col", "q")
+    return found.join(groups.sizes(found).hint("merge"), "first_locus").select("first_locus", "locus", "n_pairs")
 
 
-def matrix_insert(spark: SparkSession, d: str) -> DataFrame:
-    values = ",".join(f"({k},{p[1:]}" for k, p in enumerate(x if x[0] == "(" else "(" + x for x in (y.rstrip(")") + ")" for y in PAIRS.split("),"))))
-    kind = "CAST(r AS BIGINT) AS row, CAST(c AS BIGINT) AS col, CAST(i AS BIGINT) AS n_intersect, CAST(u AS BIGINT) AS n_union"
-    rows = spark.sql(f"SELECT k, {kind} FROM VALUES {values} AS t(k, r, c, i, u)")
-    return matrix.inserted(matrix.valid(rows), "k")
+def _matrix(spark: SparkSession, d: str, lines: str) -> DataFrame:
+    return matrix.inserted(matrix.valid(_counted(spark, d).filter(lines)), "k")
 
 
 def matrix_merge(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _matrix(spark, LEFT), _matrix(spark, RIGHT)
+    a, b = _matrix(spark, d, "line <= 3"), _matrix(spark, d, "line >= 3")
     one, two = (matrix.merged(x, y).withColumn("side", F.lit(s)) for s, x, y in (("left", a, b), ("right", b, a)))
     return one.union(two)
 
 
-def matrix_append(spark: SparkSession, d: str) -> DataFrame:
-    return matrix.appended(spark.range(23).toDF("v"), spark.range(2, 45).toDF("v"))
-
-
 def triangle_unrank(spark: SparkSession, d: str) -> DataFrame:
-    row, col = unrank(F.col("id"))
-    return spark.range(10000).select(F.col("id").alias("vec_idx"), row.alias("row"), col.alias("col"))
+    row, col = unrank(F.col("o_orderkey"))
+    return fixtures.table(spark, d, "orders").select(F.col("o_orderkey").alias("vec_idx"), row.alias("row"), col.alias("col"))
 
 
 def triangle_rank(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.range(1, 143).withColumnRenamed("id", "row")
-    cells = rows.select("row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("row") - 1)).alias("col"))
-    index = rank(F.col("row"), F.col("col"))
-    return cells.select(index.alias("vec_idx"), "row", "col").filter("vec_idx < 10000")
+    rows = _counted(spark, d).select(F.greatest("row", "col").alias("row"), F.least("row", "col").alias("col"))
+    return rows.select(rank(F.col("row"), F.col("col")).alias("vec_idx"), "row", "col")
 
 
 def group_ranges(spark: SparkSession, d: str) -> DataFrame:
@@ -154,6 +140,12 @@ def murmur_u32(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("value", "hash")
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """``locus, inds``: the first line numbers and part keys of each order, in order."""
+    items = fixtures.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("locus"))
+    return items.agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("inds"))
+
+
 QUERIES = {
     "scan_mac": scan_mac,
     "scan_bed": scan_bed,
@@ -170,7 +162,7 @@ QUERIES = {
     "oph_permute": lambda s, d: oph.permuted(_bits(s, d), PADDED),
     "oph_sketch": lambda s, d: oph.bins(oph.sketches(_bits(s, d), GENO, dense=False)),
     "oph_densify": sketch_txt,
-    "oph_monomorphic": lambda s, d: binarize.monomorphic(_bits(s, d)),
+    "oph_monomorphic": lambda s, d: binarize.monomorphic(fixtures.incidence(s, d)),
     "jaccard_exact_pairs": lambda s, d: pairs.all_exact(stored(_bits(s, d), "bits"), GENO_N),
     "jaccard_hash_pairs": jaccard_hash_pairs,
     "quantize": quantize,
@@ -186,15 +178,19 @@ QUERIES = {
     "ld_groups_long": lambda s, d: ld.group_list(fixtures.incidence(s, d), TEXTS, ROWS),
     "group_pairs": lambda s, d: groups.all_pairs(stored(_members(s, d), "groups")),
     "ld_in_groups": lambda s, d: ld.in_groups(fixtures.incidence(s, d), TEXTS, Sparsity(ROWS, CUT)),
-    "matrix_insert": matrix_insert,
+    "matrix_insert": lambda s, d: _matrix(s, d, "true"),
     "matrix_merge": matrix_merge,
-    "matrix_append": matrix_append,
-    "matrix_stats": lambda s, d: matrix.stats(matrix_insert(s, d)),
+    "matrix_append": lambda s, d: matrix.appended(_matrix(s, d, "line <= 3"), _matrix(s, d, "line >= 3")),
+    "matrix_order": lambda s, d: matrix.ordered(_matrix(s, d, "true")),
+    "matrix_stats": lambda s, d: matrix.stats(_matrix(s, d, "true")),
     "triangle_rank": triangle_rank,
     "triangle_unrank": triangle_unrank,
     "chunk_sizes": lambda s, d: ranges.chunk_sizes(s, 35, 4),
     "chunk_ranges": lambda s, d: ranges.chunk_ranges(s, 0, 35, 4),
     "group_ranges": group_ranges,
     "murmur_u32": murmur_u32,
+    "murmur_indexes": lambda s, d: _vectors(s, d).select("locus", murmur.indexes(F.col("inds"), SEED).alias("hash")),
+    "murmur_vector": lambda s, d: _vectors(s, d).select("locus", murmur.u32(F.col("inds"), SEED).alias("hash")),
+    "murmur_window": lambda s, d: _vectors(s, d).select("locus", murmur.window(F.col("inds"), 3, 9, SEED).alias("hash")),
 }
 ORACLES = oracles.ORACLES

@@ -21,8 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
     warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    where = spark._jvm.org.apache.hadoop.fs.Path(warehouse).getFileSystem(spark._jsc.hadoopConfiguration())
-    if where.getUri().getScheme() == "file" and not spark.sparkContext.master.split("[")[0] == "local":
+    where = warehouse if ":" in warehouse else spark.conf.get("spark.hadoop.fs.defaultFS", "file:///")
+    if where.startswith("file:") and spark.conf.get("spark.master", "local").partition("[")[0] != "local":
         raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{warehouse}/_shared"
 

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from ..params import check_counts, check_individuals
 from ..session import ship
+from .files import place
 
 #: The first bytes of a file, and counts of the minor allele by two-bit code; -9 is missing.
 MAGIC = bytes((0x6C, 0x1B, 0x01))
@@ -30,14 +30,8 @@ def check_magic(head: bytes) -> None:
             raise ValueError(f"ERROR: {name} magic byte in input .bed file is {found:#04x}, not {wanted:#04x}")
 
 
-def _place(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path.removeprefix("file:")
-
-
 def _open(path: str):
-    where, inner = _place(path)
+    where, inner = place(path)
     try:
         return where.open_input_file(inner)
     except OSError as e:
@@ -105,7 +99,7 @@ def read_bed(spark: SparkSession, path: str, n: int, split: int = SPLIT) -> Data
 
 def write_bed(geno: DataFrame, path: str) -> None:
     """One file of ``locus, mac`` in the order of loci: for fixtures and exchange, the rows pass the driver one by one."""
-    where, inner = _place(path)
+    where, inner = place(path)
     where.create_dir(inner.rpartition("/")[0], recursive=True)
     with where.open_output_stream(inner) as f:
         f.write(MAGIC)
@@ -116,10 +110,14 @@ def write_bed(geno: DataFrame, path: str) -> None:
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their number from 0: numbered within the file's splits, which come in order, and then across them."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    """Lines with their number from 0: numbered within the files' splits, which come in order, and then across them.
+
+    The files of a folder follow each other by name.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    raw = spark.read.text(path).select("value", place.alias("at"), F.monotonically_increasing_id().alias("id"))
     sizes = raw.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    # one row for each split of the file
+    # one row for each split of the files
     before = F.coalesce(F.sum("n").over(W.orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("at", "first", before.alias("before"))
     return raw.join(F.broadcast(starts), "at").select((F.col("before") + F.col("id") - F.col("first")).alias("idx"), "value")

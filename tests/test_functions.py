@@ -8,6 +8,7 @@ from tessera.functions import murmur, rng, similarity
 from tessera.operators import matrix, ranges, sketch
 from tessera.params import Sketching, Sparsity, check_counts
 
+# Keys whose hashes, quantized similarities, ranges and bounds below are known.
 SEED = 2153025618
 INDEXES = [2437, 2444, 41116, 42353, 45949, 58374, 75248, 80113, 93649, 98640, 99638]
 WORDS = [1256, 2117, 2866, 7434, 11737, 16256, 22236, 39883, 40023, 46299, 58123, 58167, 62187]
@@ -41,6 +42,17 @@ def test_murmur_columns(spark):
     assert [r.hash for r in df.orderBy("lo").collect()] == [murmur.of_key(k, SEED) for k in sorted(keys)]
 
 
+def test_murmur_columns_of_vectors(spark):
+    rng_ = np.random.default_rng(3)
+    rows = [INDEXES, WORDS, [], [7], [70000, 2**33 + 5], *(rng_.integers(0, 2**40, n).tolist() for n in (3, 4, 9, 16))]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, x array<bigint>")
+    x = F.col("x")
+    got = df.orderBy("k").select(murmur.indexes(x, SEED).alias("i"), murmur.u32(x, SEED).alias("u"), murmur.window(x, 4, 5, SEED).alias("w"), murmur.window(x, 0, 13, SEED).alias("v")).collect()
+    for r, own in zip(got, rows):
+        assert tuple(r) == (murmur.of_indexes(own, SEED), murmur.of_u32(own, SEED), murmur.of_window(own, 4, 5, SEED), murmur.of_window(own, 0, 13, SEED))
+    assert got[0].i == 2643649892 and (got[1].w, got[1].v) == (3760365877, 2280422248)
+
+
 def test_random_choices_agree(spark):
     row = spark.range(1).select(rng.h32("het", 3, F.lit(5), F.lit(7)).alias("x")).first()
     assert row.x == rng.h32_of("het", 3, 5, 7)

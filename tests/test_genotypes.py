@@ -85,6 +85,13 @@ def test_many_lines_keep_their_numbers(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_files_of_a_folder_follow_each_other(spark, tmp_path):
+    (tmp_path / "bims").mkdir()
+    for k in range(3):
+        (tmp_path / "bims" / f"chr{k}.bim").write_text("".join(f"1 n{3 * k + i} 0 {i}\n" for i in range(3)))
+    assert [(r.idx, r.name) for r in bed.read_bim(spark, f"{tmp_path}/bims").orderBy("idx").collect()] == [(k, f"n{k}") for k in range(9)]
+
+
 def brute_bits(mac, locus):
     from tessera.functions.rng import h32_of
 
@@ -103,6 +110,7 @@ def test_binarize(spark, geno, counts):
 
 
 def test_worked_locus(spark):
+    # A worked example
     mac = [0, 2, 0, 2, 2, 1, -9, 0, 0, 2, 0, 2, -9, 1, 2, 0, 2]
     got = binarize.binarize(spark.createDataFrame([(0, mac)], "locus long, mac array<int>")).first().inds
     assert 6 <= len(got) <= 8 and {0, 2, 7, 8, 10, 15} <= set(got)
@@ -145,6 +153,9 @@ def test_groups_are_unions_of_buckets_with_one_first_locus(spark):
     found = groups.members(keyed)
     assert sorted(map(tuple, found.collect())) == [(1, 1), (1, 2), (1, 3), (3, 3), (3, 4)]
     assert sorted(map(tuple, groups.all_pairs(found).collect())) == [(2, 1), (3, 1), (3, 2), (4, 3)]
+    assert sorted(map(tuple, groups.all_pairs(found, block=1).collect())) == [(2, 1), (3, 1), (3, 2), (4, 3)]
+    more = keyed.union(spark.createDataFrame([(1, 2, "a"), (2, 2, "a")], "locus long, band int, key string"))
+    assert sorted(map(tuple, groups.distinct_buckets(groups.in_buckets(more)).collect())) == [(0, "a", 1, 1), (0, "a", 1, 2), (0, "b", 3, 3), (0, "b", 3, 4), (1, "a", 1, 1), (1, "a", 1, 3)]
     assert [(r.group_id, r.cum_pairs) for r in groups.numbered(found).orderBy("group_id").collect()] == [(1, 3), (2, 4)]
     assert sorted(map(tuple, groups.long_list(found).collect())) == [("G1", 2), ("G1", 3), ("G1", 4), ("G2", 4), ("G2", 5)]
 
@@ -166,9 +177,11 @@ def test_hash_similarity_nears_exact(spark):
 
 def test_raw_bits(spark, geno, tmp_path, counts):
     bits = binarize.binarize(geno)
-    sinks.write_raw(bits, N, f"{tmp_path}/raw")
+    sinks.write_raw(bits, N, f"{tmp_path}/raw", parts=3)
     width = -(-N // 8)
-    raw = (tmp_path / "raw").read_bytes()
+    files = sorted(x for x in (tmp_path / "raw").iterdir() if not x.name.startswith("."))
+    assert 1 < len(files) <= 3 and not list((tmp_path / "raw").glob(".tmp-*"))
+    raw = b"".join(x.read_bytes() for x in files)
     assert len(raw) == LOCI * width
     rows = {r.locus: bytes(r.bytes) for r in sinks.bit_bytes(bits, N).collect()}
     for k, row in enumerate(counts):
@@ -183,13 +196,23 @@ def test_tables(spark, files, counts, tmp_path):
     one, two = (sorted(map(tuple, t.all_pairs(cutoff=0.5).collect())) for t in (a, b))
     assert one == two and one
     a.save_log(f"{tmp_path}/log")
-    assert (tmp_path / "log").read_text().startswith("all pairs of 60 loci")
+    assert (tmp_path / "log").read_text().splitlines() == [f"genotypes from {files}/x.bed, {N} individuals, seed 0", "all pairs, exact similarity, cut-off 0.5"]
+    paths = a.write_pairs(f"{tmp_path}/chunks", 3, 0.5)
+    assert sorted(map(tuple, spark.read.parquet(*paths).collect())) == one
+    (tmp_path / "chunks" / "chunk-000001" / "_SUCCESS").unlink()  # as if the run had broken off there
+    times = [next((tmp_path / "chunks" / f"chunk-00000{k}").glob("part-*")).stat().st_mtime_ns for k in (0, 2)]
+    assert a.write_pairs(f"{tmp_path}/chunks", 3, 0.5) == paths and sorted(map(tuple, spark.read.parquet(*paths).collect())) == one
+    assert times == [next((tmp_path / "chunks" / f"chunk-00000{k}").glob("part-*")).stat().st_mtime_ns for k in (0, 2)]
     p = Sketching(N, 25)
     t = SketchTable.from_bed(spark, f"{files}/x.bed", p)
     every = {tuple(r) for r in t.all_pairs(0.6).collect()}
     within = {tuple(r) for r in t.pairs_in_groups(Sparsity(5, 0.6)).collect()}
     assert within and within <= every
     assert {c for r in t.groups(5, bed.read_bim(spark, f"{files}/x.bim")).collect() for c in r.name[:2].split()} == {"rs"}
+    assert t.log[-1].startswith("groups by 25 sketches, 5 rows a band: ") and t.log[-1].endswith("pairs in groups")
+    assert sorted(map(tuple, spark.read.parquet(*t.write_pairs(f"{tmp_path}/more", 2, 0.6)).collect())) == sorted(every)
+    t.save_log(f"{tmp_path}/log")
+    assert len((tmp_path / "log").read_text().splitlines()) == len(t.log)  # the former log is replaced
     assert not BinaryTable.empty(spark).all_pairs().collect()
 
 
@@ -200,6 +223,10 @@ def test_command_line(spark, files, tmp_path, more, names):
     common = ["--input-bed", f"{files}/x.bed", "--n-individuals", str(N), "--out-file", str(out), "--log-file", f"{tmp_path}/log", "--single-file", "--min-similarity", "0.5"]
     assert cli.main(common + more + names) == 0
     lines = next(out.glob("part-*.csv")).read_text().splitlines()
+    assert cli.main([*common, *more, *names, "--ordered"]) == 0
+    again = next(out.glob("part-*.csv")).read_text().splitlines()
+    key = lambda x: tuple(int(y) if y.isdigit() else y for y in x.split("\t")[:2])
+    assert sorted(again) == sorted(lines) and again[1:] == sorted(again[1:], key=key)
     if "--only-groups" in more:
         assert lines[0] == ("groupID\tname" if names else "groupID\tlocusIdx")
         return

@@ -1,4 +1,3 @@
-import os
 
 from tessera import session
 
@@ -20,11 +19,18 @@ def test_shared_folder_comes_from_the_session(spark):
 
 
 def test_without_a_shared_folder_the_warehouse_serves():
-    class Conf:
-        def get(self, key, default=None):
-            return {"spark.sql.warehouse.dir": "file:/w/"}.get(key, default)
-
-    class Session:
-        conf = Conf()
-
-    assert session.shared_dir(Session()) == "file:/w/_shared"
+    def session_of(**conf):
+        class Conf:
+            def get(self, key, default=None):
+                return conf.get(key.rpartition(".")[0].rpartition(".")[2] + "_" + key.rpartition(".")[2], default)
+
+        return type("Session", (), {"conf": Conf()})()
+
+    where = lambda **conf: session.shared_dir(session_of(**conf))
+    assert where(warehouse_dir="file:/w/") == where(warehouse_dir="file:/w", spark_master="local[4]") == "file:/w/_shared"
+    assert where(warehouse_dir="hdfs://h/w", spark_master="yarn") == "hdfs://h/w/_shared"
+    assert where(warehouse_dir="/w", spark_master="yarn", fs_defaultFS="hdfs://h") == "/w/_shared"
+    for warehouse in ("file:/w", "/w"):  # a machine's own disk
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            where(warehouse_dir=warehouse, spark_master="spark://h:7077")
+        assert where(warehouse_dir=warehouse, spark_master="spark://h:7077", checkpoint_dir="hdfs://h/c/") == "hdfs://h/c"
