@@ -180,8 +180,8 @@ ORACLES = {
     "buckets": _with(*GROUPED, select="SELECT band, key, first_locus, locus FROM keyed JOIN buckets USING (band, key)"),
     "buckets_dedup": _with(
         *GROUPED,
-        "firsts AS (SELECT loci_txt, min((band, key)) AS at FROM buckets GROUP BY loci_txt)",
-        select="SELECT band, key, first_locus, locus FROM keyed JOIN buckets USING (band, key) JOIN firsts USING (loci_txt) WHERE (band, key) = at",
+        "firsts AS (SELECT loci_txt, min((band, key)) AS least FROM buckets GROUP BY loci_txt)",
+        select="SELECT band, key, first_locus, locus FROM keyed JOIN buckets USING (band, key) JOIN firsts USING (loci_txt) WHERE (band, key) = least",
     ),
     "ld_groups": _with(*GROUPED, select="SELECT first_locus, locus, n_pairs FROM members JOIN sizes USING (first_locus)"),
     "group_cum_pairs": _with(

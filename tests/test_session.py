@@ -1,3 +1,6 @@
+import os
+
+import pytest
 
 from tessera import session
 
