@@ -153,4 +153,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, salts: int | None = None) ->
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every row of ``documents`` and their places in sequences of ``CAPACITY`` tokens; see ``pieces`` and ``pack``.
+
+    Null and empty texts are the end id alone, whole texts of any length are cut, repeated rows and ids are packed each,
+    an empty table gives no rows, other columns are not read.
+    """
     return pack(pieces(table(spark, sf_dir, "documents"), vocabulary()))

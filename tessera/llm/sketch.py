@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,7 +139,8 @@ def with_edits(docs: DataFrame) -> DataFrame:
     The next document is the one with the next smaller doc_id, for the smallest the largest; rows of one doc_id follow
     each other in the order of their texts' hashes; null ids are the smallest. A single row is its own next.
 
-    Documents are dealt once, by ranges of doc_id; each range is read in order, and the first row of the range that
+    Documents are dealt once, by ranges of doc_id (of an id that very many rows share, or of null, by ranges of its texts'
+    hashes within it); each range is read in order, and the first row of the range that
     follows is dealt to it as well. The driver sees the ranges' bounds only.
     """
     spark = docs.sparkSession
@@ -146,18 +148,25 @@ def with_edits(docs: DataFrame) -> DataFrame:
     n = 4 * partitions(spark)
     lowest = F.lit(-(1 << 63)).cast("long")
     rows = texts(docs).withColumn("key", F.coalesce("doc_id", lowest))
-    bounds = sorted(set(rows.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 100 * n)).first()[0] or []))
+    found = rows.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 100 * n)).first()[0] or []
+    bounds, shares = sorted(set(found)), Counter(found)
     rows = rows.withColumn("tie", F.xxhash64("text"))
     if bounds:  # a binary search; doubles keep the order of keys, and equal keys fall into one range
         splits = [-math.inf, *sorted(set(map(float, bounds))), math.inf]
         rows = Bucketizer(splits=splits, inputCol="at", outputCol="part").transform(rows.withColumn("at", F.col("key").cast("double"))).drop("at")
     else:
         rows = rows.withColumn("part", F.lit(0))
-    rows = rows.withColumn("part", F.col("part").cast("int"))
+    # an id that fills several ranges, which all begin with it, is dealt out by ranges of its texts' hashes
+    inner = F.lit(n)
+    for key, share in shares.items():
+        if share > 1:
+            at = F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * share)
+            inner = F.when(F.col("key") == key, F.least(at, F.lit(share - 1))).otherwise(inner)
+    rows = rows.withColumn("part", F.col("part").cast("long") * (n + 1) + inner)
     tops = rows.groupBy("part").agg(F.max(F.struct("key", "tie")).alias("top")).orderBy("part").collect()
     follows = {t.part: tops[k - 1].top for k, t in enumerate(tops)}  # the range below; below the lowest, the highest
     also = [(part, top.key, top.tie) for part, top in follows.items()]
-    guests = spark.createDataFrame(also, "guest int, key long, tie long")
+    guests = spark.createDataFrame(also, "guest long, key long, tie long")
     lent = rows.drop("part").join(F.broadcast(guests), ["key", "tie"])  # at most 4 * partitions rows
     lent = lent.dropDuplicates(["guest"]).select("doc_id", "text", "key", F.col("guest").alias("part"), "tie", F.lit(1).alias("lent"))
     dealt = rows.select("doc_id", "text", "key", "part", "tie", F.lit(0).alias("lent")).union(lent)
@@ -188,6 +197,11 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every row of ``documents`` and of its edited text; see ``with_edits``.
+
+    Null texts count as empty, whole texts of any length are read, repeated rows and ids are returned each, an empty table
+    gives no rows, other columns are not read.
+    """
     return with_edits(table(spark, sf_dir, "documents"))
 
 

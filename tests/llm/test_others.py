@@ -172,6 +172,26 @@ def test_fingerprint_odd_rows(spark, odd, odd_rows, none):
     assert [(r.n_chars, r.near_next) for r in alone] == [(5, 1.0)] and alone[0].edited_sha256 == hashlib.sha256(b"ab ab").hexdigest()
 
 
+@pytest.mark.parametrize("doc", [None, 3])
+def test_one_id_for_most_rows_is_dealt_out(spark, doc):
+    """An id that most rows share: no task has much more than the others, and every row has its next."""
+    r = random.Random(7)
+    rows = [(doc, words(r, r.randint(1, 30))) for _ in range(400)] + [(k, words(r, 20)) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sketch.with_edits(docs)
+    found = got.collect()
+    h = lambda t: spark.createDataFrame([(x,) for x in t], "t string").select("t", F.xxhash64("t").alias("h")).collect()
+    tie = {x.t: x.h for x in h({t for _, t in rows})}
+    order = sorted(rows, key=lambda x: (-(1 << 63) if x[0] is None else x[0], tie[x[1]]), reverse=True)
+    wanted = []
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        wanted.append((i, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    assert sorted(((x.doc_id, x.n_chars, x.edited_sha256) for x in found), key=str) == sorted(wanted, key=str)
+    tasks = [x["n"] for x in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("n_chars").alias("n")).collect()]
+    assert max(tasks) < 250
+
+
 # -- language -----------------------------------------------------------------------------------------------------
 
 
