@@ -47,6 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces and places of what the stages keep of ``documents``.
+
+    Each stage takes nulls in any column, empty and very long texts, repeated rows and ids, empty tables and extra columns
+    as its function says; rows without letters go with the first one, so later ones see no empty text but those that
+    suffix-array dedup leaves.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
