@@ -33,7 +33,7 @@ import inspect
 import math
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -50,15 +50,19 @@ from .common import cleaned, drop, partitions, prepare, shared_dir, stored, tabl
 
 LENGTH = 50
 ANCHOR = 25
-#: Bytes of text that one block holds at least, how many more a shard covers, and bytes that are hashed at a time.
+#: Bytes of text that one block holds at least, that a shard covers, and that are hashed at a time.
 BLOCK = 4 << 20
-SHARD = 2
+SHARD = 2 << 20
 STEP = 1 << 18
+#: Entries of a level that one row holds.
+CHUNK = 1 << 16
 #: Stretches of one anchor above which their windows are dealt out.
 MANY = 2048
 #: Every block sends a record to every shard. Blocks grow with the root of the text times this, so that the number of
 #: records grows in proportion to the text: blocks hold 8 MB at 100 GB of text and 25 MB at 1 TB.
 SPARSE = 650
+#: Bytes of text to each of these records, at least: shards are as large as that takes.
+RECORD = 650
 #: Batches of a table that is deduplicated at once: at least so many, and more if one would be larger than this.
 BATCHES = 3
 BATCH = 1 << 40
@@ -173,7 +177,7 @@ def _columns(body: bytes, n: int, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _parsed(bodies: list[bytes], sizes: list[int], *kinds: str) -> list[np.ndarray]:
+def _parsed(bodies: Sequence[bytes], sizes: Sequence[int], *kinds: str) -> list[np.ndarray]:
     parts = [_columns(b, n, *kinds) for b, n in zip(bodies, sizes, strict=True)]
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, k) for k in kinds]
 
@@ -292,7 +296,7 @@ def _name(shards: int) -> Callable:
 
 #: What a shard says. Kind 0 goes to blocks of the batch: n stretches (their first window; 0 held, 1 and 2 to be compared,
 #: 2 if their anchor has many; the smallest doc that holds them). Kind 1 goes to blocks of former batches: stretches whose
-#: bytes are wanted. Kind 2 is the shard of a new level.
+#: bytes are wanted. Kind 2 is the shard of a new level, in chunks with the number of their first entry as block.
 _SCANNED = "kind int, home long, block long, n int, body binary"
 _ENTRY = ("<u4", "<u2", "<u8", "<i8", "<u4", "u1")
 
@@ -333,8 +337,12 @@ def _scan(merging: list[int]) -> Callable:
         order, new = _distinct(anchor, own, doc)
         anchor, own, doc, block, lo, size = (x[order] for x in (anchor, own, doc, block, lo, size))
         levels: dict[int, tuple[np.ndarray, ...]] = {}
-        for number, n, body in zip(*(old.column(c).to_pylist() for c in ("level", "n", "body")), strict=True):
-            high, low, *rest = _columns(body, n, *_ENTRY)
+        chunks: dict[int, list[tuple[int, bytes, int]]] = {}
+        for number, at, n, body in zip(*(old.column(c).to_pylist() for c in ("level", "block", "n", "body")), strict=True):
+            chunks.setdefault(number, []).append((at, body, n))
+        for number, own_chunks in chunks.items():
+            _, bodies, sizes = zip(*sorted(own_chunks), strict=True)
+            high, low, *rest = _parsed(bodies, sizes, *_ENTRY)
             levels[number] = (_whole(high, low), *rest)
         first = np.flatnonzero(new)
         group = np.cumsum(new) - 1
@@ -374,8 +382,9 @@ def _scan(merging: list[int]) -> Callable:
         own_level = [x[first][~known] for x in (anchor, own, block, lo, size)]
         joined = [np.concatenate(x) for x in zip(own_level, *(levels[k] for k in merging if k in levels), strict=True)]
         turn = np.lexsort((joined[1], joined[0]))
-        if len(turn):
-            out.append((2, home, None, len(turn), _entries(*(x[turn] for x in joined))))
+        for a in range(0, len(turn), CHUNK):
+            part = turn[a : a + CHUNK]
+            out.append((2, home, a, len(part), _entries(*(x[part] for x in joined))))
         return _table(out, _SCANNED)
 
     return run
@@ -412,6 +421,11 @@ def _units(out: list[tuple], shards: int, number: int, anchor: list[int], doc: l
     return known, links
 
 
+#: Covered stretches (first window, how many more), those to be compared (first window, unit), windows that the block knows
+#: to be held (stretch, bit), and which unit answers for which window (unit, stretch, bit).
+_KNOWN = ("<u4", "u1", "<u4", "<u4", "<u4", "u1", "<u4", "<u4", "u1")
+
+
 def _triples(rows: list[tuple], width: int) -> list[np.ndarray]:
     return list(np.array(rows, np.int64).reshape(-1, width).T)
 
@@ -445,7 +459,9 @@ def _sort_out(shards: int) -> Callable:
         texts = [block.data[a:b] for a, b in zip(lo[places].tolist(), (hi[places] + LENGTH).tolist(), strict=True)]
         known, links = _units(out, shards, number, anchor[places].tolist(), doc[places].tolist(), texts, (kind[kind > 0] > 1).tolist())
         sizes = [int(covered.sum()), int(left.sum()), len(known), len(links)]
-        body = _planes(np.array(sizes, np.int64), lo[covered], hi[covered], lo[left], hi[left], ask[group][left], *_triples(known, 2), *_triples(links, 3))
+        width = (hi - lo).astype(np.uint8)
+        parts = [lo[covered], width[covered], lo[left], ask[group][left], *_triples(known, 2), *_triples(links, 3)]
+        body = _planes(np.array(sizes, np.int64), *(x.astype(k) for x, k in zip(parts, _KNOWN, strict=True)))
         out.append((0, None, number, 0, None, body))
         return _table(out, _SORTED)
 
@@ -535,12 +551,13 @@ def _mark(rows: pa.Table, known: pa.Table) -> tuple[Block, np.ndarray]:
     if own is not None:
         sizes = _columns(own[:32], 4, "<i8")[0].tolist()
         parts, at = [], 32
-        for n, many in zip(sizes, (2, 3, 2, 3), strict=True):
-            parts.append(_columns(own[at : at + 8 * n * many], n, *["<i8"] * many))
-            at += 8 * n * many
-        (lo, hi), (p_lo, _, p_q), (k_q, k_bit), (unit, l_q, l_bit) = parts
+        for n, kinds in zip(sizes, (_KNOWN[:2], _KNOWN[2:4], _KNOWN[4:6], _KNOWN[6:]), strict=True):
+            size = n * sum(np.dtype(k).itemsize for k in kinds)
+            parts.append([x.astype(np.int64) for x in _columns(own[at : at + size], n, *kinds)])
+            at += size
+        (lo, width), (p_lo, p_q), (k_q, k_bit), (unit, l_q, l_bit) = parts
         np.add.at(edge, lo, 1)
-        np.add.at(edge, hi + LENGTH, -1)
+        np.add.at(edge, lo + width + LENGTH, -1)
         q, bits = (np.concatenate(x) for x in zip(*answers, strict=True)) if answers else (np.empty(0, np.int64), np.empty(0, np.uint64))
         of = np.zeros(1 + max((int(x.max()) for x in (q, p_q, k_q, unit, l_q) if len(x)), default=0), np.uint64)
         np.bitwise_or.at(of, q, bits)
@@ -617,7 +634,8 @@ class SuffixIndex:
         self.commits = Commits(spark, f"{self.root}/commits")
         n = max(8, -(-size // max(BLOCK, math.isqrt(SPARSE * size))))
         if not self.commits.numbers():
-            self.commits.commit(1, {"shards": max(8, n // SHARD), "buckets": min(n, partitions(spark)), "next": 0, "batches": [], "levels": []})
+            shards = max(8, min(-(-size // SHARD), size // (RECORD * n)))
+            self.commits.commit(1, {"shards": shards, "buckets": min(n, partitions(spark)), "next": 0, "batches": [], "levels": []})
         self.shards, self.buckets = (self.commits.latest()[1][k] for k in ("shards", "buckets"))
 
     def levels(self) -> list[dict]:
@@ -672,7 +690,7 @@ class SuffixIndex:
                     break
                 merging.append(level)
                 weight += level["size"]
-            levels = self._read("home BIGINT, n INT, body BINARY", "home", "level", {x["number"]: x["path"] for x in at["levels"] if self._has(x["path"])})
+            levels = self._read("home BIGINT, block BIGINT, n INT, body BINARY", "home", "level", {x["number"]: x["path"] for x in at["levels"] if self._has(x["path"])})
             named = blocks.select("block", "doc_id", "text").groupBy("block").applyInArrow(_tidied(_name(self.shards)), _NAMED)
             scan = _tidied(_scan([x["number"] for x in merging]))
             scanned = named.groupBy("shard").cogroup(levels.groupBy("home")).applyInArrow(scan, _SCANNED)
