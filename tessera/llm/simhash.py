@@ -186,6 +186,17 @@ def _across(nodes: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[tu
             yield np.full(len(near), nodes[k]), nodes[near]
 
 
+def _between(nodes: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within ``distance`` of side 0 and side 1 (the last long) whose labels (the last but one) differ."""
+    label, side, prints = prints[:, -2], prints[:, -1], prints[:, :-2]
+    others = np.flatnonzero(side == 1)
+    for k in np.flatnonzero(side == 0):
+        there = others[label[others] != label[k]]
+        near = there[np.bitwise_count(prints[there] ^ prints[k]).sum(1, dtype=np.int64) <= distance]
+        if len(near):
+            yield np.full(len(near), nodes[k]), nodes[near]
+
+
 def _meet(rows: DataFrame, longs: int, distance: int, limit: int | None = BUCKET, forest: Callable = _forest) -> DataFrame:
     """Rows ``mask, key, node, w0 ...`` meet on mask and key: ``u, v`` are links; rows with null ``v`` are of large buckets.
 
@@ -239,6 +250,50 @@ def _meet(rows: DataFrame, longs: int, distance: int, limit: int | None = BUCKET
     return rows.mapInArrow(run, schema)
 
 
+def part_links(rows: DataFrame, longs: int, distance: int, limit: int = BUCKET, forest: Callable = _forest) -> tuple[DataFrame, DataFrame | None]:
+    """``u, v``: links that connect the classes of each bucket of ``mask, key, node, w0 ...`` as its pairs would, and the
+    rows of buckets above ``limit`` classes, if there are any. Such a bucket is dealt into parts, by another hash in each
+    block; classes of one part are linked. What these links leave apart is for ``rest_links``. Keys have 32 bits at most.
+    """
+    names = [f"w{k}" for k in range(longs)]
+    met = stored(_meet(rows, longs, distance, limit, forest), "met")
+    out = met.filter("v IS NOT NULL").select("u", "v")
+    large = met.filter("v IS NULL").select("mask", "key", F.col("u").alias("node"), *names)
+    if large.isEmpty():
+        return out, None
+    sizes = large.groupBy("mask", "key").agg(_parts(F.count(F.lit(1)), limit).alias("parts"))
+    dealt = large.join(sizes.hint("merge"), ["mask", "key"]).withColumn("part", F.pmod(F.xxhash64("node", "mask"), F.col("parts")))
+    cells = dealt.select("mask", F.shiftleft("part", 32).bitwiseOR(F.col("key")).alias("key"), "node", *names)
+    return out.union(_meet(cells, longs, distance, None, forest).select("u", "v")), large
+
+
+def _parts(n: Column, limit: int) -> Column:
+    return F.ceil(n / max(1, limit // 2)).cast("long")
+
+
+def rest_links(large: DataFrame, labels: DataFrame, longs: int, distance: int, limit: int = BUCKET) -> DataFrame:
+    """``u, v``: all pairs within ``distance`` of classes of one large bucket whose labels (``node, part``; a class without
+    one is its own) differ.
+
+    Most classes of a large bucket are near copies that have one label by now. Classes of another label, part by part, meet
+    all classes of the bucket, part by part: the cost is the number of the former times that of all, not the square.
+    """
+    names = [f"w{k}" for k in range(longs)]
+    own = large.join(labels.hint("merge"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    own = stored(own.select("mask", "key", "node", "part", *names), "labelled")
+    counts = own.groupBy("mask", "key", "part").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("mask", "key").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n")).filter("n > top.n")
+    most = most.select("mask", "key", F.col("top.part").alias("top"), _parts(F.col("n"), limit).alias("all"), _parts(F.col("n") - F.col("top.n"), limit).alias("few"))
+    rows = own.join(most.hint("merge"), ["mask", "key"])
+    sides = []
+    for side, here, there, some in ((0, "few", "all", F.col("part") != F.col("top")), (1, "all", "few", F.lit(True))):
+        at = F.pmod(F.xxhash64("node", "mask", F.lit(side)), F.col(here)).alias("at")
+        met = rows.filter(some).withColumn("at", at).withColumn("of", F.explode(F.sequence(F.lit(0).cast("long"), F.col(there) - 1)))
+        cell = F.col("at") * F.col("all") + F.col("of") if side == 0 else F.col("of") * F.col("all") + F.col("at")
+        sides.append(met.select("mask", F.shiftleft(cell, 32).bitwiseOR(F.col("key")).alias("key"), "node", *names, F.col("part").alias(f"w{longs}"), F.lit(side).cast("long").alias(f"w{longs + 1}")))
+    return _meet(sides[0].union(sides[1]), longs + 2, distance, None, _between).select("u", "v")
+
+
 def bucket_links(rows: DataFrame, longs: int, distance: int, limit: int = BUCKET, forest: Callable = _forest) -> DataFrame:
     """``u, v``: links that connect the classes of each bucket of ``mask, key, node, w0 ...`` as all its pairs would.
 
@@ -374,8 +429,8 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks
     by then. Where one of their links fails, another pair may do: all candidates between parts that such a link was to
     join are judged as well.
 
-    Texts without words do not link here: they share no shingle. A bucket above ``limit`` classes is compared part
-    against part (see ``bucket_links``).
+    Texts without words do not link here: they share no shingle. Classes of a bucket above ``limit`` are first compared
+    within parts, and what stays apart with all of the bucket (``part_links``, ``rest_links``).
     """
     keep = keep or []
     if not blocks:
@@ -397,12 +452,19 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks
         return links.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
     rows = classes.filter(worded & F.col("node").isNotNull())
-    tried = stored(ordered(bucket_links(in_blocks(rows), check, distance, limit, _nearest)), "tried")
+    links, large = part_links(in_blocks(rows), check, distance, limit, _nearest)
+    tried = stored(ordered(links), "tried")
     # first one pair a class; of the others only those that are not joined by then
     first = stored(tried.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "first")
     parts = joined(tried.select(F.col("u").alias("node")).union(tried.select("v")).distinct().withColumn("part", F.col("node")), alike(first, docs, words, similarity))
     rest = stored(crossing(tried.join(first, ["u", "v"], "left_anti"), parts), "rest")
     parts = joined(parts, alike(rest.select("u", "v"), docs, words, similarity))
+    if large is not None:
+        more = stored(ordered(rest_links(large, parts, check, distance, limit)).join(tried, ["u", "v"], "left_anti"), "more")
+        alone = more.select(F.col("u").alias("node")).union(more.select("v")).distinct().join(parts, "node", "left_anti")
+        parts = parts.union(alone.withColumn("part", F.col("node")))
+        parts = joined(parts, alike(more, docs, words, similarity))
+        tried = tried.union(more)
     failed = stored(crossing(tried, parts), "failed")
     if not failed.isEmpty():
         doubt = failed.select(F.col("pu").alias("part")).union(failed.select("pv")).distinct()

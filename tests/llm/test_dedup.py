@@ -247,6 +247,26 @@ def test_near_copies_in_large_buckets(spark):
     assert {x.component_id for x in simhash.near_groups(docs, limit=16).collect()} == {0}
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """Parts of two classes and batches of one row: components of sets that have the likeness are those of all pairs."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    r = random.Random(19)
+    rows = []
+    for g in range(3):  # chains of versions: only neighbours are alike
+        t = [f"w{r.random()}" for _ in range(300)]
+        for k in range(12):
+            at = r.randrange(290)
+            t[at : at + 8] = [f"w{r.random()}" for _ in range(8)]
+            t[0:3] = ["same", "first", "words"]
+            rows.append((100 * g + k, " ".join(t)))
+    try:
+        got = {x.doc_id: x.component_id for x in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), limit=2).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == {i: i // 100 * 100 for i, _ in rows}
+
+
 @pytest.mark.parametrize("limit", [8, 64, 4096])
 def test_a_chain_longer_than_a_bucket_is_one_group(spark, limit):
     """Successive versions in one bucket, each 20 bits from the one before: only near neighbours are within the distance."""
@@ -260,6 +280,16 @@ def test_a_chain_longer_than_a_bucket_is_one_group(spark, limit):
     docs = spark.createDataFrame([tuple(map(int, x)) for x in rows], ", ".join(f"{c} long" for c in ("mask", "key", "node", *names)))
     links = [(x.u, x.v) for x in simhash.bucket_links(docs, 8, 30, limit).collect()]
     assert brute_components(range(200), links) == dict.fromkeys(range(200), 0)
+    within, large = simhash.part_links(docs, 8, 30, limit)
+    assert (large is None) == (limit == 4096)
+    links = [(x.u, x.v) for x in within.collect()]
+    if large is not None:
+        labels = components(spark.createDataFrame(links, "u long, v long")).withColumnRenamed("component_id", "part")
+        rest = [(x.u, x.v) for x in simhash.rest_links(large, labels, 8, 30, limit).collect()]
+        named = brute_components(range(200), links)
+        assert rest and all(named[a] != named[b] for a, b in rest)
+        links += rest
+    assert brute_components(range(200), links) == dict.fromkeys(range(200), 0)
 
 
 def test_a_repeated_line_does_not_make_copies(spark):
