@@ -248,3 +248,12 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     are returned as they come, an empty table gives no rows, other columns are not read.
     """
     return extract(table(spark, sf_dir, "pages"))
+
+
+#: The same for pages whose whole article is marked, without names or links in it, as those of the tables are.
+ORACLE = r"""
+SELECT page_id, url, text, length(text) AS n_chars FROM (SELECT page_id, url, trim(regexp_replace(
+  regexp_replace(replace(replace(replace(replace(replace(
+    regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '</?(p|h1|br)>', ' ', 'g'), '</?b>', '', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM pages)
+"""

@@ -29,6 +29,8 @@ from .common import prepare, row_hashes, stored, table, tidy
 
 #: Rows of a label that its text model is fitted on, about; of a label with fewer, all. All else covers all rows.
 SAMPLE = 1000
+#: Labels that a table may have: their models take 256 KB each on the driver and on executors. More are refused.
+LANGUAGES = 512
 #: Labels whose counts (512 KB each) a task holds before it hands them on.
 HELD = 64
 SLOTS = 1 << 16
@@ -56,13 +58,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities of trigram slots: all labels, each from about ``sample`` rows.
 
     Rows are picked by a hash of id and text, so that repeated or null ids are picked one by one. Counts are summed on the executors; the driver gets one row a label. A label none of whose rows has a trigram of
-    letters has no model. The model takes 256 KB a language.
+    letters has no model. The model takes 256 KB a language; a table with more than ``LANGUAGES`` labels is refused.
     """
     prepare(docs.sparkSession)
     labelled = docs.filter("declared IS NOT NULL AND text IS NOT NULL AND declared <> ''")
     share = F.least(F.lit(1.0), sample / F.count(F.lit(1))) * (1 << 30)
-    shares = F.broadcast(labelled.groupBy("declared").agg(share.cast("long").alias("below")))  # one row a label
-    picked = labelled.select("doc_id", "declared", "text").join(shares, "declared")
+    shares = stored(labelled.groupBy("declared").agg(share.cast("long").alias("below")), "labels")  # one row a label
+    if (n := shares.count()) > LANGUAGES:
+        raise ValueError(f"{n} languages are declared, more than {LANGUAGES}: are these languages?")
+    picked = labelled.select("doc_id", "declared", "text").join(F.broadcast(shares), "declared")
     picked = picked.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) <= F.col("below"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

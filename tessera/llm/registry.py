@@ -17,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op7_html": html.ORACLE,
     "op8_suffix_dedup": suffix.ORACLE,
     "op9_sharding": sharding.ORACLE,
     "op10_exact_dedup": dedup_exact.ORACLE,

@@ -237,6 +237,14 @@ def test_rare_and_many_languages_have_models(spark):
     assert not [(d, got[k]) for k, _, d, _, _ in rows if not got[k].kept or got[k].lang != d]
 
 
+def test_too_many_labels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    docs = spark.createDataFrame([(k, "some text", f"x{k}", None, None) for k in range(4)], "doc_id long, text string, declared string, suffix string, host string")
+    with pytest.raises(ValueError, match="4 languages are declared"):
+        language.identify(docs)
+    assert language.identify(docs.filter("doc_id > 0")).count() == 3
+
+
 def test_language_odd_rows(odd, odd_rows, none):
     got = language.identify(language.of_documents(odd)).collect()
     assert len(got) == len(odd_rows)
@@ -337,6 +345,10 @@ def test_html_query(spark, sf, rows_of):
         assert (got[i].url, got[i].text, got[i].n_chars) == (url, text, len(text))
 
 
+def test_html_query_in_sql(agree):
+    agree(html.op7_html, html.ORACLE)
+
+
 PAGE = """<!doctype html><html><head><title>No</title><style>p{}</style><script>if (a<b) "</p>"</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a><li><a href=y>More</a></ul></nav><div class="cookie-notice">We use cookies</div>
 <main><h1>A  title</h1><div class=ad>Buy</div><p>First &amp; <b>bold</b>&nbsp;text<br>goes on.<!-- no --><p>Second<script>x</script> one &lt;3
