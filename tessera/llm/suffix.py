@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from ..session import remove
 from .commits import Commits
-from .common import cleaned, drop, partitions, prepare, shared_dir, stored, table, tidy
+from .common import cleaned, drop, partitions, prepare, shared_dir, table, tidy
 
 LENGTH = 50
 ANCHOR = 25
@@ -623,13 +623,14 @@ class SuffixIndex:
 
     ``size`` is about the bytes of text that the index is to hold: it fixes the number of shards. Batches come in any
     number; what an earlier batch holds counts as held by a smaller doc_id. A batch is one commit (see ``commits``): of two
-    writers, the slower scans again what the other has brought. Without ``root`` the index ends with the session.
+    writers, the slower scans again what the other has brought. Levels that were merged stay until ``vacuum``. Without
+    ``root`` the index is one writer's, and ends with the session.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None, size: int = 1 << 30):
         self.spark = spark
-        self.root = (root or f"{shared_dir(spark)}/suffixes-{uuid.uuid4().hex}").rstrip("/")
-        if root is None:
+        self.root, self.private = (root or f"{shared_dir(spark)}/suffixes-{uuid.uuid4().hex}").rstrip("/"), root is None
+        if self.private:
             atexit.register(remove, spark, self.root)
         self.commits = Commits(spark, f"{self.root}/commits")
         n = max(8, -(-size // max(BLOCK, math.isqrt(SPARSE * size))))
@@ -666,22 +667,28 @@ class SuffixIndex:
 
     # -- batches --------------------------------------------------------------------------------------------------
 
-    def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Take a batch ``doc_id, text, ...``; gives its blocks (other columns in ``rest``) and what is known of each."""
+    def add(self, docs: DataFrame, batch: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """Take a batch ``doc_id, text, ...``; gives its blocks (other columns in ``rest``) and what is known of each.
+
+        A batch whose id is there already (delivered again, or after a crash) is not added; what was known of it is given.
+        """
         prepare(self.spark)
         made = f"{self.root}/{uuid.uuid4().hex}"
         others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
         rest = F.struct(*others) if others else F.lit(None).cast("string")
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest"))
-        kind = f"block BIGINT, doc_id BIGINT, text STRING, rest {rows.schema['rest'].dataType.simpleString()}"
-        lean = "block BIGINT, doc_id BIGINT, text STRING"
+        kind = f"block BIGINT, {rows.schema.toDDL()}"
         while True:
             number, at = self.commits.latest()
+            for entry in at["batches"]:
+                if batch is not None and entry["id"] == batch:
+                    return self._results(entry)
             size = max(BLOCK, math.isqrt(SPARSE * max(1, sum(x["size"] for x in at["levels"]))))
             base = at["next"]
-            numbered = rows.mapInArrow(_blocks(self.buckets, base, size), self.spark.createDataFrame([], kind).schema)
+            numbered = rows.mapInArrow(_blocks(self.buckets, base, size), kind)
             self._write(numbered, f"{made}/blocks", "block")
-            blocks = self._read(kind, "block", "batch", {number: f"{made}/blocks"}).drop("batch")
+            entry = {"number": number, "id": batch, "path": f"{made}/blocks", "known": f"{made}/known", "kind": kind}
+            blocks = self._texts([entry], kind)
             low = F.pmod(F.col("block").bitwiseAND(_M32) - base, F.lit(1 << 32))
             text, last = blocks.agg(F.sum(F.octet_length("text")), F.max(low)).first()
             merging, weight = [], text or 0
@@ -690,35 +697,56 @@ class SuffixIndex:
                     break
                 merging.append(level)
                 weight += level["size"]
-            levels = self._read("home BIGINT, block BIGINT, n INT, body BINARY", "home", "level", {x["number"]: x["path"] for x in at["levels"] if self._has(x["path"])})
-            named = blocks.select("block", "doc_id", "text").groupBy("block").applyInArrow(_tidied(_name(self.shards)), _NAMED)
-            scan = _tidied(_scan([x["number"] for x in merging]))
-            scanned = named.groupBy("shard").cogroup(levels.groupBy("home")).applyInArrow(scan, _SCANNED)
-            with cleaned(self.spark):
-                self._write(scanned, f"{made}/scan", "home", "kind")
-            level = {"number": number, "path": f"{made}/scan/kind=2", "size": weight}
+            self._scan_and_sort(blocks, at, [x["number"] for x in merging], made)
             new = {
                 "next": base + (-1 if last is None else last) + 1,
-                "batches": [*at["batches"], {"number": number, "path": f"{made}/blocks"}],
-                "levels": [*(x for x in at["levels"] if x not in merging), level],
+                "batches": [*at["batches"], entry],
+                "levels": [*(x for x in at["levels"] if x not in merging), {"number": number, "path": f"{made}/scan/kind=2", "size": weight}],
             }
             if self.commits.commit(number + 1, at | new):
                 break
             remove(self.spark, made)  # another batch came between
+        for k in (0, 1):
+            remove(self.spark, f"{made}/scan/kind={k}")
+        if self.private:
+            for x in merging:
+                remove(self.spark, x["path"])
+        return self._results(entry)
+
+    def _texts(self, batches: list[dict], kind: str = "block BIGINT, doc_id BIGINT, text STRING") -> DataFrame:
+        return self._read(kind, "block", "batch", {x["number"]: x["path"] for x in batches}).drop("batch")
+
+    def _scan_and_sort(self, blocks: DataFrame, at: dict, merging: list[int], made: str) -> None:
+        """Steps 2 and 3 as far as tables: the shards' answers with the new level, and what is known of the blocks."""
+        lean = blocks.select("block", "doc_id", "text")
+        levels = self._read("home BIGINT, block BIGINT, n INT, body BINARY", "home", "level", {x["number"]: x["path"] for x in at["levels"] if self._has(x["path"])})
+        named = lean.groupBy("block").applyInArrow(_tidied(_name(self.shards)), _NAMED)
+        scanned = named.groupBy("shard").cogroup(levels.groupBy("home")).applyInArrow(_tidied(_scan(merging)), _SCANNED)
+        with cleaned(self.spark):
+            self._write(scanned, f"{made}/scan", "home", "kind")
         told = self.spark.read.schema("home long, block long, n int, body binary, kind int").parquet(f"{made}/scan")
         of = lambda k: told.filter(F.col("kind") == k).select("block", "n", "body").groupBy("block")
-        sorted_out = blocks.select("block", "doc_id", "text").groupBy("block").cogroup(of(0)).applyInArrow(_tidied(_sort_out(self.shards)), _SORTED)
+        known = lean.groupBy("block").cogroup(of(0)).applyInArrow(_tidied(_sort_out(self.shards)), _SORTED)
         if at["batches"]:
-            former = self._read(lean, "block", "batch", {x["number"]: x["path"] for x in at["batches"]}).drop("batch")
-            sorted_out = sorted_out.union(former.groupBy("block").cogroup(of(1)).applyInArrow(_tidied(_fetch(self.shards)), _SORTED))
-        known = stored(sorted_out, "known", "kind")
-        for x in merging:
-            remove(self.spark, x["path"])
-        for k in (0, 1):
-            remove(self.spark, f"{made}/scan/kind={k}")
+            former = self._texts(at["batches"]).groupBy("block").cogroup(of(1))
+            known = known.union(former.applyInArrow(_tidied(_fetch(self.shards)), _SORTED))
+        with cleaned(self.spark):
+            known.write.option("compression", "zstd").partitionBy("kind").parquet(f"{made}/known")
+
+    def _results(self, entry: dict) -> tuple[DataFrame, DataFrame]:
+        known = self.spark.read.schema(f"{_SORTED.removeprefix('kind int, ')}, kind int").parquet(entry["known"])
         asked = known.filter("kind = 1").select("shard", "block", "q", "doc", "body")
         answers = asked.groupBy("shard").applyInArrow(_tidied(_compare), _ANSWER)
-        return blocks, known.filter("kind = 0").select("block", F.lit(None).cast("int").alias("n"), "body").union(answers)
+        own = known.filter("kind = 0").select("block", F.lit(None).cast("int").alias("n"), "body")
+        return self._texts([entry], entry["kind"]), own.union(answers)
+
+    def vacuum(self) -> None:
+        """Delete levels that later ones have taken in; for when no writer is at work."""
+        valid = {x["path"] for x in self.levels()}
+        for content in self.commits.all():
+            for x in content["levels"]:
+                if x["path"] not in valid:
+                    remove(self.spark, x["path"])
 
 
 def _search(docs: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:

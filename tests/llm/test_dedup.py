@@ -404,6 +404,9 @@ def test_suffix_odd_rows(odd, odd_rows, none):
     assert done.columns == odd.columns and done.count() == len(odd_rows)
     assert {r.lang for r in done.collect()} == {r[2] for r in odd_rows}
     assert not suffix.removals(none).collect() and not suffix.without_repeats(none).collect()
+    named = odd.select("doc_id", "text", F.lit(1).alias("a b"), F.array(F.struct(F.lit("x").alias("c.d"))).alias("e;f")).limit(5)
+    done = suffix.without_repeats(named)
+    assert done.columns == named.columns and done.dtypes == named.dtypes and done.count() == 5
 
 
 def test_suffix_one_anchor_with_many_surroundings(spark):
@@ -457,10 +460,24 @@ def test_index_over_batches(spark, tmp_path):
     assert [len(x) for x in sizes] == [1, 1, 2, 1, 2, 2]
     wanted = sorted(((i[0], i[2], *x) for i, *x in brute_suffix(rows)), key=str)
     assert sorted(got, key=str) == wanted and sum(x[3] for x in got) > 5000
+    index.vacuum()
     stored = [f for f in (tmp_path / "index").rglob("part-*") if "kind=2" in f.parts]
     assert {f.parent.parent.parent.name for f in stored} == {x["path"].split("/")[-3] for x in index.levels()}  # merged ones are gone
 
 
+def test_a_batch_is_added_once(spark, tmp_path):
+    passage = "a passage of more than fifty bytes that is delivered again and again"
+    docs = spark.createDataFrame([(1, passage, "x"), (2, "0" + passage, None)], "doc_id long, text string, more string")
+    index = suffix.SuffixIndex(spark, f"file://{tmp_path}/index")
+    for k in range(2):
+        blocks, known = index.add(docs, "monday")
+        schema = blocks.select("doc_id", "text", "rest").schema
+        done = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(suffix._tidied(suffix._finish(whole=True)), schema)
+        assert sorted((x.doc_id, x.text, x.rest.more) for x in done.collect()) == [(1, passage, "x"), (2, "0", None)]
+        index = suffix.SuffixIndex(spark, f"file://{tmp_path}/index")  # another session delivers the batch again
+        assert len(index.levels()) == 1
+
+
 def test_two_writers_of_a_suffix_index(spark, tmp_path, second_writer):
     make = lambda i, t: spark.createDataFrame([(i, t)], "doc_id long, text string")
     a, b = (suffix.SuffixIndex(spark, f"file://{tmp_path}/index") for _ in "12")
