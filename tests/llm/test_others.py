@@ -395,6 +395,19 @@ def test_html_without_an_article():
     assert html.second_pass([False, None, True], [False, True, False]) == [False, True, True]
 
 
+def test_html_pages_without_an_article_through_the_operator(spark, rows_of):
+    """The tables' pages of some length with the article tag taken away: nearly all text stays, and nothing around it."""
+    rows = rows_of("pages", ["page_id", "url", "html"])
+    bare = [(i, u, page.replace("<article>", "<div>").replace("</article>", "</div>")) for i, u, page in rows]
+    kind = "page_id long, url string, html string"
+    with_tag, without = ({r.page_id: r.text for r in html.extract(spark.createDataFrame(x, kind)).collect()} for x in (rows, bare))
+    kept = [len(without[i]) / len(with_tag[i]) for i in with_tag if len(with_tag[i]) >= 200]
+    assert len(kept) > 30 and np.mean(kept) > 0.99 and min(kept) > 0.9
+    for i, _, page in rows:
+        for advert in re.findall(r'<div class="ad">(.*?)</div>', page):
+            assert advert not in without[i]
+
+
 def test_html_teaser_articles_do_not_hide_the_body():
     long = "This is the text of the story and it was told by the man who had been there for all of the days. " * 3
     body = f"<div>{long}</div><div>It was short.</div><div>{long}</div>"
