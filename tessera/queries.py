@@ -55,7 +55,7 @@ def scan_bed(spark: SparkSession, d: str) -> DataFrame:
 def scan_bim(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(spark)}/names-{uuid.uuid4().hex}"
     rows = fixtures.names(spark, d).orderBy("idx")
-    rows.select(F.concat_ws(" ", F.lit("1"), "name", F.lit("0"), F.col("idx") * 10, F.lit("A"), F.lit("C")).alias("value")).coalesce(1).write.text(path)
+    rows.select(F.concat_ws(" ", F.lit("1"), "name", F.lit("0"), F.col("idx") * 10, F.lit("A"), F.lit("C")).alias("value")).write.text(path)
     return bed.read_bim(spark, path).select("idx", "name")
 
 
