@@ -53,6 +53,27 @@ def remove(spark: SparkSession, path: str) -> None:
 _written: list[str] = []
 
 
+def temporary(spark: SparkSession, path: str) -> str:
+    """Note a folder that is to go with the session, or before if ``clean`` or ``remove`` is called."""
+    if not _written:
+        atexit.register(clean, spark)
+    _written.append(path)
+    return path
+
+
+def written() -> list[str]:
+    """What is there of ``stored`` tables and other temporary folders."""
+    return list(_written)
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Remove temporary folders that nothing reads any more."""
+    for path in paths:
+        if path in _written:
+            _written.remove(path)
+            remove(spark, path)
+
+
 def clean(spark: SparkSession) -> None:
     """Remove all that ``stored`` has written, for long sessions; results that still read it must be written out before."""
     while _written:
@@ -80,9 +101,7 @@ def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with cleaned(spark):
         df.write.option("compression", "zstd").partitionBy(*parts).parquet(path)
-    if not _written:
-        atexit.register(clean, spark)
-    _written.append(path)
+    temporary(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
