@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import remove
+from ..session import remove, temporary
 from .commits import Commits, full_tier
 from .common import drop, partitions, shared_dir, stored, table, texts
 
@@ -48,7 +48,7 @@ class DigestIndex:
         self.spark, self.buckets, self.small = spark, buckets or partitions(spark), small
         self.root = (root or f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}").rstrip("/")
         if root is None:
-            atexit.register(remove, spark, self.root)
+            temporary(spark, self.root)
         self.commits = Commits(spark, f"{self.root}/commits")
         self._tables: dict[str, str] = {}
 

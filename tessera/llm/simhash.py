@@ -176,25 +176,22 @@ def _nearest(nodes: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[t
         yield np.array(u, "i8"), np.array(v, "i8")
 
 
-def _across(nodes: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs within ``distance`` whose last longs differ; these are not part of the fingerprint."""
-    label, prints = prints[:, -1], prints[:, :-1]
-    for k in range(len(nodes) - 1):
-        other = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
-        near = other[np.bitwise_count(prints[other] ^ prints[k]).sum(1, dtype=np.int64) <= distance]
-        if len(near):
-            yield np.full(len(near), nodes[k]), nodes[near]
-
-
 def _between(nodes: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs within ``distance`` of side 0 and side 1 (the last long) whose labels (the last but one) differ."""
+    """Of every two labels (the last long but one) of side 0 and side 1 (the last) the nearest pair within ``distance``."""
     label, side, prints = prints[:, -2], prints[:, -1], prints[:, :-2]
     others = np.flatnonzero(side == 1)
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for k in np.flatnonzero(side == 0):
         there = others[label[others] != label[k]]
-        near = there[np.bitwise_count(prints[there] ^ prints[k]).sum(1, dtype=np.int64) <= distance]
-        if len(near):
-            yield np.full(len(near), nodes[k]), nodes[near]
+        far = np.bitwise_count(prints[there] ^ prints[k]).sum(1, dtype=np.int64)
+        near = np.flatnonzero(far <= distance)
+        near = near[np.argsort(far[near], kind="stable")]
+        for j in near[np.unique(label[there[near]], return_index=True)[1]]:
+            pair = (int(label[k]), int(label[there[j]]))
+            best[pair] = min(best.get(pair, (distance + 1, 0, 0)), (int(far[j]), int(nodes[k]), int(nodes[there[j]])))
+    if best:
+        _, u, v = np.array(list(best.values()), "i8").T
+        yield u, v
 
 
 def _meet(rows: DataFrame, longs: int, distance: int, limit: int | None = BUCKET, forest: Callable = _forest) -> DataFrame:
@@ -272,8 +269,8 @@ def _parts(n: Column, limit: int) -> Column:
 
 
 def rest_links(large: DataFrame, labels: DataFrame, longs: int, distance: int, limit: int = BUCKET) -> DataFrame:
-    """``u, v``: all pairs within ``distance`` of classes of one large bucket whose labels (``node, part``; a class without
-    one is its own) differ.
+    """``u, v``: of every two labels (``node, part``; a class without one is its own) in one large bucket, pairs within
+    ``distance`` if there are any, the nearest of each cell.
 
     Most classes of a large bucket are near copies that have one label by now. Classes of another label, part by part, meet
     all classes of the bucket, part by part: the cost is the number of the former times that of all, not the square.
@@ -294,26 +291,6 @@ def rest_links(large: DataFrame, labels: DataFrame, longs: int, distance: int, l
     return _meet(sides[0].union(sides[1]), longs + 2, distance, None, _between).select("u", "v")
 
 
-def bucket_links(rows: DataFrame, longs: int, distance: int, limit: int = BUCKET, forest: Callable = _forest) -> DataFrame:
-    """``u, v``: links that connect the classes of each bucket of ``mask, key, node, w0 ...`` as all its pairs would.
-
-    A bucket above ``limit`` classes is dealt into parts, and every two parts meet in a cell of about ``limit`` classes:
-    each class goes to as many cells as there are other parts, which is what all by all costs. Keys have 32 bits at most.
-    """
-    names = [f"w{k}" for k in range(longs)]
-    met = stored(_meet(rows, longs, distance, limit, forest), "met")
-    out = met.filter("v IS NOT NULL").select("u", "v")
-    large = met.filter("v IS NULL").select("mask", "key", F.col("u").alias("node"), *names)
-    if large.isEmpty():
-        return out
-    sizes = large.groupBy("mask", "key").agg(F.ceil(F.count(F.lit(1)) / max(1, limit // 2)).cast("long").alias("parts"))
-    dealt = large.join(F.broadcast(sizes), ["mask", "key"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("part <> other")
-    cell = F.greatest("part", "other") * F.col("parts") + F.least("part", "other")
-    cells = dealt.select("mask", F.shiftleft(cell, 32).bitwiseOR(F.col("key")).alias("key"), "node", *names)
-    return out.union(_meet(cells, longs, distance, None, forest).select("u", "v"))
-
-
 def _keyed(rows: DataFrame) -> DataFrame:
     return rows.select("node", "w0", "mask").withColumn("key", F.col("w0").bitwiseAND(F.col("mask")))
 
@@ -368,6 +345,16 @@ def layout(n: int, similarity: float) -> tuple[int, int]:
     return math.ceil(math.log(1 - MEET) / math.log1p(-((1 - differing(similarity)) ** width)) - 0.05), width
 
 
+#: Ids (8 bytes each) that are sent to all tasks, so that the texts of all others need not be moved.
+PICKED = 1 << 21
+
+
+def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, text`` of rows whose id is among the distinct ``ids``: up to ``PICKED`` of them go to the texts, more meet them."""
+    ids = stored(ids, "ids")
+    return texts(docs).join(F.broadcast(ids) if ids.count() <= PICKED else ids.hint("merge"), "doc_id", "left_semi")
+
+
 def alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Rows of ``u, v`` (doc_ids) whose texts' shingle sets have the Jaccard similarity or more.
 
@@ -375,7 +362,7 @@ def alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> D
     """
     prepare(docs.sparkSession)
     wanted = pairs.select("u").union(pairs.select("v")).distinct()
-    own = stored(texts(docs).join(wanted, F.col("doc_id") == F.col("u"), "left_semi").distinct(), "texts")
+    own = stored(picked(docs, wanted.withColumnRenamed("u", "doc_id")).distinct(), "texts")
     sides = [own.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")).hint("merge") for c in ("u", "v")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,15 +406,75 @@ def _cut(at: int, width: int) -> Column:
     return bits.bitwiseAND((1 << width) - 1)
 
 
+#: Classes of a doubtful group that meet the others in one task.
+CELL = 256
+
+
+def within(classes: DataFrame, docs: DataFrame, words: int, similarity: float, distance: int, check: int, cell: int = CELL) -> DataFrame:
+    """``u, v``: links that connect the classes ``group, part, node, w0 ...`` of each group as all their pairs would that
+    are within ``distance`` and whose texts have the similarity.
+
+    Texts come to the task that compares them, so that no pair becomes a row. ``part`` tells which classes are joined
+    already: those of other parts than the group's largest meet all of the group, ``cell`` by ``cell`` classes.
+    """
+    prepare(docs.sparkSession)
+    names = [f"w{k}" for k in range(check)]
+    classes = stored(classes.select("group", "part", "node", *names), "doubtful")
+    own = picked(docs, classes.select(F.col("node").alias("doc_id")).distinct())
+    own = stored(own.select(F.col("doc_id").alias("node"), "text").distinct(), "texts")
+    counts = classes.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("group").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n"))
+    most = most.select("group", F.col("top.part").alias("top"), F.ceil(F.col("n") / cell).cast("long").alias("all"), F.ceil((F.col("n") - F.col("top.n")) / cell).cast("long").alias("few"))
+    dealt, sides = classes.join(most.hint("merge"), "group"), []
+    fewer = F.col("part") != F.col("top")  # in a group of one cell these come once, for both sides
+    for side, here, there, some in ((0, "few", "all", fewer), (1, "all", "few", ~fewer | (F.col("all") > 1))):
+        met = dealt.filter(some).withColumn("at", F.pmod(F.xxhash64("node", F.lit(side)), F.col(here)))
+        met = met.withColumn("of", F.explode(F.sequence(F.lit(0).cast("long"), F.col(there) - 1)))
+        x, y = ("at", "of") if side == 0 else ("of", "at")
+        sides.append(met.select("group", F.col(x).alias("x"), F.col(y).alias("y"), (F.lit(side) if side else F.when(F.col("all") == 1, 2).otherwise(0)).alias("side"), "part", "node", *names))
+    cells = sides[0].union(sides[1])
+    cells = cells.join(own.hint("merge"), "node")
+
+    def run(rows: pa.Table) -> pa.Table:
+        node, part = (rows.column(c).to_numpy() for c in ("node", "part"))
+        prints = np.stack([rows.column(w).to_numpy() for w in names], axis=1).view(np.uint64)
+        sets = [np.unique(shingle_hashes(t, words)) for t in rows.column("text").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        ends = np.cumsum(sizes)
+        owner, label = np.repeat(np.arange(len(sets)), sizes), np.unique(part, return_inverse=True)[1]
+        mark = np.zeros(int(ids.max(initial=0)) + 1, bool)
+        side = rows.column("side").to_numpy()
+        u, v = [], []
+        for k in np.flatnonzero(side != 1):
+            near = (side != 0) & (label != label[k])
+            near[near] = np.bitwise_count(prints[near] ^ prints[k]).sum(1, dtype=np.int64) <= distance
+            if not near.any():
+                continue
+            mine = ids[ends[k] - sizes[k] : ends[k]]
+            mark[mine] = True
+            both = np.bincount(owner, mark[ids], len(sets))
+            mark[mine] = False
+            for j in np.flatnonzero(near & (both > 0) & (both >= similarity * (sizes[k] + sizes - both))):
+                if label[j] != label[k]:
+                    label[label == label[j]] = label[k]
+                    u.append(node[k])
+                    v.append(node[j])
+        tidy()
+        return pa.Table.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return cells.groupBy("group", "x", "y").applyInArrow(run, "u long, v long")
+
+
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int = 0, width: int = 0, check: int = 8, limit: int = BUCKET, keep: list[str] | None = None) -> DataFrame:
     """``doc_id, component_id`` by likeness (and BIGINT columns ``keep``), for each row of ``doc_id, text``.
 
     Fingerprints of ``blocks * width`` bits (as ``layout`` has them for the rows' number if not given), of distinct
     shingles, are compared in the first ``64 * check``. Pairs up to
     ``DEVIATIONS`` above the mean distance of the similarity are candidates; only those whose shingle sets have the
-    similarity link. First the least spanning forests of the buckets are judged, as far as their classes are not joined
-    by then. Where one of their links fails, another pair may do: all candidates between parts that such a link was to
-    join are judged as well.
+    similarity link. Of the least spanning forests of the buckets first one pair a class is judged. The parts that are
+    left, as far as other links of the forests lead from one to another, are groups whose texts meet: there all candidates
+    are judged, and only links are returned (``within``).
 
     Texts without words do not link here: they share no shingle. Classes of a bucket above ``limit`` are first compared
     within parts, and what stays apart with all of the bucket (``part_links``, ``rest_links``).
@@ -454,24 +501,19 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks
     rows = classes.filter(worded & F.col("node").isNotNull())
     links, large = part_links(in_blocks(rows), check, distance, limit, _nearest)
     tried = stored(ordered(links), "tried")
-    # first one pair a class; of the others only those that are not joined by then
+    # first one pair a class; what other pairs would join is judged where the texts of their groups meet
     first = stored(tried.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "first")
     parts = joined(tried.select(F.col("u").alias("node")).union(tried.select("v")).distinct().withColumn("part", F.col("node")), alike(first, docs, words, similarity))
-    rest = stored(crossing(tried.join(first, ["u", "v"], "left_anti"), parts), "rest")
-    parts = joined(parts, alike(rest.select("u", "v"), docs, words, similarity))
     if large is not None:
-        more = stored(ordered(rest_links(large, parts, check, distance, limit)).join(tried, ["u", "v"], "left_anti"), "more")
-        alone = more.select(F.col("u").alias("node")).union(more.select("v")).distinct().join(parts, "node", "left_anti")
-        parts = parts.union(alone.withColumn("part", F.col("node")))
-        parts = joined(parts, alike(more, docs, words, similarity))
-        tried = tried.union(more)
+        far = stored(ordered(rest_links(large, parts, check, distance, limit)), "far")
+        alone = far.select(F.col("u").alias("node")).union(far.select("v")).distinct().join(parts, "node", "left_anti")
+        parts = stored(parts.union(alone.withColumn("part", F.col("node"))), "parts")
+        tried = tried.union(far)
     failed = stored(crossing(tried, parts), "failed")
     if not failed.isEmpty():
-        doubt = failed.select(F.col("pu").alias("part")).union(failed.select("pv")).distinct()
-        some = parts.join(doubt, "part", "left_semi").withColumnRenamed("part", label := f"w{check}x")
-        split = in_blocks(rows.join(some, "node"), label).withColumnRenamed(label, f"w{check}")
-        more = ordered(bucket_links(split, check + 1, distance, limit, _across)).join(tried, ["u", "v"], "left_anti")
-        parts = joined(parts, alike(stored(more, "more"), docs, words, similarity))
+        doubt = components(failed.select(F.col("pu").alias("u"), F.col("pv").alias("v"))).select(F.col("node").alias("part"), F.col("component_id").alias("group"))
+        some = parts.join(doubt.hint("merge"), "part").join(rows.select("node", *carried).hint("merge"), "node")
+        parts = joined(parts, within(some, docs, words, similarity, distance, check))
     found = parts.withColumnRenamed("part", "component_id")
     named = stored(classes.join(found, "node", "left").select(*names, F.coalesce("component_id", "node").alias("component_id")), "named")
     on = [prints[n] == named[n] for n in names]

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import remove
+from ..session import remove, temporary
 from .commits import Commits
 from .common import cleaned, drop, partitions, prepare, shared_dir, table, tidy
 
@@ -631,7 +631,7 @@ class SuffixIndex:
         self.spark = spark
         self.root, self.private = (root or f"{shared_dir(spark)}/suffixes-{uuid.uuid4().hex}").rstrip("/"), root is None
         if self.private:
-            atexit.register(remove, spark, self.root)
+            temporary(spark, self.root)
         self.commits = Commits(spark, f"{self.root}/commits")
         n = max(8, -(-size // max(BLOCK, math.isqrt(SPARSE * size))))
         if not self.commits.numbers():

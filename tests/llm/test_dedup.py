@@ -247,6 +247,28 @@ def test_near_copies_in_large_buckets(spark):
     assert {x.component_id for x in simhash.near_groups(docs, limit=16).collect()} == {0}
 
 
+@pytest.mark.parametrize("cell", [3, 256])
+def test_doubtful_groups_lose_no_link(spark, cell):
+    """Versions around the likeness: links connect what all pairs would, and are as few as a forest has."""
+    r = random.Random(cell)
+    rows, base = [], [f"w{r.random()}" for _ in range(120)]
+    for k in range(40):
+        t = list(base)
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(110)
+            t[at : at + 2] = [f"w{r.random()}" for _ in range(2)]
+        rows.append((k, " ".join(t)))
+    classes = spark.createDataFrame([(0, k if k % 5 else 0, k, 0) for k in range(40)], "group long, part long, node long, w0 long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links = [(x.u, x.v) for x in simhash.within(classes, docs, 5, 0.8, 64, 1, cell).collect()]
+    sets = {k: shingled(t) for k, t in rows}
+    alike = [(a, b) for a, b in combinations(range(40), 2) if jaccard(sets[a], sets[b]) >= 0.8]
+    same = [(0, k) for k in range(0, 40, 5)]
+    assert 0 < len(alike) < 600 and set(map(tuple, map(sorted, links))) <= set(alike)
+    assert brute_components(range(40), links + same) == brute_components(range(40), alike + same)
+    assert cell == 3 or len(links) < 40
+
+
 def test_large_buckets_lose_no_link(spark, monkeypatch):
     """Parts of two classes and batches of one row: components of sets that have the likeness are those of all pairs."""
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -278,8 +300,6 @@ def test_a_chain_longer_than_a_bucket_is_one_group(spark, limit):
     r.shuffle(rows)
     names = [f"w{k}" for k in range(8)]
     docs = spark.createDataFrame([tuple(map(int, x)) for x in rows], ", ".join(f"{c} long" for c in ("mask", "key", "node", *names)))
-    links = [(x.u, x.v) for x in simhash.bucket_links(docs, 8, 30, limit).collect()]
-    assert brute_components(range(200), links) == dict.fromkeys(range(200), 0)
     within, large = simhash.part_links(docs, 8, 30, limit)
     assert (large is None) == (limit == 4096)
     links = [(x.u, x.v) for x in within.collect()]
