@@ -2,33 +2,60 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import dedup_exact, encoding, language, packing, simhash, suffix
 from tessera.llm.common import stored, table
+from tessera.session import forget, written
+
+#: Temporary folders of the stage before: its rows are written by the time the next one begins.
+_left: list[str] = []
+
+
+def stage(function: Callable) -> Callable:
+    """A stage that first removes what the one before has left in the shared folder."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget(spark, _left)
+        _left.clear()
+        before = set(written())
+        out = function(spark, docs, sf_dir)
+        _left.extend(p for p in written() if p not in before)
+        return out
+
+    return run
 
 
+@stage
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told stay."""
     return language.accepted(docs)
 
 
+@stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id stays."""
     return dedup_exact.keep_first(docs)
 
 
+@stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 and more), the smallest doc_id stays."""
     return simhash.one_of_each(docs)
 
 
+@stage
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that a document with a smaller doc_id has are dropped from the texts; every document stays."""
     return suffix.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
     return packing.pack(packing.pieces(docs, encoding.vocabulary()))
@@ -54,8 +81,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     suffix-array dedup leaves.
     """
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, function) in enumerate(STAGES):
+        docs = function(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, "stage")
     return docs
