@@ -16,14 +16,16 @@ from ..session import stored
 def exact(bits: DataFrame, n: int, names: DataFrame | None = None, cutoff: float = 0.0) -> DataFrame:
     """All pairs by exact Jaccard similarity: ``locus1, locus2, jaccard``, or ``name1, name2, jaccard``."""
     check_individuals(n)
-    found = pairs.all_exact(stored(bits, "bits"), n, cutoff)
-    return pairs.listed(found) if names is None else pairs.named(found, names)
+    if names is not None:
+        return pairs.named_exact(stored(pairs.with_names(bits, names), "bits"), n, cutoff)
+    return pairs.listed(pairs.all_exact(stored(bits, "bits"), n, cutoff))
 
 
 def hashed(bits: DataFrame, p: Sketching, cutoff: float = 0.0, names: DataFrame | None = None) -> DataFrame:
     """All pairs by equal sketches. Sketches are made once and read again from a table."""
-    found = pairs.all_hash(stored(sketches(bits, p), "sketches"), p, cutoff)
-    return pairs.listed(found, p.k) if names is None else pairs.named(found, names, p.k)
+    if names is not None:
+        return pairs.named_hash(stored(pairs.with_names(sketches(bits, p), names), "sketches"), p, cutoff)
+    return pairs.listed(pairs.all_hash(stored(sketches(bits, p), "sketches"), p, cutoff), p.k)
 
 
 def grouped(sketched: DataFrame, p: Sketching, rows: int) -> DataFrame:

@@ -147,6 +147,44 @@ def test_grid_does_not_depend_on_blocks(spark, geno):
     assert got[0] == got[1] and got[0]
 
 
+def test_names_travel_with_loci(spark, geno):
+    """Named pairs are those of the unnamed queries, for any blocks, and a large grid has more tasks."""
+    bits = binarize.binarize(geno)
+    p = Sketching(N, 10)
+    sk = sketch.sketches(bits, p)
+    names = spark.createDataFrame([(k, f"ä{k}" if k % 3 else None) for k in range(1, 40)] + [(5, "twice"), (10**9, "nobody")], "idx int, name string")
+    called = {}
+    for k, name in names.filter("idx < 100").collect():
+        called.setdefault(k, []).append(name or str(k + 1))
+    of = lambda k: called.get(k, [str(k + 1)])
+    want = lambda rows: sorted((a, b, s) for x, y, s in rows for a in of(x - 1) for b in of(y - 1))
+    for found, plain, block in (
+        (lambda b: pairs.named_exact(pairs.with_names(bits, names), N, 0.3, b), ld.exact(bits, N, cutoff=0.3), 7),
+        (lambda b: pairs.named_exact(pairs.with_names(bits, names), N, 0.3, b), ld.exact(bits, N, cutoff=0.3), 1),
+        (lambda b: pairs.named_hash(pairs.with_names(sk, names), p, 0.3, b), ld.hashed(bits, p, 0.3), 1000),
+    ):
+        assert sorted(map(tuple, found(block).collect())) == want(plain.collect())
+    blocks = bits.count()
+    assert pairs.named_exact(pairs.with_names(bits, names.filter("idx < 0")), N, block=1).rdd.getNumPartitions() == max(8, blocks * (blocks + 1) // 2 // pairs.PER_TASK) > 8
+
+
+def test_named_pairs_are_not_shuffled(spark, geno):
+    """Only loci are dealt out; their pairs meet no join and no exchange."""
+    bits, names = binarize.binarize(geno), spark.createDataFrame([(1, "a")], "idx long, name string")
+    for df in (ld.exact(bits, N, names), ld.hashed(bits, Sketching(N, 10), names=names)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.index("MapInArrow") < plan.index("Exchange") and plan.count("Exchange") == 1
+
+
+def test_similarities_are_printed_alike(spark):
+    """Of 255 individuals each pair's similarity is its count of common bits, so that all values are printed."""
+    bits = spark.createDataFrame([(0, list(range(255))), *((k + 1, list(range(k))) for k in range(256))], "locus long, inds array<int>")
+    names = spark.createDataFrame([(0, "whole")], "idx long, name string")
+    got = {x.name1: x.jaccard for x in ld.exact(bits, 255, names).filter("name2 = 'whole'").collect()}
+    plain = {str(x.locus1): x.jaccard for x in ld.exact(bits, 255).filter("locus2 = 1").collect()}
+    assert got == plain and len(set(got.values())) == 256
+
+
 def test_groups_are_unions_of_buckets_with_one_first_locus(spark):
     rows = [(x, b, k) for (b, k), xs in {(0, "a"): [1, 2], (1, "a"): [1, 3], (0, "b"): [3, 4], (1, "z"): [9]}.items() for x in xs]
     keyed = spark.createDataFrame(rows, "locus long, band int, key string")
