@@ -540,6 +540,26 @@ def test_blocks_are_written_where_they_are_read(spark):
     assert "Exchange" not in plan and blocks.count() == 100
 
 
+def test_batches_make_few_files(spark, tmp_path):
+    """A batch of many small parts is written by few tasks, one file each and kind, and nothing of it is lost."""
+    r = random.Random(41)
+    passage = words(r, 30)
+    rows = [[(100 * k + i, f"{words(r, 8)} {passage} {words(r, 8)}") for i in range(40)] for k in range(2)]
+    index, got = suffix.SuffixIndex(spark, f"file://{tmp_path}/index", size=100 << 20), []
+    for batch in rows:
+        blocks, known = index.add(spark.createDataFrame(batch, "doc_id long, text string").repartition(13))
+        done = blocks.select("block", "doc_id", "text").groupBy("block").cogroup(known.groupBy("block"))
+        kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        got += done.applyInArrow(suffix._tidied(suffix._finish(whole=False)), kind).collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute_suffix(rows[0] + rows[1])
+    n = max(8 // suffix.BATCHES, 4)
+    assert index.buckets == n
+    files = {}
+    for f in (tmp_path / "index").rglob("part-*"):
+        files[f.parent] = files.get(f.parent, 0) + 1
+    assert len(files) >= 5 and all(v <= n * (1 + (d.parent.name == "known")) for d, v in files.items())
+
+
 @pytest.mark.parametrize("collide", [False, True])
 def test_windows_are_compared_as_bytes(monkeypatch, collide):
     r = random.Random(collide)
