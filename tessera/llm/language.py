@@ -16,6 +16,7 @@ of web pages, the language that the markup declares, and the host and suffix of
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html
-from .common import prepare, row_hashes, stored, table, tidy
+from .common import partitions, prepare, row_hashes, stored, table, tidy
 
 #: Rows of a label that its text model is fitted on, about; of a label with fewer, all. All else covers all rows.
 SAMPLE = 1000
@@ -36,6 +37,9 @@ HELD = 64
 SLOTS = 1 << 16
 WEIGHT = 64
 LEAST = 0.5
+#: Bytes of a row of scores without its two lists, and of a text, about: they set the number of files of scores.
+ROW = 64
+TEXT = 2048
 #: Pseudo-documents that a level of the host hierarchy takes from the level above.
 SMOOTH = 20.0
 
@@ -146,10 +150,13 @@ def identify(docs: DataFrame, *keep: str) -> DataFrame:
     if not langs:
         return docs.select("doc_id", *keep, F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
     n = len(langs)
-    scored = stored(scores(docs, langs, model, *keep), "scores")
+    # scores are small beside their texts: as many files as their share of the bytes, not one for each task that reads texts
+    files = math.ceil(partitions(docs.sparkSession) * min(1.0, (2 * 8 * n + ROW) / TEXT))
+    scored = stored(scores(docs, langs, model, *keep).repartition(files), "scores")
     sums = F.array(*[F.coalesce(F.sum(F.col("post")[k]), F.lit(0.0)) for k in range(n)])
     # bounded: one row in all, and one for each language that may be declared
-    whole = np.array(scored.agg(sums.alias("p")).first().p)
+    total = scored.agg(sums.alias("p"), F.count("suffix").alias("suffixes")).first()
+    whole = np.array(total.p)
     base = (whole + 1.0) / (whole.sum() + n)
     place = {x: k for k, x in enumerate(langs)}
     said = np.zeros((n, n))
@@ -157,12 +164,15 @@ def identify(docs: DataFrame, *keep: str) -> DataFrame:
         if r.declared in place:
             said[place[r.declared]] = r.p
     heard = np.vstack([np.log((said + 0.5) / (said.sum(0) + 0.5 * n)), np.zeros(n)])  # the last row: nothing said
-    suffixes = scored.filter("suffix IS NOT NULL").groupBy(F.col("suffix").alias("s_suffix")).agg(sums.alias("s"))
     hosts = scored.filter("host IS NOT NULL").groupBy(F.col("host").alias("h_host"), F.col("suffix").alias("h_suffix")).agg(sums.alias("h"))
-    suffixes, hosts = stored(suffixes, "suffixes"), stored(hosts, "hosts")
-    # a host or suffix with very many rows: both sides are dealt by exchanges that AQE may split
-    found = scored.join(hosts.hint("merge"), (scored["host"] == hosts["h_host"]) & scored["suffix"].eqNullSafe(hosts["h_suffix"]), "left")
-    found = found.join(suffixes.hint("merge"), found["suffix"] == suffixes["s_suffix"], "left")
+    hosts = stored(hosts, "hosts")
+    # few hosts are broadcast; of many, both sides are dealt by exchanges that AQE may split, for a host or suffix with very many rows
+    found = scored.join(hosts, (scored["host"] == hosts["h_host"]) & scored["suffix"].eqNullSafe(hosts["h_suffix"]), "left")
+    if total.suffixes:
+        suffixes = stored(scored.filter("suffix IS NOT NULL").groupBy(F.col("suffix").alias("s_suffix")).agg(sums.alias("s")), "suffixes")
+        found = found.join(suffixes, found["suffix"] == suffixes["s_suffix"], "left")
+    else:
+        found = found.withColumn("s", F.lit(None).cast("array<double>"))
 
     def smoothed(lists: pa.ListArray, above: np.ndarray) -> np.ndarray:
         """Priors of rows with sums; of those without, what lies above."""

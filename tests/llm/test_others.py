@@ -18,6 +18,7 @@ from texts import words
 
 from tessera.llm import encoding, html, language, packing, sharding, sketch
 from tessera.llm.common import stored
+from tessera.session import written
 
 PATH = encoding.vocabulary()
 
@@ -326,6 +327,31 @@ def test_language_of_pages_is_brute_force(spark, sf):
     _same_languages(language.identify(stored(rows, "pages")).collect(), wanted)
 
 
+def test_scores_are_few_files(spark, sf):
+    """Forty tasks read the texts; their scores, a small share of the bytes, are one file."""
+    before = set(written())
+    language.identify(language.of_documents(spark.read.parquet(f"{sf}/documents.parquet").repartition(40)))
+    names = {path.rsplit("/", 1)[1].split("-")[0]: path for path in written() if path not in before}
+    assert len(spark.read.parquet(names["scores"]).inputFiles()) == 1
+    assert "suffixes" not in names  # documents have none
+
+
+def test_few_hosts_are_broadcast_and_many_are_merged(spark, sf):
+    rows = stored(language.of_pages(spark.read.parquet(f"{sf}/pages.parquet")), "pages")
+    few = language.identify(rows)
+    assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        many = language.identify(rows)
+        assert many._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 2
+        merged = {r.doc_id: (r.lang, r.confidence, r.kept) for r in many.collect()}
+    finally:
+        spark.conf.set(key, before)
+    _same_languages(few.collect(), merged)
+
+
 def _same_languages(got, wanted):
     assert len(got) == len(wanted)
     for r in got:
