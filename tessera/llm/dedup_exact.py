@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import remove, temporary
+from ..session import remove, temporary, writer
 from .commits import Commits, full_tier
 from .common import drop, partitions, shared_dir, stored, table, texts
 
@@ -73,14 +73,14 @@ class DigestIndex:
     def _bucketed(self, rows: DataFrame, buckets: int) -> dict:
         """Write ``digest, keep_id``: dealt by digest first, so that each bucket is one file."""
         path, table = f"{self.root}/levels/{uuid.uuid4().hex}", f"digest_batch_{uuid.uuid4().hex}"
-        rows.repartition(buckets, "digest").write.option("path", path).option("compression", "zstd").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(table)
+        writer(rows.repartition(buckets, "digest")).option("path", path).bucketBy(buckets, "digest").sortBy("digest").saveAsTable(table)
         self.spark.sql(f"DROP TABLE {table}")  # the files stay
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return {"new": path, "buckets": buckets, "bytes": where.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()}
 
     def _counted(self, counts: DataFrame) -> str:
         path = f"{self.root}/counts/{uuid.uuid4().hex}"
-        counts.write.option("compression", "zstd").parquet(path)
+        writer(counts).parquet(path)
         return path
 
     def add(self, digested: DataFrame) -> None:

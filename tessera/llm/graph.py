@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import files_for, stored
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -20,20 +20,21 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return out.filter("u > v").distinct()
 
 
-def components(pairs: DataFrame) -> DataFrame:
+def components(pairs: DataFrame, files: int | None = None) -> DataFrame:
     """``node, component_id`` (the smallest node reachable) of nodes in ``pairs`` ``u, v`` (longs, any direction).
 
     Self-links and repeated pairs do not matter; an empty table gives none. Each round is written to the shared folder;
-    the driver sees one number a round. Rounds end when a round changes nothing, in about the logarithm of the longest path.
+    the driver sees two numbers a round. Rounds end when a round changes nothing, in about the logarithm of the longest
+    path. The first round has ``files`` at most, later ones as many as the pairs of the one before ask for.
     """
     pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
-    pairs = stored(pairs, "links")
+    pairs = stored(pairs, "links", files=files)
     mark = None
     while True:
-        pairs = stored(_star(_star(pairs, large=True), large=False), "links")
+        pairs = stored(_star(_star(pairs, large=True), large=False), "links", files=files)
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             break
-        mark = now
+        mark, files = now, files_for(pairs.sparkSession, now[0])
     flat = pairs.select(F.col("u").alias("node"), F.col("v").alias("component_id"))
     return flat.union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct())

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import partitions, prepare, stored, table, texts, tidy
+from .common import files_for, partitions, prepare, stored, table, texts, tidy
 from .encoding import vocabulary
 
 CAPACITY = 2048
@@ -129,7 +129,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, salts: int | None = None) ->
     cut = stored(cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts))), "pieces")
     parts = cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
-    parts = stored(parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-counts")
+    parts = stored(parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-counts", files=files_for(spark, cut.count()))
     # at most `capacity` rows
     counts = {r.length: r.n for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows, _ = plan(counts, capacity)

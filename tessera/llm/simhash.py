@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, row_hashes, stored, table, texts, tidy
+from .common import files_for, partitions, prepare, row_hashes, stored, table, texts, tidy
 from .graph import components
 
 SEED = 42
@@ -247,13 +247,13 @@ def _meet(rows: DataFrame, longs: int, distance: int, limit: int | None = BUCKET
     return rows.mapInArrow(run, schema)
 
 
-def part_links(rows: DataFrame, longs: int, distance: int, limit: int = BUCKET, forest: Callable = _forest) -> tuple[DataFrame, DataFrame | None]:
+def part_links(rows: DataFrame, longs: int, distance: int, limit: int = BUCKET, forest: Callable = _forest, files: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """``u, v``: links that connect the classes of each bucket of ``mask, key, node, w0 ...`` as its pairs would, and the
     rows of buckets above ``limit`` classes, if there are any. Such a bucket is dealt into parts, by another hash in each
     block; classes of one part are linked. What these links leave apart is for ``rest_links``. Keys have 32 bits at most.
     """
     names = [f"w{k}" for k in range(longs)]
-    met = stored(_meet(rows, longs, distance, limit, forest), "met")
+    met = stored(_meet(rows, longs, distance, limit, forest), "met", files=files, dealt=True)
     out = met.filter("v IS NOT NULL").select("u", "v")
     large = met.filter("v IS NULL").select("mask", "key", F.col("u").alias("node"), *names)
     if large.isEmpty():
@@ -349,20 +349,20 @@ def layout(n: int, similarity: float) -> tuple[int, int]:
 PICKED = 1 << 21
 
 
-def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def picked(docs: DataFrame, ids: DataFrame, files: int | None = None) -> DataFrame:
     """``doc_id, text`` of rows whose id is among the distinct ``ids``: up to ``PICKED`` of them go to the texts, more meet them."""
-    ids = stored(ids, "ids")
+    ids = stored(ids, "ids", files=files)
     return texts(docs).join(F.broadcast(ids) if ids.count() <= PICKED else ids.hint("merge"), "doc_id", "left_semi")
 
 
-def alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+def alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, files: int | None = None) -> DataFrame:
     """Rows of ``u, v`` (doc_ids) whose texts' shingle sets have the Jaccard similarity or more.
 
     Where an id has several texts, it is enough that two of them do.
     """
     prepare(docs.sparkSession)
     wanted = pairs.select("u").union(pairs.select("v")).distinct()
-    own = stored(picked(docs, wanted.withColumnRenamed("u", "doc_id")).distinct(), "texts")
+    own = stored(picked(docs, wanted.withColumnRenamed("u", "doc_id"), files).distinct(), "texts")
     sides = [own.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")).hint("merge") for c in ("u", "v")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,13 +388,13 @@ def crossing(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.join(sides[0], "u").join(sides[1], "v").filter("pu <> pv").select("u", "v", "pu", "pv")
 
 
-def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+def joined(parts: DataFrame, links: DataFrame, files: int | None = None) -> DataFrame:
     """``node, part`` with those parts made one that links ``u, v`` join: each has the smallest node of what it is made of."""
-    pairs = stored(crossing(links, parts).select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct(), "joins")
+    pairs = stored(crossing(links, parts).select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct(), "joins", files=files)
     if pairs.isEmpty():
-        return stored(parts, "parts")
-    found = components(pairs).select(F.col("node").alias("part"), "component_id").hint("merge")
-    return stored(parts.join(found, "part", "left").select("node", F.coalesce("component_id", "part").alias("part")), "parts")
+        return stored(parts, "parts", files=files)
+    found = components(pairs, files).select(F.col("node").alias("part"), "component_id").hint("merge")
+    return stored(parts.join(found, "part", "left").select("node", F.coalesce("component_id", "part").alias("part")), "parts", files=files)
 
 
 def _cut(at: int, width: int) -> Column:
@@ -410,7 +410,7 @@ def _cut(at: int, width: int) -> Column:
 CELL = 256
 
 
-def within(classes: DataFrame, docs: DataFrame, words: int, similarity: float, distance: int, check: int, cell: int = CELL) -> DataFrame:
+def within(classes: DataFrame, docs: DataFrame, words: int, similarity: float, distance: int, check: int, cell: int = CELL, files: int | None = None) -> DataFrame:
     """``u, v``: links that connect the classes ``group, part, node, w0 ...`` of each group as all their pairs would that
     are within ``distance`` and whose texts have the similarity.
 
@@ -419,8 +419,8 @@ def within(classes: DataFrame, docs: DataFrame, words: int, similarity: float, d
     """
     prepare(docs.sparkSession)
     names = [f"w{k}" for k in range(check)]
-    classes = stored(classes.select("group", "part", "node", *names), "doubtful")
-    own = picked(docs, classes.select(F.col("node").alias("doc_id")).distinct())
+    classes = stored(classes.select("group", "part", "node", *names), "doubtful", files=files)
+    own = picked(docs, classes.select(F.col("node").alias("doc_id")).distinct(), files)
     own = stored(own.select(F.col("doc_id").alias("node"), "text").distinct(), "texts")
     counts = classes.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n"))
     most = counts.groupBy("group").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n"))
@@ -480,12 +480,14 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks
     within parts, and what stays apart with all of the bucket (``part_links``, ``rest_links``).
     """
     keep = keep or []
+    n = docs.count()
+    files = files_for(docs.sparkSession, n)  # of the tables below, but for texts: none has more than a few short rows a document
     if not blocks:
-        blocks, width = layout(docs.count(), similarity)
+        blocks, width = layout(n, similarity)
     longs = max(check, -(-blocks * width // 64))
     names, carried = [f"w{k}" for k in range(longs + 1)], [f"w{k}" for k in range(check)]
-    prints = stored(fingerprints(docs, words, longs, *keep, distinct=True), "wide")
-    classes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("node")), "classes")
+    prints = stored(fingerprints(docs, words, longs, *keep, distinct=True), "wide", files=files, dealt=True)
+    classes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("node")), "classes", files=files)
     key = [_cut(b * width, width) for b in range(blocks)]
     worded = reduce(Column.__or__, (F.col(n) != 0 for n in names[:-1]))
     share = differing(similarity)
@@ -499,23 +501,23 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks
         return links.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
     rows = classes.filter(worded & F.col("node").isNotNull())
-    links, large = part_links(in_blocks(rows), check, distance, limit, _nearest)
-    tried = stored(ordered(links), "tried")
+    links, large = part_links(in_blocks(rows), check, distance, limit, _nearest, files)
+    tried = stored(ordered(links), "tried", files=files)
     # first one pair a class; what other pairs would join is judged where the texts of their groups meet
-    first = stored(tried.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "first")
-    parts = joined(tried.select(F.col("u").alias("node")).union(tried.select("v")).distinct().withColumn("part", F.col("node")), alike(first, docs, words, similarity))
+    first = stored(tried.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "first", files=files)
+    parts = joined(tried.select(F.col("u").alias("node")).union(tried.select("v")).distinct().withColumn("part", F.col("node")), alike(first, docs, words, similarity, files), files)
     if large is not None:
-        far = stored(ordered(rest_links(large, parts, check, distance, limit)), "far")
+        far = stored(ordered(rest_links(large, parts, check, distance, limit)), "far", files=files)
         alone = far.select(F.col("u").alias("node")).union(far.select("v")).distinct().join(parts, "node", "left_anti")
-        parts = stored(parts.union(alone.withColumn("part", F.col("node"))), "parts")
+        parts = stored(parts.union(alone.withColumn("part", F.col("node"))), "parts", files=files)
         tried = tried.union(far)
-    failed = stored(crossing(tried, parts), "failed")
+    failed = stored(crossing(tried, parts), "failed", files=files)
     if not failed.isEmpty():
-        doubt = components(failed.select(F.col("pu").alias("u"), F.col("pv").alias("v"))).select(F.col("node").alias("part"), F.col("component_id").alias("group"))
+        doubt = components(failed.select(F.col("pu").alias("u"), F.col("pv").alias("v")), files).select(F.col("node").alias("part"), F.col("component_id").alias("group"))
         some = parts.join(doubt.hint("merge"), "part").join(rows.select("node", *carried).hint("merge"), "node")
-        parts = joined(parts, within(some, docs, words, similarity, distance, check))
+        parts = joined(parts, within(some, docs, words, similarity, distance, check, files=files), files)
     found = parts.withColumnRenamed("part", "component_id")
-    named = stored(classes.join(found, "node", "left").select(*names, F.coalesce("component_id", "node").alias("component_id")), "named")
+    named = stored(classes.join(found, "node", "left").select(*names, F.coalesce("component_id", "node").alias("component_id")), "named", files=files)
     on = [prints[n] == named[n] for n in names]
     some = reduce(Column.__or__, (prints[n] != 0 for n in names[:-1]))
     return prints.join(named.hint("merge"), on).select("doc_id", F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *keep)
@@ -530,7 +532,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = docs.withColumns(dict(zip(marks, row_hashes("text"), strict=True)))
     groups = near_groups(rows.filter("doc_id IS NOT NULL").select("doc_id", "text", *marks), keep=marks)
     gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), *[F.col(m).alias(f"{m}d") for m in marks])
-    dropped = stored(gone.distinct(), "dropped")
+    dropped = stored(gone.distinct(), "dropped", files=files_for(docs.sparkSession, docs.count()))
     same = rows["doc_id"] == dropped["gone_id"]
     for m in marks:
         same = same & (rows[m] == dropped[f"{m}d"])

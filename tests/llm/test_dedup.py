@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.llm import dedup_exact, simhash, suffix
 from tessera.llm.graph import components
 
@@ -247,6 +248,33 @@ def test_near_copies_in_large_buckets(spark):
     assert {x.component_id for x in simhash.near_groups(docs, limit=16).collect()} == {0}
 
 
+def test_small_tables_of_near_groups_are_one_file(spark):
+    """However many shuffle partitions there are: only texts are as many files as the tasks that move them."""
+    r = random.Random(10)
+    bases = [words(r, 300).split() for _ in range(6)]
+    rows = [(20 * g + k, " ".join(f"x{r.random()}" if r.random() < 0.04 * (k > 0) else w for w in t)) for g, t in enumerate(bases) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    session.clean(spark)
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesced)
+    spark.conf.set(coalesced, "false")
+    try:
+        found = {x.doc_id: x.component_id for x in simhash.near_groups(docs).collect()}
+    finally:
+        spark.conf.set(coalesced, before)
+    sets = {i: shingled(t) for i, t in rows}
+    assert len(set(found.values())) > 6
+    for (a, x), (b, y) in combinations(sets.items(), 2):  # no group is joined by less than its links
+        if jaccard(x, y) >= 0.9:
+            assert found[a] == found[b]
+    files = {}
+    for path in session.written():
+        kind = path.rpartition("/")[2].rpartition("-")[0]
+        files[kind] = max(files.get(kind, 0), len(spark.read.parquet(path).inputFiles()))
+    assert {"wide", "classes", "met", "tried", "first", "ids", "links", "joins", "parts", "named"} <= set(files)
+    assert not {k: n for k, n in files.items() if n > 1 and k != "texts"}
+
+
 @pytest.mark.parametrize("cell", [3, 256])
 def test_doubtful_groups_lose_no_link(spark, cell):
     """Versions around the likeness: links connect what all pairs would, and are as few as a forest has."""
